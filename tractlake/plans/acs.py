@@ -34,30 +34,40 @@ from tractlake.sources.census import read_payloads, read_variable_labels
 from tractlake.sources.files import read_dataset, read_table_config
 
 
+def known_tables(config: DataFrame, variables: DataFrame) -> DataFrame:
+    """The configured tables the source has variables for."""
+    return with_match(
+        config.select("table_id").distinct(), variables, "table_id", "table_id"
+    )
+
+
 def collapsed_tables(config: DataFrame, variables: DataFrame) -> DataFrame:
-    """Collapsed twins of the configured tables, those the source has variables for."""
-    twins = config.select(collapsed_id("table_id").alias("table_id")).distinct()
+    """Collapsed twins of the known tables, those that have variables themselves."""
+    known = known_tables(config, variables)
+    twins = known.select(collapsed_id("table_id").alias("table_id")).distinct()
     return with_match(twins, variables, "table_id", "table_id")
 
 
-def selected_tables(config: DataFrame, variables: DataFrame) -> DataFrame:
-    """Configured tables with variables, and their collapsed twins."""
-    known = with_match(config.select("table_id").distinct(), variables, "table_id", "table_id")
-    return known.unionAll(collapsed_tables(config, variables)).distinct()
+def selected_variables(config: DataFrame, variables: DataFrame) -> DataFrame:
+    """The variables of the known tables and of their collapsed twins."""
+    wanted = known_tables(config, variables).select(
+        F.explode(F.array(F.col("table_id"), collapsed_id("table_id"))).alias("table_id")
+    )
+    return with_match(
+        variables.select("table_id", "variable", "variable_label"), wanted, "table_id", "table_id"
+    )
 
 
 def bronze_estimates(
-    payloads: DataFrame,
-    variables: DataFrame,
-    config: DataFrame,
-    year: int,
-    now: datetime | None = None,
+    payloads: DataFrame, selected: DataFrame, year: int, now: datetime | None = None
 ) -> DataFrame:
-    """Long rows of the selected tables, values as text, with variable labels."""
-    long_rows = with_match(
-        melt_payloads(payloads), selected_tables(config, variables), "table_id", "table_id"
-    )
-    labels = variables.select("variable", "variable_label")
+    """Long rows of the selected tables, values as text, with variable labels.
+
+    ``selected`` should be a stored table: Spark then knows its size when it plans
+    and sends it to every task if it is small, so the long rows are not shuffled.
+    """
+    long_rows = with_match(melt_payloads(payloads), selected, "table_id", "table_id")
+    labels = selected.select("variable", "variable_label")
     labelled = left_lookup(long_rows, labels, "variable", {"variable_label": ""})
     return labelled.select(
         "table_id",
@@ -163,9 +173,8 @@ def load_all(
         paths[name] = write_dataset(df, root, name, fmt)
         return read_dataset(spark, root, name, fmt)
 
-    bronze = store(
-        "bronze.estimates", bronze_estimates(payloads, variables, config, year, now)
-    )
+    selected = store("bronze.variables", selected_variables(config, variables))
+    bronze = store("bronze.estimates", bronze_estimates(payloads, selected, year, now))
     silver = store("silver.estimates", silver_estimates(bronze, now=now))
     store("gold.dim_variable", dim_variable(silver))
     store("gold.dim_tract", dim_tract(silver))

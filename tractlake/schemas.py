@@ -37,6 +37,7 @@ def _columns(type_name: str, *names: str) -> list[dict]:
 
 
 TABLE_CONFIG = schema_from_spec(_columns("string", "table_id", "series"))
+VARIABLES = schema_from_spec(_columns("string", "table_id", "variable", "variable_label"))
 
 _ESTIMATE_IDS = [
     *_columns("string", "table_id", "variable", "variable_label", "tract_fips", "tract_name"),
@@ -192,6 +193,7 @@ class Dataset:
 DATASETS = {
     dataset.name: dataset
     for dataset in (
+        Dataset("bronze.variables", "bronze/variables", VARIABLES, ("variable",)),
         Dataset(
             "bronze.estimates",
             "bronze/estimates",

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tractlake.functions.dates import snapshot_stamp
@@ -34,12 +35,17 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.to(schema)
 
 
-def append_rows(df: DataFrame, table: str, schema: T.StructType, fmt: str = "parquet") -> bool:
-    """Append under the fixed schema; an empty input writes nothing and gives False."""
-    if df.isEmpty():
-        return False
-    conform(df, schema).write.format(fmt).mode("append").saveAsTable(table)
-    return True
+def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` with a row counter that the write itself fills; no second run."""
+    observation = Observation()
+    return df.observe(observation, F.count(F.lit(1)).alias("rows")), observation
+
+
+def append_rows(df: DataFrame, table: str, schema: T.StructType, fmt: str = "parquet") -> int:
+    """Append under the fixed schema and give the number of rows; none is no change."""
+    counted, observation = _counted(conform(df, schema))
+    counted.write.format(fmt).mode("append").saveAsTable(table)
+    return observation.get["rows"]
 
 
 def replace_table(
@@ -100,16 +106,16 @@ def write_dataset(df: DataFrame, root: str, name: str, fmt: str = "parquet") ->
 def write_snapshot(
     df: DataFrame, directory: str, fmt: str = "json", now: datetime | None = None
 ) -> str | None:
-    """Write ``snapshot=<UTC stamp>``; stamps sort by time. No rows, no snapshot.
+    """Write ``snapshot=<UTC stamp>``; stamps sort by time. None if there were no rows.
 
     JSON goes out as one record per line in many part files, so that the readers
-    of a large snapshot can split it.
+    of a large snapshot can split it. A JSON snapshot without rows has no content
+    and the readers do not see it.
     """
-    if df.isEmpty():
-        return None
     path = f"{directory.rstrip('/')}/snapshot={snapshot_stamp(now)}"
-    df.write.format(fmt).mode("overwrite").save(path)
-    return path
+    counted, observation = _counted(df)
+    counted.write.format(fmt).mode("overwrite").save(path)
+    return path if observation.get["rows"] else None
 
 
 def write_with_metrics(

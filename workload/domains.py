@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from tractlake.plans import acs, business, expenses, pit, validation
 from tractlake.schemas import RAW_BUSINESS, RAW_EXPENSES
-from tractlake.sinks.writers import write_snapshot
 from tractlake.sources.census import read_payloads, read_variable_labels
 from tractlake.sources.files import read_json_lines, read_path
 from tractlake.sources.snapshots import read_latest_json
 from tractlake.workspace import fresh_dir, materialize
 from workload import landing
-from workload.projections import CLOCK, GRADE_SQL
-from workload.registry import query, table
+from workload.landing import CLOCK
+from workload.projections import GRADE_SQL, priced_lines
+from workload.registry import once_per_session, query, table
 
 # --- survey estimates -----------------------------------------------------
 
@@ -32,12 +32,32 @@ def _survey_config(spark, sf_dir):
     return parts.unionAll(landed)
 
 
+def _variables(spark, sf_dir):
+    return read_variable_labels(
+        spark, landing.survey_variables(spark, sf_dir), whole_files=False
+    )
+
+
 def _bronze(spark, sf_dir):
     payloads = read_payloads(spark, landing.survey_payloads(spark, sf_dir), whole_files=False)
-    variables = read_variable_labels(
-        spark, landing.survey_variables(spark, sf_dir), whole_files=False
+    selected = materialize(
+        acs.selected_variables(_survey_config(spark, sf_dir), _variables(spark, sf_dir)),
+        "selected-variables",
     )
-    return acs.bronze_estimates(payloads, variables, _survey_config(spark, sf_dir), YEAR, CLOCK)
+    return acs.bronze_estimates(payloads, selected, YEAR, CLOCK)
+
+
+@once_per_session
+def _stored_bronze(spark, sf_dir):
+    """The bronze table as the load writes it."""
+    return materialize(_bronze(spark, sf_dir), "bronze-estimates")
+
+
+@once_per_session
+def _stored_silver(spark, sf_dir):
+    """The silver table as the load writes it."""
+    bronze = _stored_bronze(spark, sf_dir)
+    return materialize(acs.silver_estimates(bronze, now=CLOCK), "silver-estimates")
 
 
 _TRACT_SQL = """
@@ -77,7 +97,7 @@ def survey_bronze(spark, sf_dir):
 
 @query("P12 F9 F10 F11 P1 F13", _SILVER_SQL)
 def survey_silver(spark, sf_dir):
-    return acs.silver_estimates(_bronze(spark, sf_dir), now=CLOCK)
+    return acs.silver_estimates(_stored_bronze(spark, sf_dir), now=CLOCK)
 
 
 @query(
@@ -90,12 +110,12 @@ def survey_silver(spark, sf_dir):
     """,
 )
 def survey_variables(spark, sf_dir):
-    return acs.dim_variable(acs.silver_estimates(_bronze(spark, sf_dir), now=CLOCK))
+    return acs.dim_variable(_stored_silver(spark, sf_dir))
 
 
 @query("U4 P1", f"SELECT DISTINCT tract_fips, tract_name FROM (SELECT {_TRACT_SQL} FROM customer)")
 def survey_tracts(spark, sf_dir):
-    return acs.dim_tract(acs.silver_estimates(_bronze(spark, sf_dir), now=CLOCK))
+    return acs.dim_tract(_stored_silver(spark, sf_dir))
 
 
 @query(
@@ -107,12 +127,12 @@ def survey_tracts(spark, sf_dir):
     """,
 )
 def survey_facts(spark, sf_dir):
-    """The written star schema, joined back together."""
-    silver = materialize(
-        acs.silver_estimates(_bronze(spark, sf_dir), now=CLOCK), "silver-estimates"
-    )
+    """Facts joined to the written dimensions, whose sizes Spark then knows."""
+    silver = _stored_silver(spark, sf_dir)
     return acs.labelled_facts(
-        acs.fact_estimates(silver), acs.dim_variable(silver), acs.dim_tract(silver)
+        acs.fact_estimates(silver),
+        materialize(acs.dim_variable(silver), "dim-variable"),
+        materialize(acs.dim_tract(silver), "dim-tract"),
     )
 
 
@@ -125,11 +145,9 @@ def survey_facts(spark, sf_dir):
     """,
 )
 def survey_load_summary(spark, sf_dir):
-    variables = read_variable_labels(
-        spark, landing.survey_variables(spark, sf_dir), whole_files=False
+    return acs.load_summary(
+        _survey_config(spark, sf_dir), _variables(spark, sf_dir), _stored_bronze(spark, sf_dir)
     )
-    config = _survey_config(spark, sf_dir)
-    return acs.load_summary(config, variables, _bronze(spark, sf_dir))
 
 
 # --- expenses ----------------------------------------------------------------
@@ -162,15 +180,11 @@ _SILVER_EXPENSES_SQL = f"""
 """
 
 
-def _expense_snapshots(spark, sf_dir):
-    directory = fresh_dir(spark, "expenses")
-    write_snapshot(landing.expense_records(spark, sf_dir), directory, "json", CLOCK)
-    return read_latest_json(spark, directory, RAW_EXPENSES, lines=True)
-
-
 @query("P3 P11 F4 W1 S16 K6", _SILVER_EXPENSES_SQL)
 def expense_silver(spark, sf_dir):
-    return expenses.silver_expenses(_expense_snapshots(spark, sf_dir), CLOCK)
+    directory = landing.expense_snapshots(spark, sf_dir)
+    raw = read_latest_json(spark, directory, RAW_EXPENSES, lines=True)
+    return expenses.silver_expenses(raw, CLOCK)
 
 
 @query(
@@ -183,8 +197,8 @@ def expense_silver(spark, sf_dir):
     """,
 )
 def expense_gold(spark, sf_dir):
-    bronze, silver, gold = (fresh_dir(spark, f"expenses-{x}") for x in ("raw", "silver", "gold"))
-    write_snapshot(landing.expense_records(spark, sf_dir), bronze, "json", CLOCK)
+    bronze = landing.expense_snapshots(spark, sf_dir)
+    silver, gold = (fresh_dir(spark, f"expenses-{layer}") for layer in ("silver", "gold"))
     paths = expenses.load_all(spark, bronze, silver, gold, lines=True, now=CLOCK)
     return read_path(spark, paths["gold"])
 
@@ -200,12 +214,12 @@ def expense_gold(spark, sf_dir):
     """,
 )
 def expense_silver_by_name(spark, sf_dir):
-    raw = table(spark, sf_dir, "lineitem").select(
+    raw = priced_lines(spark, sf_dir).select(
         F.col("l_orderkey").cast("string").alias("Doc ID"),
-        F.date_format("l_shipdate", "MM/dd/yyyy").alias("Trans Date"),
-        F.concat(F.lit("$"), F.format_number("l_extendedprice", 2)).alias("Total-Amount$"),
-        F.when(F.col("l_returnflag") != "R", F.col("l_quantity").cast("string")).alias("Unit Cost"),
-        F.col("l_returnflag").alias("Memo"),
+        F.col("trans_date").alias("Trans Date"),
+        F.col("total_amount").alias("Total-Amount$"),
+        F.col("unit_cost").alias("Unit Cost"),
+        F.col("memo").alias("Memo"),
     )
     return expenses.silver_expenses_by_name(raw)
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-
 from pyspark.sql import functions as F
 
 from tractlake.operators.quality import layer_counts
 from tractlake.operators.reshape import melt_payloads, melt_records
 from tractlake.schemas import PIT_SPEC, schema_from_spec
-from tractlake.sinks.writers import write_snapshot
 from tractlake.sources.census import payload_records, read_payloads, read_variable_labels
 from tractlake.sources.files import (
     read_delimited,
@@ -23,9 +20,6 @@ from tractlake.workspace import fresh_dir
 from workload import landing
 from workload.registry import query, table
 
-OLDER = datetime(2024, 1, 1, tzinfo=timezone.utc)
-NEWER = datetime(2024, 1, 2, tzinfo=timezone.utc)
-
 ORDER_RECORD = schema_from_spec(
     [{"name": n, "type": "string"} for n in ("doc_id", "state", "amount", "priority")]
 )
@@ -134,7 +128,7 @@ def json_pages(spark, sf_dir):
 
 @query("S6 S8", ORDER_RECORD_SQL)
 def json_arrays(spark, sf_dir):
-    path = landing.order_pages(spark, sf_dir, page_size=5000, one_file_per_page=True)
+    path = landing.order_page_files(spark, sf_dir)
     return _amounts(read_json_records(spark, path, ORDER_RECORD))
 
 
@@ -156,18 +150,10 @@ def typed_csv(spark, sf_dir):
     return read_delimited(spark, landing.pit_csv(spark, sf_dir), schema_from_spec(PIT_SPEC))
 
 
-def _two_snapshots(spark, sf_dir) -> str:
-    directory = fresh_dir(spark, "snapshots")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    write_snapshot(orders.withColumn("o_totalprice", F.lit(0.0)), directory, "json", OLDER)
-    write_snapshot(orders, directory, "json", NEWER)
-    return directory
-
-
 @query("S16 O3 K6", "SELECT o_orderkey, o_totalprice FROM orders")
 def newest_snapshot(spark, sf_dir):
     schema = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").schema
-    return read_latest_json(spark, _two_snapshots(spark, sf_dir), schema, lines=True)
+    return read_latest_json(spark, landing.order_snapshots(spark, sf_dir), schema, lines=True)
 
 
 @query(
@@ -179,10 +165,8 @@ def newest_snapshot(spark, sf_dir):
     """,
 )
 def counts_per_layer(spark, sf_dir):
-    bronze = _two_snapshots(spark, sf_dir)
-    silver = fresh_dir(spark, "silver")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey")
-    write_snapshot(lines, silver, "parquet", OLDER)
+    bronze = landing.order_snapshots(spark, sf_dir)
+    silver = landing.line_snapshots(spark, sf_dir)
     return layer_counts(
         spark,
         {
@@ -195,7 +179,7 @@ def counts_per_layer(spark, sf_dir):
 
 @query("S16 A1", "SELECT count(*) AS records, true AS is_newest FROM orders")
 def snapshot_listing(spark, sf_dir):
-    path = find_latest_snapshot(spark, _two_snapshots(spark, sf_dir))
+    path = find_latest_snapshot(spark, landing.order_snapshots(spark, sf_dir))
     return spark.read.text(path).agg(
         F.count("*").alias("records"), F.lit("20240102" in path).alias("is_newest")
     )

@@ -91,20 +91,23 @@ def existing_matches(spark, sf_dir):
 @query(
     "J4 F8",
     """
-    SELECT DISTINCT 'C' || substr(CAST(p_partkey AS VARCHAR), 2) AS table_id FROM part
-    WHERE 'C' || substr(CAST(p_partkey AS VARCHAR), 2)
-          IN (SELECT 'C' || CAST(c_custkey AS VARCHAR) FROM customer)
+    SELECT DISTINCT 'C' || CAST(p_partkey AS VARCHAR) AS table_id FROM part
+    WHERE p_partkey IN (SELECT o_custkey FROM orders)
+      AND p_partkey IN (SELECT c_custkey FROM customer)
     """,
 )
 def collapsed_twins(spark, sf_dir):
-    """Part codes with their first digit swapped, that exist as customer codes."""
+    """Parts as configured tables, orders name known tables, customers collapsed ones."""
     config = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").cast("string").alias("table_id")
+        F.concat(F.lit("B"), F.col("p_partkey").cast("string")).alias("table_id")
     )
-    known = table(spark, sf_dir, "customer").select(
+    plain = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("B"), F.col("o_custkey").cast("string")).alias("table_id")
+    )
+    collapsed = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("table_id")
     )
-    return collapsed_tables(config, known)
+    return collapsed_tables(config, plain.unionAll(collapsed))
 
 
 def _sides(spark, sf_dir):

@@ -1,16 +1,25 @@
 """Raw files as a source would land them, written by Spark from the test tables.
 
-All go to the shared folder. Groups that become one JSON page are ranges of a
-unique key, so a page has a fixed greatest size and the pages grow with the data.
+All go to the shared folder, once per session. Groups that become one JSON page
+are ranges of a unique key, so a page has a fixed greatest size and the number of
+pages grows with the data.
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tractlake.sinks.writers import write_snapshot
 from tractlake.workspace import fresh_dir
-from workload.registry import table
+from workload.registry import once_per_session, table
+
+
+OLDER = datetime(2024, 1, 1, tzinfo=timezone.utc)
+NEWER = datetime(2024, 1, 2, tzinfo=timezone.utc)
+CLOCK = datetime(2024, 1, 31, 12, 30, 0, tzinfo=timezone.utc)
 
 
 def text_of(name: str) -> Column:
@@ -26,6 +35,7 @@ def _write_lines(df: DataFrame, name: str, one_file_per_line: bool = False) -> s
     return path
 
 
+@once_per_session
 def table_config(spark, sf_dir) -> str:
     """Parts as a tab-separated list of tables, with white space around the ids."""
     path = fresh_dir(spark, "config")
@@ -60,6 +70,7 @@ SURVEY_HEADER = (
 )
 
 
+@once_per_session
 def survey_payloads(spark, sf_dir) -> str:
     """Customers as survey responses, one per line: header, then a row per tract."""
     row = F.array(
@@ -86,6 +97,7 @@ def survey_payloads(spark, sf_dir) -> str:
     return _write_lines(pages, "payloads")
 
 
+@once_per_session
 def survey_variables(spark, sf_dir) -> str:
     """The list of variables that goes with these responses, and one per part."""
     fixed = ("B01_001E", "B01_001M", "B01_002E", "B02_001E", "C01_001E", "NAME", "state")
@@ -120,8 +132,7 @@ def survey_variables(spark, sf_dir) -> str:
     )
 
 
-def order_pages(spark, sf_dir, page_size: int = 500, one_file_per_page: bool = False) -> str:
-    """Orders as JSON pages, a list of records each, and one empty page at the end."""
+def _order_pages(spark, sf_dir, page_size: int, one_file_per_page: bool) -> str:
     record = F.struct(
         text_of("o_orderkey").alias("doc_id"),
         F.col("o_orderstatus").alias("state"),
@@ -137,6 +148,19 @@ def order_pages(spark, sf_dir, page_size: int = 500, one_file_per_page: bool = F
     return _write_lines(pages.select("value").unionAll(last), "pages", one_file_per_page)
 
 
+@once_per_session
+def order_pages(spark, sf_dir) -> str:
+    """Orders as JSON pages, a list of records per line, and one empty page at the end."""
+    return _order_pages(spark, sf_dir, 500, False)
+
+
+@once_per_session
+def order_page_files(spark, sf_dir) -> str:
+    """The same in pages of 5000, each a file of its own."""
+    return _order_pages(spark, sf_dir, 5000, True)
+
+
+@once_per_session
 def business_records(spark, sf_dir) -> str:
     """Customers as nested licence records, one per line."""
     segment = F.col("c_mktsegment")
@@ -167,7 +191,7 @@ def business_records(spark, sf_dir) -> str:
     return path
 
 
-def expense_records(spark, sf_dir) -> DataFrame:
+def _expense_records(spark, sf_dir) -> DataFrame:
     """Line items as raw expense records, all text, repeated under their key."""
     line = table(spark, sf_dir, "lineitem")
     empty = F.lit(None).cast("string")
@@ -197,6 +221,83 @@ def expense_records(spark, sf_dir) -> DataFrame:
     )
 
 
+@once_per_session
+def expense_snapshots(spark, sf_dir) -> str:
+    """A directory with one JSON snapshot of these records."""
+    directory = fresh_dir(spark, "expenses")
+    write_snapshot(_expense_records(spark, sf_dir), directory, "json", CLOCK)
+    return directory
+
+
+def _text_table(df: DataFrame, name: str) -> str:
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
+@once_per_session
+def estimate_text(spark, sf_dir) -> str:
+    """Events as survey estimates in text: errors are '-', k is the margin in percent."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    estimates = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.col("event_type").alias("variable"),
+        F.col("user_id").alias("tract"),
+        F.when(F.col("event_type") == "error", "-")
+        .when(k == 0, "0")
+        .otherwise(text_of("value"))
+        .alias("estimate"),
+        (F.col("value") * k / 100).cast("string").alias("moe"),
+    )
+    return _text_table(estimates, "estimates")
+
+
+@once_per_session
+def priced_lines(spark, sf_dir) -> str:
+    """Line items with dates and prices in text, as a loose expense feed has them."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        F.date_format("l_shipdate", "M/d/yyyy").alias("trans_date"),
+        F.concat(F.lit("$"), F.format_number("l_extendedprice", 2)).alias("total_amount"),
+        F.when(F.col("l_returnflag") != "R", text_of("l_quantity")).alias("unit_cost"),
+        F.col("l_returnflag").alias("memo"),
+    )
+    return _text_table(lines, "priced-lines")
+
+
+@once_per_session
+def dated_orders(spark, sf_dir) -> str:
+    """Order dates in text; a pending order has none."""
+    shown = F.date_format("o_orderdate", "MM/dd/yyyy")
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        shown.alias("strict_text"),
+        F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(shown).alias("lenient_text"),
+    )
+    return _text_table(orders, "dated-orders")
+
+
+@once_per_session
+def order_snapshots(spark, sf_dir) -> str:
+    """Two JSON snapshots of the orders; the older one has no prices."""
+    directory = fresh_dir(spark, "snapshots")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    write_snapshot(orders.withColumn("o_totalprice", F.lit(0.0)), directory, "json", OLDER)
+    write_snapshot(orders, directory, "json", NEWER)
+    return directory
+
+
+@once_per_session
+def line_snapshots(spark, sf_dir) -> str:
+    directory = fresh_dir(spark, "line-snapshots")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey")
+    write_snapshot(lines, directory, "parquet", OLDER)
+    return directory
+
+
+@once_per_session
 def pit_csv(spark, sf_dir) -> str:
     """Orders as point-in-time counts; the count of a pending order is not a number."""
     path = fresh_dir(spark, "pit")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-
 from pyspark.sql import functions as F
 
 from tractlake.functions.casts import clean_numeric_columns, money, strict_cast
@@ -30,24 +28,27 @@ from tractlake.operators.columns import (
     with_lineage,
 )
 from tractlake.operators.reshape import melt_pairs
+from workload import landing
+from workload.landing import CLOCK
 from workload.registry import query, table
 
-CLOCK = datetime(2024, 1, 31, 12, 30, 0, tzinfo=timezone.utc)
+def estimate_rows(spark, sf_dir):
+    return spark.read.schema(
+        "event_id bigint, variable string, tract bigint, estimate string, moe string"
+    ).parquet(landing.estimate_text(spark, sf_dir))
 
 
-def estimate_rows(spark, sf_dir):
-    """Events as survey estimates in text: errors are '-', k is the margin in percent."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
-        "event_id",
-        F.col("event_type").alias("variable"),
-        F.col("user_id").alias("tract"),
-        F.when(F.col("event_type") == "error", "-")
-        .when(k == 0, "0")
-        .otherwise(F.col("value").cast("string"))
-        .alias("estimate"),
-        (F.col("value") * k / 100).cast("string").alias("moe"),
-    )
+def priced_lines(spark, sf_dir):
+    return spark.read.schema(
+        "l_orderkey bigint, l_linenumber int, l_partkey bigint, trans_date string, "
+        "total_amount string, unit_cost string, memo string"
+    ).parquet(landing.priced_lines(spark, sf_dir))
+
+
+def dated_orders(spark, sf_dir):
+    return spark.read.schema(
+        "o_orderkey bigint, strict_text string, lenient_text string"
+    ).parquet(landing.dated_orders(spark, sf_dir))
 
 
 ESTIMATE_SQL = """
@@ -115,11 +116,8 @@ def melted_pairs(spark, sf_dir):
     "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS amount FROM lineitem",
 )
 def money_text(spark, sf_dir):
-    shown = F.concat(F.lit("$"), F.format_number("l_extendedprice", 2))
-    return (
-        table(spark, sf_dir, "lineitem")
-        .select("l_orderkey", "l_linenumber", "l_partkey", shown.alias("amount"))
-        .withColumn("amount", money("amount"))
+    return priced_lines(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", "l_partkey", money("total_amount").alias("amount")
     )
 
 
@@ -132,11 +130,8 @@ def money_text(spark, sf_dir):
     """,
 )
 def strict_dates(spark, sf_dir):
-    shown = F.date_format("o_orderdate", "MM/dd/yyyy").alias("shown")
-    return (
-        table(spark, sf_dir, "orders")
-        .select("o_orderkey", shown)
-        .select("o_orderkey", strict_date("shown").alias("transaction_date"))
+    return dated_orders(spark, sf_dir).select(
+        "o_orderkey", strict_date("strict_text").alias("transaction_date")
     )
 
 
@@ -150,13 +145,8 @@ def strict_dates(spark, sf_dir):
     """,
 )
 def lenient_dates(spark, sf_dir):
-    shown = F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(
-        F.date_format("o_orderdate", "MM/dd/yyyy")
-    )
-    return (
-        table(spark, sf_dir, "orders")
-        .select("o_orderkey", shown.alias("shown"))
-        .select("o_orderkey", lenient_timestamp("shown").alias("order_date"))
+    return dated_orders(spark, sf_dir).select(
+        "o_orderkey", lenient_timestamp("lenient_text").alias("order_date")
     )
 
 
@@ -308,19 +298,12 @@ def lineage_columns(spark, sf_dir):
     "P15",
     """
     SELECT l_orderkey, l_shipdate AS trans_date, l_extendedprice AS total_amount,
-           l_quantity AS unit_cost, l_returnflag AS memo
+           CASE WHEN l_returnflag <> 'R' THEN l_quantity END AS unit_cost, l_returnflag AS memo
     FROM lineitem
     """,
 )
 def typed_by_name(spark, sf_dir):
-    raw = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
-        F.date_format("l_shipdate", "M/d/yyyy").alias("trans_date"),
-        F.concat(F.lit("$"), F.format_number("l_extendedprice", 2)).alias("total_amount"),
-        F.col("l_quantity").cast("string").alias("unit_cost"),
-        F.col("l_returnflag").alias("memo"),
-    )
-    return cast_by_name(raw)
+    return cast_by_name(priced_lines(spark, sf_dir).drop("l_linenumber", "l_partkey"))
 
 
 @query(

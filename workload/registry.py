@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -32,5 +33,29 @@ def query(covers: str, sql: str | None = None):
     return register
 
 
+def once_per_session(make: Callable):
+    """Keep the result of ``make(spark, sf_dir)`` for the life of the Spark session.
+
+    For inputs: a raw file is landed once and then read by every query on it.
+    """
+    kept = {}
+
+    @functools.wraps(make)
+    def wrapper(spark: SparkSession, sf_dir: str):
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in kept:
+            kept[key] = make(spark, sf_dir)
+        return kept[key]
+
+    return wrapper
+
+
+_SCHEMAS = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; its footer is read for the schema the first time only."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)

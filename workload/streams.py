@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from tractlake.streaming.changes import change_check
 from tractlake.streaming.landing import clean_table, ingest_new_files
 from tractlake.workspace import fresh_dir
-from workload.projections import CLOCK
+from workload.landing import CLOCK
 from workload.registry import query, table
 
 EVENT = T.StructType(
