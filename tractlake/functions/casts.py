@@ -11,12 +11,13 @@ from tractlake.functions.text import col_of
 
 # Numbers as text: Spark alone would also take '1d', '2f' and hex floats.
 NUMERIC = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))\s*$"
-WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
 
 
 def strict_cast(column: Column | str, type_name: str, name: str = "value") -> Column:
     """Null stays null; text that does not convert ends the run."""
     value = col_of(column)
+    if type_name == "string":
+        return value.cast("string")
     bad = F.concat(F.lit(f"{name}: cannot cast to {type_name}: "), value.cast("string"))
     return F.coalesce(
         value.try_cast(type_name), F.when(value.isNotNull(), F.raise_error(bad))
@@ -61,11 +62,8 @@ def clean_numeric_columns(
     for i, name in enumerate(names):
         value = F.col(f"`{name}`")
         counters += [
-            F.count_if(value.isNotNull() & lenient_double(value).isNull()).alias(f"bad_{i}"),
-            F.count_if(
-                value.isNotNull()
-                & ~(value.rlike(WHOLE_NUMBER) & value.try_cast("bigint").isNotNull())
-            ).alias(f"broken_{i}"),
+            F.count_if(~value.rlike(NUMERIC)).alias(f"bad_{i}"),
+            F.count_if(value.isNotNull() & value.try_cast("bigint").isNull()).alias(f"broken_{i}"),
         ]
     found = df.agg(*counters).first()
     types = {}

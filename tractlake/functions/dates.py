@@ -26,12 +26,16 @@ def strict_date(column: Column | str, pattern: str = US_DATE, name: str = "date"
 def lenient_timestamp(
     column: Column | str, formats: Sequence[str] = LENIENT_FORMATS
 ) -> Column:
-    """ISO text or the first fitting format; anything else becomes null."""
+    """ISO text or the first fitting format; anything else becomes null.
+
+    Text without a digit, such as ``n/a``, is not tried: a failed parse is slow.
+    """
     value = col_of(column)
-    return F.coalesce(
+    parsed = F.coalesce(
         value.try_cast("timestamp_ntz"),
         *[F.try_to_timestamp(value, F.lit(f)).cast("timestamp_ntz") for f in formats],
     )
+    return F.when(value.rlike("[0-9]"), parsed)
 
 
 def iso_timestamp(column: Column | str) -> Column:

@@ -15,6 +15,7 @@ from tractlake.functions.keys import (
     without_last_char,
 )
 from tractlake.operators.columns import quoted
+from tractlake.sources.census import fits_header, header_of, split_payloads
 
 # The geography columns of a survey response.
 NAME_COLUMN = "NAME"
@@ -83,7 +84,7 @@ def melt_payloads(payloads: DataFrame) -> DataFrame:
     the header. A row then reads its values by position, so its cost grows with
     the number of variables and not with its square.
     """
-    header = F.element_at("payload", 1)
+    header = header_of()
     positions = F.filter(
         F.transform(
             header,
@@ -99,19 +100,9 @@ def melt_payloads(payloads: DataFrame) -> DataFrame:
         lambda pair: is_estimate_code(pair["code"]),
     )
     places = {
-        name: _place(header, F.lit(name)).alias(f"{name}_at")
-        for name in (NAME_COLUMN, *GEOGRAPHY_COLUMNS)
+        f"{name}_at": _place(header, F.lit(name)) for name in (NAME_COLUMN, *GEOGRAPHY_COLUMNS)
     }
-    rows = (
-        payloads.filter(F.size(F.array_distinct(header)) == F.size(header))
-        .select(
-            F.size(header).alias("width"),
-            positions.alias("pairs"),
-            *places.values(),
-            F.explode(F.slice("payload", F.lit(2), F.size("payload") - 1)).alias("row"),
-        )
-        .filter(F.size("row") == F.col("width"))
-    )
+    rows = split_payloads(payloads, pairs=positions, **places).filter(fits_header())
     name = F.when(F.col(f"{NAME_COLUMN}_at") >= 0, F.get("row", f"{NAME_COLUMN}_at")).otherwise("")
     values = F.transform(
         "pairs",

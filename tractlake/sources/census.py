@@ -12,43 +12,64 @@ VARIABLES_TYPE = "struct<variables:map<string,struct<label:string>>>"
 
 
 def read_payloads(spark: SparkSession, path: str | list[str], whole_files: bool = True) -> DataFrame:
-    """Landed responses ``[[header], [row], ...]`` as ``payload``.
+    """Landed responses ``[[header], [row], ...]``: the text and its ``payload``.
 
     ``whole_files`` reads one response per file. Large loads should be landed as
-    one response per line, so that files split and tasks stay even.
+    one response per line, so that files split and tasks stay even. Text that is
+    no such payload gives a null, see ``rejected_payloads``.
     """
     text = spark.read.option("wholetext", whole_files).text(path)
-    return text.select(F.from_json("value", PAYLOAD_TYPE).alias("payload")).filter(
-        F.size("payload") > 0
-    )
+    return text.withColumn("payload", F.from_json("value", PAYLOAD_TYPE))
 
 
-def _rows(payloads: DataFrame) -> DataFrame:
-    return payloads.select(
-        F.element_at("payload", 1).alias("header"),
-        F.explode(F.slice("payload", F.lit(2), F.size("payload") - 1)).alias("row"),
-    )
+def rejected_payloads(payloads: DataFrame) -> DataFrame:
+    """Responses without a header, as text."""
+    return payloads.filter(F.coalesce(F.size("payload"), F.lit(0)) < 1).select("value")
+
+
+def header_of(payload: str = "payload") -> Column:
+    return F.try_element_at(payload, F.lit(1))
 
 
-def _well_formed() -> Column:
-    """Rows as long as their header, under a header without repeats."""
-    return (F.size("row") == F.size("header")) & (
-        F.size(F.array_distinct("header")) == F.size("header")
+def split_payloads(payloads: DataFrame, **of_header: Column) -> DataFrame:
+    """One row per data row: ``row``, ``width`` and the ``of_header`` columns.
+
+    ``of_header`` is worked out once per payload. ``width`` is the number of columns
+    a row must have, null under a header that repeats a name.
+
+    The shape of this plan is on purpose. All that needs the payload is projected
+    before the explode, so that the rows do not carry the payload along. And the
+    explode is an outer one: for an inner one Spark adds a not-empty filter, which
+    it pushes below the parsing of the text, and so parses the text again.
+    """
+    header = header_of()
+    unique = F.size(F.array_distinct(header)) == F.size(header)
+    split = payloads.select(
+        F.when(unique, F.size(header)).alias("width"),
+        F.slice("payload", F.lit(2), F.size("payload")).alias("rows"),
+        *[column.alias(name) for name, column in of_header.items()],
     )
+    return split.select("width", *of_header, F.explode_outer("rows").alias("row"))
+
+
+def fits_header() -> Column:
+    """A row of ``split_payloads`` has the width of its header; never null.
+
+    The coalesce also keeps Spark from deriving a filter on ``width`` alone.
+    """
+    return F.coalesce(F.size("row") == F.col("width"), F.lit(False))
 
 
 def payload_records(payloads: DataFrame) -> DataFrame:
     """Each data row zipped with its header to a name -> value map."""
-    return (
-        _rows(payloads)
-        .filter(_well_formed())
-        .select(F.map_from_arrays("header", "row").alias("record"))
-    )
+    rows = split_payloads(payloads, header=header_of()).filter(fits_header())
+    return rows.select(F.map_from_arrays("header", "row").alias("record"))
 
 
 def rejected_rows(payloads: DataFrame) -> DataFrame:
     """The rows ``payload_records`` leaves out, whole, for a reject table."""
-    return _rows(payloads).filter(~F.coalesce(_well_formed(), F.lit(False)))
+    rows = split_payloads(payloads, header=header_of())
+    return rows.filter(F.col("row").isNotNull() & ~fits_header()).select("header", "row")
 
 
 def variable_labels(metadata: DataFrame, text: str = "value") -> DataFrame:
@@ -58,7 +79,7 @@ def variable_labels(metadata: DataFrame, text: str = "value") -> DataFrame:
     """
     parsed = F.from_json(text, VARIABLES_TYPE)["variables"]
     return (
-        metadata.select(F.explode(parsed).alias("code", "info"))
+        metadata.select(F.explode_outer(parsed).alias("code", "info"))
         .filter(is_estimate_code("code"))
         .select(
             table_of("code").alias("table_id"),

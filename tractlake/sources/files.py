@@ -81,7 +81,9 @@ def read_json_pages(
             F.concat(F.lit("expected a JSON list, got: "), F.substring(F.col("value"), 1, 80))
         ).cast(T.ArrayType(schema))
     )
-    return pages.select(F.inline(checked))
+    # An inner explode would get a not-empty filter, and the page a second parse.
+    records = pages.select(F.explode_outer(checked).alias("record"))
+    return records.filter(F.col("record").isNotNull()).select("record.*")
 
 
 def read_path(

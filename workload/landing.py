@@ -17,6 +17,9 @@ from tractlake.workspace import fresh_dir
 from workload.registry import once_per_session, table
 
 
+# A test table is one file with one row group; a feed lands as several files.
+RECORDS_PER_FILE = 50_000
+
 OLDER = datetime(2024, 1, 1, tzinfo=timezone.utc)
 NEWER = datetime(2024, 1, 2, tzinfo=timezone.utc)
 CLOCK = datetime(2024, 1, 31, 12, 30, 0, tzinfo=timezone.utc)
@@ -231,7 +234,7 @@ def expense_snapshots(spark, sf_dir) -> str:
 
 def _text_table(df: DataFrame, name: str) -> str:
     path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", RECORDS_PER_FILE).parquet(path)
     return path
 
 
