@@ -184,7 +184,7 @@ def layer_counts(
         if path is None:
             counted = spark.range(1).select(F.lit(0).cast("bigint").alias("records"))
         elif fmt == "json":
-            pages = spark.read.option("wholetext", True).text(path)
+            pages = spark.read.text(path, wholetext=True)
             counted = pages.agg(
                 F.coalesce(F.sum(F.json_array_length("value")), F.lit(0))
                 .cast("bigint")

@@ -18,7 +18,7 @@ def read_payloads(spark: SparkSession, path: str | list[str], whole_files: bool
     one response per line, so that files split and tasks stay even. Text that is
     no such payload gives a null, see ``rejected_payloads``.
     """
-    text = spark.read.option("wholetext", whole_files).text(path)
+    text = spark.read.text(path, wholetext=whole_files)
     return text.withColumn("payload", F.from_json("value", PAYLOAD_TYPE))
 
 
@@ -92,4 +92,4 @@ def variable_labels(metadata: DataFrame, text: str = "value") -> DataFrame:
 def read_variable_labels(
     spark: SparkSession, path: str | list[str], whole_files: bool = True
 ) -> DataFrame:
-    return variable_labels(spark.read.option("wholetext", whole_files).text(path))
+    return variable_labels(spark.read.text(path, wholetext=whole_files))

@@ -71,7 +71,7 @@ def read_json_pages(
     object payload is an error message of the source, not data. ``whole_files``
     reads one page per file, else one page per line.
     """
-    pages = spark.read.option("wholetext", whole_files).text(path)
+    pages = spark.read.text(path, wholetext=whole_files)
     if not whole_files:
         pages = pages.filter(F.trim("value") != "")
     is_list = F.startswith(strip("value"), F.lit("["))
