@@ -24,6 +24,7 @@ from tractlake.operators.quality import (
     duplicate_report,
     filter_with_dropped,
     ingest_summary,
+    load_status,
     profile,
     reconcile,
     require_rows,
@@ -134,6 +135,34 @@ def test_left_lookup(rows, salts):
     assert sorted((r.n, r.label) for r in out.collect()) == [(1, "A"), (2, "A"), (3, ""), (4, "")]
 
 
+def test_hot_key_is_split_without_salts(spark, capsys):
+    """Adaptive execution splits the hot partition of a join too large to broadcast."""
+    settings_ = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings_}
+    for key, value in settings_.items():
+        spark.conf.set(key, value)
+    try:
+        ids = spark.range(0, 200_000, numPartitions=8)
+        hot = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1000)
+        left = ids.select(hot.alias("k"), F.col("id").alias("v"))
+        right = spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("label"))
+        joined = left_lookup(left, right, "k")
+        assert len(joined.collect()) == 200_000
+        capsys.readouterr()
+        joined.explain()
+        assert "skew=true" in capsys.readouterr().out
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_star_join_keeps_unmatched_facts(rows):
     fact = rows("v string, t string, x int", ("v1", "t1", 1), ("v2", "t9", 2))
     dims = {
@@ -258,6 +287,8 @@ def test_ingest_summary(rows):
     landed = rows("table_id string", ("B1",), ("B1",), ("C1",))
     out = ingest_summary(config, described, landed).first()
     assert tuple(out) == (4, 1, 1, 2, "B2, B4")
+    status = {tuple(r) for r in load_status(config, described, landed).collect()}
+    assert status == {("B1", "landed"), ("B2", "failed"), ("B3", "empty"), ("B4", "failed")}
     everything = ingest_summary(config, described, config).first()
     assert everything.failed_ids == "none"
 

@@ -4,7 +4,13 @@ import pytest
 
 from tractlake.schemas import schema_from_spec
 from tractlake.streaming.changes import change_check
-from tractlake.streaming.landing import clean_table, ingest_new_files, read_log
+from tractlake.streaming import landing as landing_module
+from tractlake.streaming.landing import (
+    clean_table,
+    ingest_new_files,
+    read_log,
+    touched_partitions,
+)
 
 RECORD = schema_from_spec(
     [
@@ -72,6 +78,25 @@ def test_every_file_counts_when_batches_are_small(spark, tmp_path, run):
     assert read_log(spark, str(tmp_path / "log"), RECORD).count() == 6
 
 
+def test_null_partitions_and_many_partitions(spark, tmp_path, run, monkeypatch):
+    run({"1.json": '{"doc": "a", "amount": 1}\n{"year": "2023", "doc": "a", "amount": 2}\n'})
+    run({"2.json": '{"doc": "a", "amount": 3}\n'})
+    expected = {(None, "a"): 3.0, ("2023", "a"): 2.0}
+    assert {k: v for k, (v, _) in clean(spark, tmp_path).items()} == expected
+    monkeypatch.setattr(landing_module, "MAX_TOUCHED", 0)
+    run({"3.json": '{"doc": "a", "amount": 4}\n'})
+    expected[None, "a"] = 4.0
+    assert {k: v for k, (v, _) in clean(spark, tmp_path).items()} == expected
+
+
+def test_other_partitions_of_the_log_are_not_read(spark, tmp_path, run, rows, capsys):
+    run({"1.json": '{"year": "2023", "doc": "a"}\n{"year": "2024", "doc": "b"}\n'})
+    log = read_log(spark, str(tmp_path / "log"), RECORD)
+    touched_partitions(log, rows("year string", ("2024",)), "year").explain()
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [(year" in plan.replace("isnotnull(year", "(year")
+
+
 def test_partition_column_must_be_part_of_the_key(spark, tmp_path):
     with pytest.raises(ValueError, match="partition_column"):
         ingest_new_files(spark, "x", RECORD, ["doc"], "year", "l", "t", str(tmp_path))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,11 @@ class EmptyInputError(RuntimeError):
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
-    """``df`` itself, or an error if it is empty; reads no more than one row."""
+    """``df`` itself, or an error if it is empty.
+
+    Meant for inputs, where one row is enough to know. Behind a shuffle the check
+    would run the whole plan before it.
+    """
     if df.isEmpty():
         raise EmptyInputError(f"{what}: no rows")
     return df
@@ -137,15 +141,15 @@ def schema_report(df: DataFrame, expected: T.StructType) -> DataFrame:
     return counted.select(F.inline(rows))
 
 
-def ingest_summary(
+def load_status(
     configured: DataFrame, described: DataFrame, landed: DataFrame, key: str = "table_id"
 ) -> DataFrame:
-    """One row on a load: configured, landed, empty and failed tables.
+    """(key, status) for each configured table: landed, empty or failed.
 
     ``described`` holds the ids the source lists variables for, ``landed`` those
-    with rows. A configured table is *landed*, or *empty* when the source lists
-    nothing for it, or else *failed*; ``failed_ids`` names these, or ``none``.
-    ``configured`` is the survey's table list, so the text stays short.
+    with rows. A table is *landed* if it has rows, *empty* if the source lists
+    nothing for it, and *failed* otherwise. Landed rows collapse to one per table
+    in each task, before the exchange.
     """
 
     def tagged(df: DataFrame, flag: str) -> DataFrame:
@@ -158,15 +162,34 @@ def ingest_summary(
         .unionAll(tagged(landed, "landed"))
         .groupBy(quoted(key))
         .agg(*[F.max(flag).alias(flag) for flag in ("wanted", "described", "landed")])
-        .filter("wanted = 1")
     )
-    failed = (F.col("landed") == 0) & (F.col("described") == 1)
-    return per_table.agg(
+    status = (
+        F.when(F.col("landed") == 1, "landed")
+        .when(F.col("described") == 0, "empty")
+        .otherwise("failed")
+    )
+    return per_table.filter("wanted = 1").select(quoted(key), status.alias("status"))
+
+
+def ingest_summary(
+    configured: DataFrame, described: DataFrame, landed: DataFrame, key: str = "table_id"
+) -> DataFrame:
+    """One row on a load: configured, landed, empty and failed tables.
+
+    ``failed_ids`` names the failed ones, or is ``none``. It is one text, made for
+    a survey's list of tables; take ``load_status`` where thousands may fail.
+    """
+
+    def count_of(status: str) -> Column:
+        return F.count_if(F.col("status") == status)
+
+    failed = F.when(F.col("status") == "failed", F.col(quoted(key)))
+    return load_status(configured, described, landed, key).agg(
         F.count("*").alias("tables_configured"),
-        F.count_if(F.col("landed") == 1).alias("tables_landed"),
-        F.count_if((F.col("landed") == 0) & (F.col("described") == 0)).alias("tables_empty"),
-        F.count_if(failed).alias("tables_failed"),
-        joined_or(F.collect_set(F.when(failed, F.col(quoted(key))))).alias("failed_ids"),
+        count_of("landed").alias("tables_landed"),
+        count_of("empty").alias("tables_empty"),
+        count_of("failed").alias("tables_failed"),
+        joined_or(F.collect_set(failed)).alias("failed_ids"),
     )
 
 

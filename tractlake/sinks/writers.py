@@ -85,9 +85,15 @@ def replace_path(
 def replace_partitions(
     df: DataFrame, path: str, partition_by: Sequence[str], fmt: str = "parquet"
 ) -> None:
-    """Replace only the partitions that ``df`` has rows for."""
+    """Replace only the partitions that ``df`` has rows for.
+
+    Rows are brought together by partition first, or every task would write a file
+    to every partition. The rebalance hint splits a partition that holds a large
+    share of the rows over several tasks.
+    """
     (
-        df.write.format(fmt)
+        df.hint("rebalance", *partition_by)
+        .write.format(fmt)
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)

@@ -18,11 +18,11 @@ from pyspark.sql import types as T
 
 from tractlake.functions.dates import run_timestamp
 from tractlake.operators.dedup import keep_latest
-from tractlake.operators.joins import with_match
 from tractlake.sinks.writers import replace_partitions, replace_path
 
 BATCH = "batch_id"
 INGESTED = "ingest_timestamp"
+MAX_TOUCHED = 2_000
 
 
 def log_schema(schema: T.StructType) -> T.StructType:
@@ -44,6 +44,23 @@ def current_rows(log: DataFrame, keys: Sequence[str]) -> DataFrame:
     return keep_latest(log, keys, BATCH).drop(BATCH, "rn")
 
 
+def touched_partitions(log: DataFrame, batch: DataFrame, partition_column: str) -> DataFrame:
+    """The rows of the log that lie in partitions ``batch`` has rows for.
+
+    The partition values become a static filter, so other folders are not read.
+    They are few; if there are more than MAX_TOUCHED the whole log is taken, which
+    rebuilds more than needed but gives the same table.
+    """
+    values = batch.select(partition_column).distinct().limit(MAX_TOUCHED + 1).collect()
+    if len(values) > MAX_TOUCHED:
+        return log
+    column = F.col(partition_column)
+    condition = column.isin([value for (value,) in values if value is not None])
+    if any(value is None for (value,) in values):
+        condition = condition | column.isNull()
+    return log.filter(condition)
+
+
 def refresh_touched(
     log: DataFrame,
     batch: DataFrame,
@@ -53,10 +70,9 @@ def refresh_touched(
 ) -> None:
     """Rebuild the partitions of the clean table that ``batch`` has rows for.
 
-    ``partition_column`` is one of ``keys``, so a key lives in one partition. The
-    log is partitioned by it too: other partitions are not read.
+    ``partition_column`` is one of ``keys``, so a key lives in one partition.
     """
-    touched = with_match(log, batch, partition_column, partition_column)
+    touched = touched_partitions(log, batch, partition_column)
     replace_partitions(current_rows(touched, keys), target_path, [partition_column])
 
 
