@@ -11,6 +11,7 @@ from tractlake.functions.text import col_of
 
 # Numbers as text: Spark alone would also take '1d', '2f' and hex floats.
 NUMERIC = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))\s*$"
+WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
 
 
 def strict_cast(column: Column | str, type_name: str, name: str = "value") -> Column:
@@ -35,6 +36,12 @@ def lenient_double(column: Column | str) -> Column:
     return F.when(value.rlike(NUMERIC), value.try_cast("double"))
 
 
+def lenient_int(column: Column | str, type_name: str = "int") -> Column:
+    """Text to a whole number; anything else, or one out of range, becomes null."""
+    value = col_of(column).cast("string")
+    return F.when(value.rlike(WHOLE_NUMBER), value.try_cast(type_name))
+
+
 def null_if_nan(column: Column | str) -> Column:
     value = col_of(column)
     return F.when(~F.isnan(value), value)
@@ -63,7 +70,9 @@ def clean_numeric_columns(
         value = F.col(f"`{name}`")
         counters += [
             F.count_if(~value.rlike(NUMERIC)).alias(f"bad_{i}"),
-            F.count_if(value.isNotNull() & value.try_cast("bigint").isNull()).alias(f"broken_{i}"),
+            F.count_if(value.isNotNull() & lenient_int(value, "bigint").isNull()).alias(
+                f"broken_{i}"
+            ),
         ]
     found = df.agg(*counters).first()
     types = {}

@@ -19,16 +19,23 @@ from tractlake.operators.columns import quoted
 RANK = "rn"
 
 
-def _tie_break(df: DataFrame, keys: Sequence[str], descending: bool) -> list[Column]:
+def _tie_break(df: DataFrame, used: Sequence[str], descending: bool) -> list[Column]:
     order = []
     for field in df.schema:
-        if field.name in keys or isinstance(field.dataType, (T.MapType, T.VariantType)):
+        if field.name in used or isinstance(field.dataType, (T.MapType, T.VariantType)):
             continue
         column = F.col(quoted(field.name))
         order.append(column.desc_nulls_last() if descending else column.asc_nulls_first())
     return order
 
 
+def _keep_first(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], ties: Sequence[Column]
+) -> DataFrame:
+    window = Window.partitionBy(*[F.col(quoted(k)) for k in keys]).orderBy(*order, *ties)
+    return df.withColumn(RANK, F.row_number().over(window)).filter(F.col(RANK) == 1)
+
+
 def keep_first(
     df: DataFrame,
     keys: Sequence[str],
@@ -39,15 +46,13 @@ def keep_first(
 
     The rank stays in the output as ``rn``.
     """
-    window = Window.partitionBy(*[F.col(quoted(k)) for k in keys]).orderBy(
-        *order, *_tie_break(df, keys, descending_ties)
-    )
-    return df.withColumn(RANK, F.row_number().over(window)).filter(F.col(RANK) == 1)
+    return _keep_first(df, keys, order, _tie_break(df, keys, descending_ties))
 
 
 def keep_latest(df: DataFrame, keys: Sequence[str], time_column: str) -> DataFrame:
-    """One row per key, the newest by ``time_column``."""
-    return keep_first(df, keys, [F.col(quoted(time_column)).desc_nulls_last()])
+    """One row per key, the newest by ``time_column``, then the greatest row."""
+    newest = F.col(quoted(time_column)).desc_nulls_last()
+    return _keep_first(df, keys, [newest], _tie_break(df, [*keys, time_column], True))
 
 
 def first_per_key(

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tractlake.functions.casts import lenient_double, lenient_int
 from tractlake.functions.dates import iso_timestamp
 from tractlake.operators.columns import (
     drop_columns,
@@ -44,11 +45,11 @@ def silver_business(raw: DataFrame) -> DataFrame:
     """
     typed = raw.withColumns(
         {
-            "latitude": F.col(f"{NESTED_COLUMN}.latitude").try_cast("double"),
-            "longitude": F.col(f"{NESTED_COLUMN}.longitude").try_cast("double"),
+            "latitude": lenient_double(f"{NESTED_COLUMN}.latitude"),
+            "longitude": lenient_double(f"{NESTED_COLUMN}.longitude"),
             **{name: F.trim(name) for name in BUSINESS_TEXT_COLUMNS},
-            "naics": F.col("naics").try_cast("int"),
-            "council_district": F.col("council_district").try_cast("int"),
+            "naics": lenient_int("naics"),
+            "council_district": lenient_int("council_district"),
             "location_start_date": iso_timestamp("location_start_date"),
         }
     )

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractlake.functions.casts import clean_numeric_columns
+from tractlake.functions.casts import clean_numeric_columns, lenient_int
 from tractlake.operators.aggregates import metric_tables, sum_numeric_by
 from tractlake.operators.columns import flatten, normalize_names, snake_case
 from tractlake.operators.windows import ratio, with_change
@@ -28,7 +28,7 @@ def clean_counts(counts: DataFrame) -> DataFrame:
         {
             "spa": F.col("spa").cast("string"),
             "population_type": F.col("population_type").cast("string"),
-            "count": F.col("count").try_cast("int"),
+            "count": lenient_int("count"),
         }
     )
 
