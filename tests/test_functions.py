@@ -1,6 +1,9 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -35,6 +38,45 @@ def test_reliability(rows, estimate, moe, error, cv, grade):
     assert row.reliability == grade
 
 
+NUMBER_TEXT = st.one_of(
+    st.none(),
+    st.integers(-(10**12), 10**12).map(str),
+    st.floats(-1e6, 1e6).map(repr),
+    st.sampled_from(["-", "", "NaN", "nan", "0", "-0", "0.0", "N/A", "(X)", "1,000", "5+", " 7 "]),
+)
+
+
+@settings(
+    max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(st.lists(st.tuples(NUMBER_TEXT, NUMBER_TEXT), min_size=1, max_size=40))
+def test_reliability_equals_a_row_by_row_computation(spark, pairs):
+    def number(text):
+        value = pd.to_numeric(pd.Series([text], dtype=object), errors="coerce")[0]
+        return None if pd.isna(value) else float(value)
+
+    def expected(estimate, moe):
+        e, m = number(estimate), number(moe)
+        error = None if m is None else m / 1.645
+        cv = None if error is None or not e else abs(error / e) * 100
+        name = "not applicable" if cv is None else next(
+            (n for n, limit in (("reliable", 12), ("use with caution", 40)) if cv <= limit),
+            "not reliable",
+        )
+        return (e, m, error, cv, name)
+
+    df = spark.createDataFrame(
+        [(i, *pair) for i, pair in enumerate(pairs)], "i int, estimate string, moe string"
+    )
+    out = with_reliability(df).orderBy("i").drop("i").collect()
+    # pandas may miss the nearest double by one place when it parses long decimals.
+    for row, pair in zip(out, pairs, strict=True):
+        *numbers, name = expected(*pair)
+        assert row.reliability == name
+        for got, wanted in zip(row[:-1], numbers, strict=True):
+            assert got == (wanted if wanted is None else pytest.approx(wanted, rel=1e-12))
+
+
 def test_thresholds_are_inclusive(rows):
     row = with_reliability(rows("estimate string, moe string", ("1000", "197.4"))).first()
     assert row.cv_pct == 12.0

@@ -63,13 +63,14 @@ def load_survey(spark, survey):
     return {
         name: read_dataset(spark, root, name)
         for name in DATASETS
-        if "estimates" in name or "dim" in name or name == "bronze.variables"
+        if "estimates" in name or "dim" in name or "variables" in name
     }
 
 
 def test_survey_from_files_to_star(spark, survey):
     lake = load_survey(spark, survey)
-    assert as_set(lake["bronze.variables"]) == {
+    assert lake["bronze.variables"].count() == 5
+    assert as_set(lake["bronze.selected_variables"]) == {
         ("B19013", "B19013_001", "Median"),
         ("B19013", "B19013_002", ""),
         ("C19013", "C19013_001", "Collapsed"),
@@ -186,6 +187,27 @@ def test_silver_expenses_by_name(rows):
     }
 
 
+def test_pages_become_one_snapshot(spark, place):
+    root = place(
+        {
+            "pages/0.json": json.dumps([EXPENSE, {**EXPENSE, "doc_id": "2"}], indent=2),
+            "pages/1.json": json.dumps([{**EXPENSE, "doc_id": "3"}]),
+            "pages/2.json": "[]",
+            "none/0.json": "[]",
+            "wrong/0.json": json.dumps({"error": "limit"}),
+        }
+    )
+    path = expenses.land_pages(spark, f"{root}/pages", f"{root}/bronze", now=NOW)
+    assert path == latest_snapshot(spark, f"{root}/bronze").removeprefix("file:")
+    paths = expenses.load_all(
+        spark, f"{root}/bronze", f"{root}/silver", f"{root}/gold", lines=True, now=NOW
+    )
+    assert spark.read.parquet(paths["gold"]).count() == 3
+    assert expenses.land_pages(spark, f"{root}/none", f"{root}/bronze2", now=NOW) is None
+    with pytest.raises(Exception, match="expected a JSON list"):
+        expenses.land_pages(spark, f"{root}/wrong", f"{root}/bronze2", now=NOW)
+
+
 def test_expense_load_takes_the_newest_snapshot(spark, place):
     root = place(
         {

@@ -165,7 +165,6 @@ def load_all(
     costs no more than the stage at hand.
     """
     config = read_table_config(spark, config_path)
-    variables = read_variable_labels(spark, variables_path, whole_files)
     payloads = read_payloads(spark, payload_path, whole_files)
     paths = {}
 
@@ -173,7 +172,10 @@ def load_all(
         paths[name] = write_dataset(df, root, name, fmt)
         return read_dataset(spark, root, name, fmt)
 
-    selected = store("bronze.variables", selected_variables(config, variables))
+    variables = store(
+        "bronze.variables", read_variable_labels(spark, variables_path, whole_files)
+    )
+    selected = store("bronze.selected_variables", selected_variables(config, variables))
     bronze = store("bronze.estimates", bronze_estimates(payloads, selected, year, now))
     silver = store("silver.estimates", silver_estimates(bronze, now=now))
     store("gold.dim_variable", dim_variable(silver))

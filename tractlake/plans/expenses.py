@@ -19,6 +19,7 @@ from tractlake.operators.columns import (
 from tractlake.operators.dedup import drop_duplicate_rows, keep_latest
 from tractlake.schemas import EXPENSE_KEY, EXPENSE_TEXT_COLUMNS, RAW_EXPENSES
 from tractlake.sinks.writers import write_snapshot
+from tractlake.sources.files import read_json_pages
 from tractlake.sources.snapshots import read_latest_json
 
 # Silver name -> gold name.
@@ -57,6 +58,21 @@ def gold_expenses(silver: DataFrame) -> DataFrame:
     return rename(silver, GOLD_NAMES)
 
 
+def land_pages(
+    spark: SparkSession,
+    pages_path: str,
+    bronze_dir: str,
+    whole_files: bool = True,
+    now: datetime | None = None,
+) -> str | None:
+    """All landed pages as one bronze snapshot; None if the pages hold no records.
+
+    A page that is not a list of records ends the run.
+    """
+    records = read_json_pages(spark, pages_path, RAW_EXPENSES, whole_files)
+    return write_snapshot(records, bronze_dir, "json", now)
+
+
 def load_all(
     spark: SparkSession,
     bronze_dir: str,

@@ -194,6 +194,9 @@ DATASETS = {
     dataset.name: dataset
     for dataset in (
         Dataset("bronze.variables", "bronze/variables", VARIABLES, ("variable",)),
+        Dataset(
+            "bronze.selected_variables", "bronze/selected_variables", VARIABLES, ("variable",)
+        ),
         Dataset(
             "bronze.estimates",
             "bronze/estimates",

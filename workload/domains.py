@@ -32,10 +32,11 @@ def _survey_config(spark, sf_dir):
     return parts.unionAll(landed)
 
 
+@once_per_session
 def _variables(spark, sf_dir):
-    return read_variable_labels(
-        spark, landing.survey_variables(spark, sf_dir), whole_files=False
-    )
+    """The list of variables as the load stores it."""
+    path = landing.survey_variables(spark, sf_dir)
+    return materialize(read_variable_labels(spark, path, whole_files=False), "variables")
 
 
 def _bronze(spark, sf_dir):
@@ -180,6 +181,25 @@ _SILVER_EXPENSES_SQL = f"""
 """
 
 
+@query(
+    "S4 S5 U1 K6 Q10 S16",
+    """
+    SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderstatus AS doc_cd,
+           CAST(o_totalprice AS DOUBLE) AS pstng_am,
+           strftime(o_orderdate, '%m/%d/%Y') AS transaction_date
+    FROM orders
+    """,
+)
+def expense_bronze(spark, sf_dir):
+    directory = fresh_dir(spark, "expense-bronze")
+    pages = landing.expense_pages(spark, sf_dir)
+    expenses.land_pages(spark, pages, directory, whole_files=False, now=CLOCK)
+    raw = read_latest_json(spark, directory, RAW_EXPENSES, lines=True)
+    return raw.select(
+        "doc_id", "doc_cd", F.col("pstng_am").cast("double").alias("pstng_am"), "transaction_date"
+    )
+
+
 @query("P3 P11 F4 W1 S16 K6", _SILVER_EXPENSES_SQL)
 def expense_silver(spark, sf_dir):
     directory = landing.expense_snapshots(spark, sf_dir)

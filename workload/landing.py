@@ -135,13 +135,8 @@ def survey_variables(spark, sf_dir) -> str:
     )
 
 
-def _order_pages(spark, sf_dir, page_size: int, one_file_per_page: bool) -> str:
-    record = F.struct(
-        text_of("o_orderkey").alias("doc_id"),
-        F.col("o_orderstatus").alias("state"),
-        text_of("o_totalprice").alias("amount"),
-        F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("priority"),
-    )
+def _pages(spark, sf_dir, record: Column, page_size: int, one_file_per_page: bool) -> str:
+    """Orders as JSON lists of ``record``, and one empty list at the end."""
     pages = (
         table(spark, sf_dir, "orders")
         .groupBy(F.floor(F.col("o_orderkey") / page_size).alias("page"))
@@ -151,16 +146,37 @@ def _order_pages(spark, sf_dir, page_size: int, one_file_per_page: bool) -> str:
     return _write_lines(pages.select("value").unionAll(last), "pages", one_file_per_page)
 
 
+def _order_record() -> Column:
+    return F.struct(
+        text_of("o_orderkey").alias("doc_id"),
+        F.col("o_orderstatus").alias("state"),
+        text_of("o_totalprice").alias("amount"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("priority"),
+    )
+
+
+@once_per_session
+def expense_pages(spark, sf_dir) -> str:
+    """Orders as pages of raw expense records, a page per line."""
+    record = F.struct(
+        text_of("o_orderkey").alias("doc_id"),
+        F.col("o_orderstatus").alias("doc_cd"),
+        text_of("o_totalprice").alias("pstng_am"),
+        F.date_format("o_orderdate", "MM/dd/yyyy").alias("transaction_date"),
+    )
+    return _pages(spark, sf_dir, record, 500, False)
+
+
 @once_per_session
 def order_pages(spark, sf_dir) -> str:
     """Orders as JSON pages, a list of records per line, and one empty page at the end."""
-    return _order_pages(spark, sf_dir, 500, False)
+    return _pages(spark, sf_dir, _order_record(), 500, False)
 
 
 @once_per_session
 def order_page_files(spark, sf_dir) -> str:
     """The same in pages of 5000, each a file of its own."""
-    return _order_pages(spark, sf_dir, 5000, True)
+    return _pages(spark, sf_dir, _order_record(), 5000, True)
 
 
 @once_per_session
