@@ -27,6 +27,7 @@ DISTRICT_DOMAIN = "business_by_district"
 NESTED_COLUMN = "location_1"
 PORTAL_PREFIX = "@computed_region_"
 
+# The columns of the geography table, before its lineage.
 GEOGRAPHY_COLUMNS = (
     "location_account",
     "street_address",

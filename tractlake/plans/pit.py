@@ -15,6 +15,7 @@ from tractlake.schemas import PIT
 from tractlake.sinks.writers import write_dataset
 from tractlake.sources.files import read_dataset, read_delimited
 
+# The declared metrics.
 METRICS = {"total_count": {"group_by": ["year", "spa"], "aggregation": {"count": "sum"}}}
 
 

@@ -87,6 +87,7 @@ EXPENSE_TEXT_COLUMNS = {
     "transaction_closed": "transaction_closed",
     "vend_cust_cd": "vend_cust_cd",
 }
+# What makes an expense line unique.
 EXPENSE_KEY = ("doc_id", "doc_cd", "dept_cd", "vend_cust_cd", "fiscal_year", "doc_actg_ln_no")
 
 RAW_EXPENSES = schema_from_spec(
@@ -101,6 +102,7 @@ SILVER_EXPENSES = schema_from_spec(
     ]
 )
 
+# The text columns of the licence feed.
 BUSINESS_TEXT_COLUMNS = (
     "location_account",
     "business_name",
@@ -163,6 +165,7 @@ GOLD_DISTRICTS = schema_from_spec(
     ]
 )
 
+# The columns of the point-in-time counts.
 PIT_SPEC = [
     {"name": "year", "type": "integer", "nullable": True},
     {"name": "spa", "type": "string", "nullable": True},

@@ -5,6 +5,9 @@ writes its own ``batch_id`` folder of the log and then rebuilds the partitions o
 the clean table it touched, always from the whole log of these partitions. Both
 steps replace what they own, so a batch that is repeated after a crash leaves the
 same tables, and the cost of a run follows the new data and not the history.
+
+Plain files give readers no isolation: while a batch commits, one may find some of
+its partitions replaced and others not yet.
 """
 
 from __future__ import annotations

@@ -202,14 +202,15 @@ def named_columns(spark, sf_dir):
 
 @query(
     "P4",
-    "SELECT s_suppkey AS supplier_key, s_name AS \"s name\", s_acctbal AS balance FROM supplier",
+    "SELECT s_suppkey AS supplier_key, s_name AS full_name, s_acctbal AS balance FROM supplier",
 )
 def name_rules(spark, sf_dir):
     suppliers = table(spark, sf_dir, "supplier")
-    snake = normalize_names(
-        suppliers.toDF("Supplier-Key", "S NAME ", "nation", "Balance").drop("nation"), trimmed_lower
+    lowered = normalize_names(
+        suppliers.toDF("Supplier-Key", " FULL NAME ", "nation", "Balance").drop("nation"),
+        trimmed_lower,
     )
-    return rename(snake, {"supplier-key": snake_case("Supplier-Key")})
+    return normalize_names(lowered, snake_case)
 
 
 @query(
@@ -256,8 +257,8 @@ def nested_fields(spark, sf_dir):
 @query(
     "S9 R3",
     """
-    SELECT o_orderkey AS "id", o_totalprice AS "price.total", o_orderstatus AS "price.state.code",
-           o_orderpriority AS "price.state.rank"
+    SELECT o_orderkey AS id, o_totalprice AS price_total, o_orderstatus AS price_state_code,
+           o_orderpriority AS price_state_rank
     FROM orders
     """,
 )
@@ -271,7 +272,7 @@ def flattened(spark, sf_dir):
             ).alias("state"),
         ).alias("price"),
     )
-    return flatten(nested)
+    return flatten(nested, separator="_")
 
 
 @query(
