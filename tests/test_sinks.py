@@ -106,3 +106,18 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
     assert fresh_dir(spark, "x") != fresh_dir(spark, "x")
     assert fresh_dir(spark, "x").startswith(shared_root(spark))
+
+
+class Session:
+    """Stands in for a session with these settings."""
+
+    def __init__(self, **settings):
+        self.conf = {"spark." + key.replace("_", "."): value for key, value in settings.items()}
+
+
+def test_only_a_local_session_may_use_a_temporary_folder():
+    local = Session(master="local[2]", app_id="app-1")
+    assert shared_root(local) == shared_root(local)
+    assert shared_root(Session(master="yarn", checkpoint_dir="s3a://b/c/")) == "s3a://b/c"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_root(Session(master="yarn", app_id="app-2"))

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_ROOTS = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors can see, as named by ``spark.checkpoint.dir``.
 
@@ -19,9 +22,10 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="tractlake-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.conf.get("spark.app.id", "")
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="tractlake-")
+    return _LOCAL_ROOTS[app]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
