@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tractlake.llm import mixing, neardup, quality, sharding
+from tractlake.llm import bpe, mixing, neardup, neighbours, quality, sharding, tokenfiles
 
-QUERIES = {q.name: q for module in (sharding, mixing, neardup, quality) for q in module.QUERIES}
+QUERIES = {q.name: q for module in (sharding, tokenfiles, bpe, mixing, neardup, quality, neighbours) for q in module.QUERIES}
