@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -43,5 +44,8 @@ def utf8(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
-def row_hash(*columns: str) -> Column:
-    return F.xxhash64(*[F.col(c) for c in columns])
+def folder_of(path: str):
+    """The file system of ``path`` and the path in it, for files that tasks write themselves."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))

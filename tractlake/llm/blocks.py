@@ -6,10 +6,15 @@ for it goes back to each block that has it, by position. Neither a word nor a bl
 more than one row per block and bucket, so frequent words aren't hot. A group of a bucket
 holds one part of the distinct words; a group of a block, at most ``BLOCK_WORDS`` words and
 the last document's.
+
+The places of a block's words are the bulk of it. They are written once, to a file in the shared folder,
+and read by the task that joins the block: they aren't shuffled. The stored rows of the
+blocks name the files of the tasks that counted.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -19,12 +24,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractlake.llm.base import materialize, utf8, width
-
-BLOCK_WORDS = 4_000_000
-PACKED = (
-    "block long, ids array<long>, sizes array<int>, places binary, buckets binary, "
-    "words array<binary>, counts array<binary>"
+from tractlake.llm.base import folder_of, materialize, utf8, width
+
+BLOCK_WORDS = 2_000_000
+PACKED = "block long, file string, words array<binary>, counts array<binary>"
+OWN = pa.schema(
+    [
+        ("ids", pa.list_(pa.int64())),
+        ("sizes", pa.list_(pa.int32())),
+        ("places", pa.binary()),
+        ("buckets", pa.binary()),
+        ("words", pa.list_(pa.binary())),
+    ]
 )
 
 
@@ -51,12 +62,13 @@ def unpack_words(data: bytes) -> list[bytes]:
 
 def pack(
     docs: DataFrame,
+    path: str,
     spread: int | None = None,
     lower: bool = False,
     counted: Callable[[int | None], bool] | None = None,
     limit: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """Blocks of ``docs`` (doc_id, text), stored. ``spread``: the number of buckets.
+    """Blocks of ``docs`` (doc_id, text), stored; their files go to ``path``. ``spread``: buckets.
 
     ``lower``: words are lower-cased in A-Z. ``counted``: for which ids words are counted.
     """
@@ -94,21 +106,24 @@ def pack(
             used = [t for i, t in zip(ids, texts) if counted(i)]
             sums = np.bincount(np.concatenate(used) if used else [], minlength=len(words))
             counts = [pack_numbers(sums[part]) for part in parts]
-        row = {
-            "block": block,
-            "ids": ids,
-            "sizes": [len(t) for t in texts],
-            "places": pack_numbers(np.concatenate(texts)),
-            "buckets": pack_numbers(bucket),
-            "words": [pack_words([words[i] for i in part]) for part in parts],
-            "counts": counts,
-        }
-        kinds = [
-            pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(),
-            pa.list_(pa.binary()), pa.list_(pa.binary()),
-        ]
+        packed = [pack_words([words[i] for i in part]) for part in parts]
+        own = [
+            ids,
+            [len(t) for t in texts],
+            pack_numbers(np.concatenate(texts)),
+            pack_numbers(bucket),
+            packed if lower else [],
+        ]
+        store, folder = folder_of(path)
+        store.create_dir(folder, recursive=True)
+        file = f"{folder}/block-{block:012x}-{uuid.uuid4().hex}.arrow"
+        with store.open_output_stream(file) as stream, pa.ipc.new_file(stream, OWN) as writer:
+            arrays = [pa.array([v], f.type) for v, f in zip(own, OWN)]
+            writer.write_batch(pa.RecordBatch.from_arrays(arrays, schema=OWN))
+        kinds = [pa.int64(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.binary())]
         return pa.RecordBatch.from_arrays(
-            [pa.array([v], k) for v, k in zip(row.values(), kinds)], list(row)
+            [pa.array([v], k) for v, k in zip([block, file, packed, counts], kinds)],
+            ["block", "file", "words", "counts"],
         )
 
     packed = docs.select(F.col("doc_id").cast("long"), utf8().alias("__text"))
@@ -125,28 +140,26 @@ def by_word(blocks: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str)
 
 
 def by_block(
-    blocks: DataFrame,
-    found: DataFrame,
-    run: Callable[[pa.Table], pa.Table],
-    schema: str,
-    words: bool = False,
+    blocks: DataFrame, found: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str
 ) -> DataFrame:
-    """``run`` for each block: its own row (bucket -1) and its rows of ``found`` (block, bucket, data)."""
-    own = ["ids", "sizes", "places", "buckets", *(["words"] if words else [])]
-    kinds = {f.name: f.dataType for f in blocks.schema}
+    """``run`` for each block: the name of its file, and its rows of ``found`` (block, bucket, data)."""
+    none = F.lit(None)
     rows = blocks.select(
-        "block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("data"), *own
-    ).unionByName(
-        found.select("block", "bucket", "data", *[F.lit(None).cast(kinds[c]).alias(c) for c in own])
-    )
+        "block", F.lit(-1).alias("bucket"), none.cast("binary").alias("data"), "file"
+    ).unionByName(found.select("block", "bucket", "data", none.cast("string").alias("file")))
     return rows.groupBy("block").applyInArrow(run, schema)
 
 
-def parts_of(rows: pa.Table) -> tuple[dict, list[bytes]]:
+def own_of(file: str, path: str) -> dict:
+    """The values of ``OWN`` in a block's file."""
+    with folder_of(path)[0].open_input_file(file) as stream, pa.ipc.open_file(stream) as opened:
+        return opened.get_batch(0).to_pylist()[0]
+
+
+def parts_of(rows: pa.Table, path: str) -> tuple[dict, list[bytes]]:
     """A block's own values, and what was found for its buckets, in their order."""
-    found = sorted(rows.select(["bucket", "data"]).to_pylist(), key=lambda r: r["bucket"])
-    at = rows.column("bucket").to_pylist().index(-1)
-    return rows.slice(at, 1).to_pylist()[0], [r["data"] for r in found[1:]]
+    found = sorted(rows.select(["bucket", "data", "file"]).to_pylist(), key=lambda r: r["bucket"])
+    return own_of(found[0]["file"], path), [r["data"] for r in found[1:]]
 
 
 def bucket_order(own: dict) -> np.ndarray:

@@ -14,6 +14,7 @@ encoded each. Null ids of documents stay null. Empty tables give empty tables. O
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -22,7 +23,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tractlake.llm.base import Query, table
+from tractlake.llm.base import Query, fresh_dir, table
 from tractlake.llm.blocks import (
     bucket_order,
     by_block,
@@ -35,10 +36,13 @@ from tractlake.llm.blocks import (
 )
 
 WORD_BPE = "word_bpe_49k.json"
+#: Words that are encoded in one call.
+CALL = 2_000
 
 
 def load(definition: str):
-    """The tokenizer of a JSON text, without truncation and padding."""
+    """The tokenizer of a JSON text, without truncation, padding and threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(definition)
@@ -64,9 +68,11 @@ def encode_words(blocks: DataFrame, definition: str) -> DataFrame:
         for data in rows.column("words"):
             words = unpack_words(data.as_py())
             new = [w for w in words if w not in known]
-            texts = [w.decode("utf-8", "replace") for w in new]
-            for w, e in zip(new, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4")
+            for i in range(0, len(new), CALL):
+                now = new[i : i + CALL]
+                texts = [w.decode("utf-8", "replace") for w in now]
+                for w, e in zip(now, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                    known[w] = np.array(e.ids, "<u4")
             ids = [known[w] for w in words]
             flat = np.concatenate([np.array([len(x) for x in ids], "<u4"), *ids])
             out.append(pack_numbers(np.concatenate([np.array([len(ids)], "<u4"), flat])))
@@ -75,9 +81,9 @@ def encode_words(blocks: DataFrame, definition: str) -> DataFrame:
     return by_word(blocks, run, "block long, bucket int, data binary")
 
 
-def _texts(rows: pa.Table) -> Iterator[tuple[int | None, np.ndarray]]:
+def _texts(rows: pa.Table, path: str) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of the documents of a block."""
-    own, found = parts_of(rows)
+    own, found = parts_of(rows, path)
     lengths, flat = [np.empty(0, "<u4")], [np.empty(0, "<u4")]
     for data in found:
         numbers = unpack_numbers(data)
@@ -106,11 +112,12 @@ def encode_with(
     columns: dict[str, tuple[str, pa.DataType]],
 ) -> DataFrame:
     """(doc_id, columns): what ``row`` makes of each text's ids."""
-    blocks = pack(docs.select("doc_id", "text"))
+    path = fresh_dir(docs.sparkSession, "texts")
+    blocks = pack(docs.select("doc_id", "text"), path)
 
     def run(rows: pa.Table) -> pa.Table:
         ids, values = [], []
-        for doc, numbers in _texts(rows):
+        for doc, numbers in _texts(rows, path):
             ids.append(doc)
             values.append(row(numbers))
         arrays = {"doc_id": pa.array(ids, pa.int64())}
