@@ -12,9 +12,9 @@ A task names its files by itself; the manifest, a table that Spark writes, lists
 tasks that counted. So a task that is run again leaves unused files at most. Files go to
 the given folder through ``pyarrow.fs``, which knows the folder's scheme.
 
-Texts are cut before blanks and line ends that a letter or sign follows, where the byte-level pattern always cuts.
-Pieces that a task has met before aren't encoded again. A text that names a special token is
-encoded as a whole.
+Texts are cut where the byte-level pattern always cuts: before a blank or line end that a letter
+or sign follows, and between a letter and a mark. Pieces that a task has met before aren't
+encoded again. A text that names a special token is encoded as a whole.
 
 Null ids come first, equal ids in order of a hash of the text; null texts are empty and have
 just the end id. Empty tables give a manifest without rows. Only ``doc_id`` and ``text`` are read.
@@ -27,6 +27,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -34,26 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tractlake.llm.base import Query, fresh_dir, materialize, table, utf8, width
+from tractlake.llm.base import Query, folder_of, fresh_dir, materialize, table, utf8, width
 from tractlake.llm.bpe import definition_of, load
 
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
 LENGTH = 2_048
 BATCH = 64
-#: Pieces that a task remembers before it starts anew.
-KNOWN = 300_000
+#: Pieces that a task remembers before it starts anew; pieces that are encoded in one call.
+KNOWN, CALL = 600_000, 2_000
 # Before one blank or line end that an ASCII sign follows, or the first byte of a letter
 # that is no white space in any script (those begin with C2, E1, E2 or E3).
-CUT = re.compile(rb"(?=[ \n][\x21-\x7e\xc3-\xe0\xe4-\xf4])")
-
-
-def folder_of(path: str):
-    """The file system of ``path`` and the path in it."""
-    from pyarrow import fs
-
-    path = re.sub(r"^file:/+", "/", path)
-    return fs.FileSystem.from_uri(path)
+CUT = re.compile(rb"(?=[ \n][\x21-\x7e\xc3-\xe0\xe4-\xf4])|(?<=[A-Za-z])(?=[.,;:!?])")
+# A blank and letters are one token of the pattern; the byte-level alphabet writes the blank so.
+PLAIN = re.compile(rb" ?[A-Za-z]+")
+BLANK = "\u0120"
 
 
 class Encoder:
@@ -71,12 +67,21 @@ class Encoder:
         cut = [[t] if self.special.search(t) else CUT.split(t) if t else [] for t in texts]
         if len(self.known) > self.most:
             self.known = {}
-        new = list({p for pieces in cut for p in pieces if p not in self.known})
-        found = self.tokenizer.encode_batch_fast(
-            [p.decode("utf-8", "replace") for p in new], add_special_tokens=False
-        )
-        for piece, encoded in zip(new, found):
-            self.known[piece] = np.array(encoded.ids, "<u4").tobytes()
+        other = []
+        for piece in {p for pieces in cut for p in pieces}.difference(self.known):
+            if PLAIN.fullmatch(piece):
+                found = self.tokenizer.model.tokenize(piece.decode().replace(" ", BLANK))
+                self.known[piece] = pack(f"<{len(found)}I", *[t.id for t in found])
+            else:
+                other.append(piece)
+        for i in range(0, len(other), CALL):
+            now = other[i : i + CALL]
+            found = self.tokenizer.encode_batch_fast(
+                [p.decode("utf-8", "replace") for p in now], add_special_tokens=False
+            )
+            for piece, encoded in zip(now, found):
+                ids = encoded.ids
+                self.known[piece] = pack(f"<{len(ids)}I", *ids)
         return [b"".join([self.known[p] for p in pieces]) for pieces in cut]
 
 
