@@ -46,17 +46,25 @@ BATCH = 64
 KNOWN, CALL = 600_000, 2_000
 # Before one blank or line end that an ASCII sign follows, or the first byte of a letter
 # that is no white space in any script (those begin with C2, E1, E2 or E3).
-CUT = re.compile(rb"(?=[ \n][\x21-\x7e\xc3-\xe0\xe4-\xf4])|(?<=[A-Za-z])(?=[.,;:!?])")
-# A blank and letters are one token of the pattern; the byte-level alphabet writes the blank so.
-PLAIN = re.compile(rb" ?[A-Za-z]+")
-BLANK = "\u0120"
+CUT = re.compile(
+    rb"(?=[ \n][\x21-\x7e\xc3-\xe0\xe4-\xf4])"
+    rb"|(?=[.,;:!?])(?:(?<=[A-Za-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))"
+)
+# A blank and letters, up to those of Latin-1, are one token of the pattern.
+PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+LETTERS = [chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)]
 
 
 class Encoder:
     """Whole texts to ids, with a memory of the pieces met so far."""
 
     def __init__(self, definition: str, known: int = KNOWN):
+        from tokenizers.pre_tokenizers import ByteLevel
+
         self.tokenizer = load(definition)
+        # How the byte-level alphabet writes a blank and letters outside ASCII.
+        written = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.alphabet = str.maketrans({c: written(c)[0][0] for c in [" ", *LETTERS]})
         added = [t["content"].encode() for t in json.loads(definition)["added_tokens"]]
         self.special = re.compile(b"|".join(map(re.escape, added)) if added else rb"(?!)")
         self.known: dict[bytes, bytes] = {}
@@ -70,7 +78,7 @@ class Encoder:
         other = []
         for piece in {p for pieces in cut for p in pieces}.difference(self.known):
             if PLAIN.fullmatch(piece):
-                found = self.tokenizer.model.tokenize(piece.decode().replace(" ", BLANK))
+                found = self.tokenizer.model.tokenize(piece.decode().translate(self.alphabet))
                 self.known[piece] = pack(f"<{len(found)}I", *[t.id for t in found])
             else:
                 other.append(piece)
