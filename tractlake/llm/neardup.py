@@ -307,7 +307,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
     described = materialize(features(docs.select("doc_id", "text")), "signatures")
     owned = described.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = owned.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    # Stored, so that joins with it deal both sides out anew and can split a set with many copies.
+    classes = materialize(owned.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "classes")
     named = owned.join(classes, ["digest", "doc_id"], "left_semi").select(
         "doc_id", "n_shingles", "bands"
     )
