@@ -69,9 +69,9 @@ def tail(word: bytes) -> int:
 def count_words(blocks: DataFrame, keep: int = FREQUENT) -> DataFrame:
     """What each bucket knows, stored.
 
-    Rows with ``data``: the training counts of a block's words of the bucket. Rows with ``word``:
-    the bucket's most frequent words, with counts. One row without either: words seen and their
-    sum, for each tail class.
+    Rows with ``data``: the training counts of a block's words of the bucket. One row without:
+    the bucket's most frequent words with their counts, and the words seen and their sum, for
+    each tail class.
     """
 
     def run(rows: pa.Table) -> pa.Table:
@@ -89,23 +89,55 @@ def count_words(blocks: DataFrame, keep: int = FREQUENT) -> DataFrame:
                 total[tail(word) - FREQUENT] += n
         best = sorted(((-n, w) for w, n in counts.items() if n))[:keep]
         data = [pack_numbers(_halves([counts[w] for w in words])) for words in lists]
-        k, m = len(lists), len(best)
+        none = [None] * len(lists)
         return pa.table(
             {
-                "block": pa.concat_arrays([*rows["block"].chunks, pa.nulls(m + 1, pa.int64())]),
-                "bucket": pa.concat_arrays([*rows["bucket"].chunks, pa.nulls(m + 1, pa.int32())]),
-                "data": pa.array([*data, *[None] * (m + 1)], pa.binary()),
-                "word": pa.array([*[None] * k, *[w for _, w in best], None], pa.binary()),
-                "n": pa.array([*[None] * k, *[-n for n, _ in best], None], pa.int64()),
-                "seen": pa.array([*[None] * (k + m), seen.tolist()], pa.list_(pa.int64())),
-                "total": pa.array([*[None] * (k + m), total.tolist()], pa.list_(pa.int64())),
+                "block": pa.array([*rows["block"].to_pylist(), None], pa.int64()),
+                "bucket": pa.array([*rows["bucket"].to_pylist(), rows["bucket"][0].as_py()], pa.int32()),
+                "data": pa.array([*data, None], pa.binary()),
+                **_summary(best, seen, total, none),
             }
         )
 
-    schema = (
-        "block long, bucket int, data binary, word binary, n long, seen array<long>, total array<long>"
+    return materialize(by_word(blocks, run, f"block long, bucket int, data binary, {SUMMARY}"), "counts")
+
+
+SUMMARY = "best array<binary>, uses array<long>, seen array<long>, total array<long>"
+
+
+def _summary(best: list[tuple[int, bytes]], seen, total, before: list | None = None) -> dict:
+    before = before or []
+    return {
+        "best": pa.array([*before, [w for _, w in best]], pa.list_(pa.binary())),
+        "uses": pa.array([*before, [-n for n, _ in best]], pa.list_(pa.int64())),
+        "seen": pa.array([*before, seen.tolist()], pa.list_(pa.int64())),
+        "total": pa.array([*before, total.tolist()], pa.list_(pa.int64())),
+    }
+
+
+def _merged(rows: list[dict], keep: int) -> tuple[list[tuple[int, bytes]], np.ndarray, np.ndarray]:
+    """The most frequent words of all rows, and the sums of their tail classes."""
+    every = sorted((-n, bytes(w)) for r in rows for w, n in zip(r["best"], r["uses"]))
+    seen, total = (
+        sum((np.array(r[c], np.int64) for r in rows), np.zeros(TAILS, np.int64)) for c in ("seen", "total")
+    )
+    return every[:keep], seen, total
+
+
+def vocabulary(counted: DataFrame, keep: int = FREQUENT, parts: int = 32):
+    """The ``keep`` most frequent words with negative counts, and the sums of the tail classes.
+
+    Buckets' lists are merged in ``parts`` groups first; the driver sees one list of each.
+    """
+
+    def merge(rows: pa.Table) -> pa.Table:
+        return pa.table(_summary(*_merged(rows.to_pylist(), keep)))
+
+    lists = counted.filter("data IS NULL").select(
+        F.pmod("bucket", F.lit(parts)).alias("part"), "best", "uses", "seen", "total"
     )
-    return materialize(by_word(blocks, run, schema), "word-counts")
+    merged = lists.groupBy("part").applyInArrow(merge, SUMMARY)
+    return _merged([r.asDict() for r in merged.collect()], keep)
 
 
 def _halves(counts: list[int]) -> np.ndarray:
@@ -237,21 +269,14 @@ def score(docs: DataFrame) -> DataFrame:
     path = fresh_dir(spark, "texts")
     blocks = pack(docs.select("doc_id", "text"), path, lower=True, counted=trains)
     counted = count_words(blocks)
-    top = counted.filter("word IS NOT NULL").orderBy(F.col("n").desc(), "word").limit(FREQUENT)
-    words = [(bytes(r.word), r.n) for r in top.select("word", "n").collect()]
-    frequent = {w: i for i, (w, _) in enumerate(words)}
-    sums = [
-        F.array(*[F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0)) for i in range(TAILS)]).alias(c)
-        for c in ("seen", "total")
-    ]
-    row = counted.filter("seen IS NOT NULL").agg(*sums).first()
-    seen, total = np.array(row.seen, np.int64), np.array(row.total, np.int64)
+    words, seen, total = vocabulary(counted)
+    frequent = {w: i for i, (_, w) in enumerate(words)}
     pairs = count_pairs(blocks, frequent, path)
     ends = int(pairs[:, END].sum())
     n_train, n_kinds = int(total.sum()) + ends, int(seen.sum()) + bool(ends)
-    for w, n in words:
+    for n, w in words:
         seen[tail(w) - FREQUENT] -= 1
-        total[tail(w) - FREQUENT] -= n
+        total[tail(w) - FREQUENT] += n
     model = fit(pairs).astype(np.float32)
     # What a tail class's words share: a frequent word or the end is all of its class.
     inside = np.concatenate([np.zeros(FREQUENT), np.log10(total + seen + 1.0), [0.0]])
