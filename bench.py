@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -63,6 +64,7 @@ def main() -> None:
             # One file per test table: small splits give every core a part of it.
             "spark.sql.files.maxPartitionBytes": "4m",
             "spark.log.level": "ERROR",
+            "spark.checkpoint.dir": os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(),
         },
     )
     times = {}

@@ -203,3 +203,19 @@ def test_text(rows):
     names = rows("x string, p string", ("B1_2E", "B1_"), ("B12_E", "B1_"))
     out = names.select(has_prefix_and_suffix("x", F.col("p"), "E")).collect()
     assert [r[0] for r in out] == [True, False]
+
+
+@pytest.mark.parametrize("text", ["12d", "5f", "0x1p3", "1_0", ""])
+def test_strict_numbers_take_no_java_suffixes(rows, text):
+    with pytest.raises(Exception, match="cannot cast"):
+        rows("a string", (text,)).select(strict_cast("a", "double")).collect()
+    with pytest.raises(Exception, match="cannot cast"):
+        rows("a string", (f"${text}",)).select(money("a")).collect()
+
+
+def test_more_lenient_dates(rows):
+    texts = ["01/05/2024 12:00:00 AM", "1/5/2024 13:45", "January 5, 2024", "05-Jan-2024", "1/5/2024 1:45 PM"]
+    out = rows("a string", *[(t,) for t in texts]).select(lenient_timestamp("a")).collect()
+    assert [str(r[0]) for r in out] == [
+        "2024-01-05 00:00:00", "2024-01-05 13:45:00", "2024-01-05 00:00:00", "2024-01-05 00:00:00", "2024-01-05 13:45:00",
+    ]

@@ -304,3 +304,8 @@ def test_require_rows(rows):
     assert require_rows(df, "x") is df
     with pytest.raises(EmptyInputError, match="variables"):
         require_rows(df.filter("x > 1"), "variables")
+
+
+def test_sums_skip_nan(rows):
+    df = rows("k int, a double, b int", (1, 1.0, 1), (1, float("nan"), 2), (2, float("nan"), None))
+    assert {tuple(r) for r in sum_numeric_by(df, ["k"]).collect()} == {(1, 1.0, 3), (2, 0.0, 0)}

@@ -98,6 +98,32 @@ def test_survey_from_files_to_star(spark, survey):
     assert labelled.count() == fact.count()
 
 
+def test_rejects_are_kept_and_a_variable_counts_once(spark, place):
+    header = ["NAME", "B19013_001E", "state", "county", "tract"]
+    payloads = [
+        json.dumps([header, ["T1", "1", "06", "037", "000100"]]),
+        json.dumps([[*header, "state"], ["T2", "2", "06", "037", "000200", "06"]]),
+        json.dumps([header, ["T3", "3", "06", "037"]]),
+        "<html>limit</html>",
+    ]
+    label = {"variables": {"B19013_001E": {"label": "b"}}}
+    root = place(
+        {
+            **{f"payloads/{i}.json": p for i, p in enumerate(payloads)},
+            "config.csv": "series\tother\ttable_id\nIncome\tx\tB19013\n",
+            "variables/0.json": json.dumps(label),
+            "variables/1.json": json.dumps(label).replace('"b"', '"a"'),
+        }
+    )
+    paths = acs.load_all(
+        spark, f"{root}/lake", f"{root}/config.csv", f"{root}/variables", f"{root}/payloads", 2023, now=NOW
+    )
+    facts = spark.read.parquet(paths["bronze.estimates"]).collect()
+    assert [(r.tract_name, r.variable_label) for r in facts] == [("T1", "a")]
+    reasons = [r.reason for r in read_dataset(spark, f"{root}/lake", "bronze.rejects").collect()]
+    assert sorted(reasons) == ["response without a header", *["row does not fit its header"] * 2]
+
+
 def test_second_load_gives_the_same_tables(spark, survey):
     first = {name: as_set(df) for name, df in load_survey(spark, survey).items()}
     assert {name: as_set(df) for name, df in load_survey(spark, survey).items()} == first
@@ -200,7 +226,7 @@ def test_pages_become_one_snapshot(spark, place):
     path = expenses.land_pages(spark, f"{root}/pages", f"{root}/bronze", now=NOW)
     assert path == latest_snapshot(spark, f"{root}/bronze").removeprefix("file:")
     paths = expenses.load_all(
-        spark, f"{root}/bronze", f"{root}/silver", f"{root}/gold", lines=True, now=NOW
+        spark, f"{root}/bronze", f"{root}/silver", f"{root}/gold", now=NOW
     )
     assert spark.read.parquet(paths["gold"]).count() == 3
     assert expenses.land_pages(spark, f"{root}/none", f"{root}/bronze2", now=NOW) is None
@@ -208,6 +234,16 @@ def test_pages_become_one_snapshot(spark, place):
         expenses.land_pages(spark, f"{root}/wrong", f"{root}/bronze2", now=NOW)
 
 
+def test_bronze_keeps_every_field(spark, place):
+    pages = json.dumps([{**EXPENSE, "doc_id": str(i), "memo": f"m{i}"} for i in range(100)])
+    root = place({"pages/0.json": pages})
+    path = expenses.land_pages(spark, f"{root}/pages", f"{root}/bronze", now=NOW)
+    records = [json.loads(r.record) for r in spark.read.json(path).collect()]
+    assert sorted(r["memo"] for r in records) == sorted(f"m{i}" for i in range(100))
+    paths = expenses.load_all(spark, f"{root}/bronze", f"{root}/silver", f"{root}/gold", now=NOW)
+    assert spark.read.parquet(paths["gold"]).count() == 100
+
+
 def test_expense_load_takes_the_newest_snapshot(spark, place):
     root = place(
         {

@@ -70,6 +70,28 @@ def test_replace_path_is_static_even_under_dynamic_overwrite(spark, rows, tmp_pa
     assert [(r.p, r.x) for r in spark.read.parquet(path).collect()] == [(2, 3)]
 
 
+def test_a_failed_load_leaves_the_old_rows(spark, rows, table, tmp_path):
+    path = str(tmp_path / "t")
+    good = rows(DIM_TRACT, ONE, TWO)
+    broken = good.withColumn(
+        "tract_name", F.when(F.col("tract_name") == ONE[1], F.raise_error(F.lit("broken"))).cast("string")
+    )
+    replace_table(good, table)
+    replace_path(good, path)
+    for load in (lambda: replace_table(broken, table), lambda: replace_path(broken, path)):
+        with pytest.raises(PySparkException, match="broken"):
+            load()
+    assert read_table(spark, table).count() == spark.read.parquet(path).count() == 2
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("staged_")] == []
+
+
+def test_an_empty_snapshot_is_not_written(spark, rows, tmp_path):
+    df = rows("a string", ("x",))
+    write_snapshot(df, str(tmp_path), "parquet", datetime(2024, 1, 1))
+    assert write_snapshot(df.filter("a = 'y'"), str(tmp_path), "parquet", datetime(2024, 1, 2)) is None
+    assert latest_snapshot(spark, str(tmp_path), "*.parquet").endswith("snapshot=20240101_000000")
+
+
 def test_replace_partitions_leaves_the_others(spark, rows, tmp_path):
     path = str(tmp_path / "t")
     replace_partitions(rows("p int, x int", (1, 1), (2, 2)), path, ["p"])

@@ -217,3 +217,11 @@ def test_columns_and_filters_reach_the_scan(spark, tmp_path, capsys):
     plan = capsys.readouterr().out
     assert "ReadSchema: struct<x:bigint>" in plan
     assert "GreaterThan(x,4)" in plan
+
+
+def test_delimited_columns_go_by_name(spark, place):
+    spec = schema_from_spec([{"name": "a", "type": "int"}, {"name": "b", "type": "string"}])
+    root = place({"x.csv": "b,other,A\nq,1,5\nr,2,x\n", "y.csv": "b\nq\n"})
+    assert [tuple(r) for r in read_delimited(spark, f"{root}/x.csv", spec).collect()] == [(5, "q"), (None, "r")]
+    with pytest.raises(ValueError, match="no column a"):
+        read_delimited(spark, f"{root}/y.csv", spec)

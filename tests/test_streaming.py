@@ -4,12 +4,14 @@ import pytest
 
 from tractlake.schemas import schema_from_spec
 from tractlake.streaming.changes import change_check
-from tractlake.streaming import landing as landing_module
 from tractlake.streaming.landing import (
+    BUCKET,
+    clean_schema,
     clean_table,
     ingest_new_files,
+    merge_batch,
     read_log,
-    touched_partitions,
+    touched_rows,
 )
 
 RECORD = schema_from_spec(
@@ -34,7 +36,6 @@ def run(spark, tmp_path):
             str(landing),
             RECORD,
             ["year", "doc"],
-            "year",
             str(tmp_path / "log"),
             str(tmp_path / "clean"),
             str(tmp_path / "checkpoint"),
@@ -62,11 +63,19 @@ def test_only_new_files_are_taken_in(spark, tmp_path, run):
     assert read_log(spark, str(tmp_path / "log"), RECORD).count() == 3
 
 
-def test_untouched_partitions_are_not_rewritten(spark, tmp_path, run):
-    run({"1.json": '{"year": "2023", "doc": "a", "amount": 1}\n'})
-    before = sorted((tmp_path / "clean" / "year=2023").iterdir())
-    run({"2.json": '{"year": "2024", "doc": "b", "amount": 5}\n'})
-    assert sorted((tmp_path / "clean" / "year=2023").iterdir()) == before
+def files_of(tmp_path):
+    return {f for f in (tmp_path / "clean").rglob("*.parquet")}
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path, run):
+    many = "".join(f'{{"year": "2023", "doc": "{i}", "amount": {i}}}\n' for i in range(2000))
+    run({"1.json": many}, buckets=500)
+    before = files_of(tmp_path)
+    assert len(before) > 400
+    run({"2.json": '{"year": "2023", "doc": "7", "amount": -1}\n'}, buckets=500)
+    assert len(before - files_of(tmp_path)) == 1
+    found = clean(spark, tmp_path)
+    assert len(found) == 2000 and found["2023", "7"][0] == -1
 
 
 def test_every_file_counts_when_batches_are_small(spark, tmp_path, run):
@@ -78,28 +87,28 @@ def test_every_file_counts_when_batches_are_small(spark, tmp_path, run):
     assert read_log(spark, str(tmp_path / "log"), RECORD).count() == 6
 
 
-def test_null_partitions_and_many_partitions(spark, tmp_path, run, monkeypatch):
-    run({"1.json": '{"doc": "a", "amount": 1}\n{"year": "2023", "doc": "a", "amount": 2}\n'})
+def test_null_and_empty_keys_are_different(spark, tmp_path, run):
+    run({"1.json": '{"doc": "a", "amount": 1}\n{"year": "", "doc": "a", "amount": 2}\n'})
     run({"2.json": '{"doc": "a", "amount": 3}\n'})
-    expected = {(None, "a"): 3.0, ("2023", "a"): 2.0}
-    assert {k: v for k, (v, _) in clean(spark, tmp_path).items()} == expected
-    monkeypatch.setattr(landing_module, "MAX_TOUCHED", 0)
-    run({"3.json": '{"doc": "a", "amount": 4}\n'})
-    expected[None, "a"] = 4.0
-    assert {k: v for k, (v, _) in clean(spark, tmp_path).items()} == expected
+    assert {k: v for k, (v, _) in clean(spark, tmp_path).items()} == {(None, "a"): 3.0, ("", "a"): 2.0}
 
 
-def test_other_partitions_of_the_log_are_not_read(spark, tmp_path, run, rows, capsys):
-    run({"1.json": '{"year": "2023", "doc": "a"}\n{"year": "2024", "doc": "b"}\n'})
-    log = read_log(spark, str(tmp_path / "log"), RECORD)
-    touched_partitions(log, rows("year string", ("2024",)), "year").explain()
-    plan = capsys.readouterr().out
-    assert "PartitionFilters: [(year" in plan.replace("isnotnull(year", "(year")
+def test_a_repeated_batch_changes_nothing(spark, tmp_path, run):
+    run({"1.json": '{"year": "2023", "doc": "a", "amount": 1}\n{"doc": "b", "amount": 2}\n'})
+    path = str(tmp_path / "clean")
+    once = clean(spark, tmp_path)
+    rows = spark.read.schema(clean_schema(RECORD)).parquet(path).collect()
+    again = spark.createDataFrame(rows, clean_schema(RECORD))
+    merge_batch(spark, again, RECORD, ["year", "doc"], path)
+    assert clean(spark, tmp_path) == once
 
 
-def test_partition_column_must_be_part_of_the_key(spark, tmp_path):
-    with pytest.raises(ValueError, match="partition_column"):
-        ingest_new_files(spark, "x", RECORD, ["doc"], "year", "l", "t", str(tmp_path))
+def test_other_buckets_are_not_read(spark, tmp_path, run, rows, capsys):
+    run({"1.json": '{"year": "2023", "doc": "a"}\n{"year": "2024", "doc": "b"}\n'})
+    stored = spark.read.schema(clean_schema(RECORD)).parquet(str(tmp_path / "clean"))
+    touched_rows(stored, rows(f"{BUCKET} int", (1,), (5,), (1,))).explain()
+    filters = capsys.readouterr().out.partition("PartitionFilters: [")[2].partition("]")[0]
+    assert f"{BUCKET}" in filters and "IN (" in filters
 
 
 def test_change_check(rows):

@@ -11,18 +11,20 @@ from tractlake.functions.text import col_of
 
 # Numbers as text: Spark alone would also take '1d', '2f' and hex floats.
 NUMERIC = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))\s*$"
+FLOATING = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?|nan))\s*$"
 WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
 
 
 def strict_cast(column: Column | str, type_name: str, name: str = "value") -> Column:
-    """Null stays null; text that does not convert ends the run."""
+    """Null stays null; text that does not convert ends the run. NaN is a double."""
     value = col_of(column)
     if type_name == "string":
         return value.cast("string")
     bad = F.concat(F.lit(f"{name}: cannot cast to {type_name}: "), value.cast("string"))
-    return F.coalesce(
-        value.try_cast(type_name), F.when(value.isNotNull(), F.raise_error(bad))
-    ).cast(type_name)
+    cast = value.try_cast(type_name)
+    if type_name in ("double", "float"):
+        cast = F.when(value.cast("string").rlike(FLOATING), cast)
+    return F.coalesce(cast, F.when(value.isNotNull(), F.raise_error(bad))).cast(type_name)
 
 
 def lenient_double(column: Column | str) -> Column:

@@ -12,7 +12,18 @@ from tractlake.functions.text import col_of
 
 # ``M/d/y`` takes one- and two-digit months and days, and any year as written.
 US_DATE = "M/d/y"
-LENIENT_FORMATS = ("M/d/yyyy", "yyyy/M/d", "d MMM yyyy", "MMM d, yyyy")
+LENIENT_FORMATS = (
+    "M/d/yyyy",
+    "M/d/yyyy h:mm:ss a",
+    "M/d/yyyy H:mm:ss",
+    "M/d/yyyy h:mm a",
+    "M/d/yyyy H:mm",
+    "yyyy/M/d",
+    "d MMM yyyy",
+    "d-MMM-yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+)
 
 
 def strict_date(column: Column | str, pattern: str = US_DATE, name: str = "date") -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tractlake.functions.casts import null_if_nan
 from tractlake.operators.columns import quoted
 
 METRIC_FUNCTIONS = {
@@ -44,10 +45,15 @@ def category_counts(df: DataFrame, column: str, categories: Sequence[str]) -> Da
 def sum_numeric_by(
     df: DataFrame, keys: Sequence[str], exclude: Sequence[str] = ()
 ) -> DataFrame:
-    """Sum of every numeric column per key; nulls are skipped, all null gives 0."""
+    """Sum of every numeric column per key; nulls and NaN are skipped, none left gives 0."""
     skipped = {*keys, *exclude}
+
+    def values(field: T.StructField) -> Column:
+        column = F.col(quoted(field.name))
+        return null_if_nan(column) if isinstance(field.dataType, (T.DoubleType, T.FloatType)) else column
+
     sums = [
-        F.coalesce(F.sum(quoted(field.name)), F.lit(0)).alias(field.name)
+        F.coalesce(F.sum(values(field)), F.lit(0)).alias(field.name)
         for field in df.schema
         if isinstance(field.dataType, T.NumericType) and field.name not in skipped
     ]

@@ -199,7 +199,7 @@ def layer_counts(
     """(layer, records) of the newest snapshot per layer; no snapshot counts 0.
 
     ``layers`` maps a name to (directory, file pattern, format). Format ``json`` is
-    one array of records per file, ``jsonl`` one record per line.
+    one array of records per file (anything else is an error), ``jsonl`` one record per line.
     """
     counts = []
     for layer, (directory, pattern, fmt) in layers.items():
@@ -208,8 +208,10 @@ def layer_counts(
             counted = spark.range(1).select(F.lit(0).cast("bigint").alias("records"))
         elif fmt == "json":
             pages = spark.read.text(path, wholetext=True)
+            wrong = F.raise_error(F.concat(F.lit("expected a JSON list, got: "), F.substring("value", 1, 80)))
+            length = F.coalesce(F.json_array_length("value"), wrong.cast("int"))
             counted = pages.agg(
-                F.coalesce(F.sum(F.json_array_length("value")), F.lit(0))
+                F.coalesce(F.sum(length), F.lit(0))
                 .cast("bigint")
                 .alias("records")
             )

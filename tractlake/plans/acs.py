@@ -30,7 +30,7 @@ from tractlake.schemas import (
     SILVER_ESTIMATES,
 )
 from tractlake.sinks.writers import write_dataset
-from tractlake.sources.census import read_payloads, read_variable_labels
+from tractlake.sources.census import read_payloads, read_variable_labels, rejects
 from tractlake.sources.files import read_dataset, read_table_config
 
 
@@ -162,7 +162,8 @@ def load_all(
     """Landed files to bronze, silver and gold; each layer reads the one written before.
 
     Reading back the written layer keeps the plans short, and a lost executor
-    costs no more than the stage at hand.
+    costs no more than the stage at hand. Responses and rows that can't be read are
+    in ``bronze.rejects``.
     """
     config = read_table_config(spark, config_path)
     payloads = read_payloads(spark, payload_path, whole_files)
@@ -176,6 +177,7 @@ def load_all(
         "bronze.variables", read_variable_labels(spark, variables_path, whole_files)
     )
     selected = store("bronze.selected_variables", selected_variables(config, variables))
+    store("bronze.rejects", rejects(payloads))
     bronze = store("bronze.estimates", bronze_estimates(payloads, selected, year, now))
     silver = store("silver.estimates", silver_estimates(bronze, now=now))
     store("gold.dim_variable", dim_variable(silver))

@@ -16,7 +16,7 @@ from tractlake.operators.columns import (
     with_lineage,
 )
 from tractlake.operators.dedup import first_per_key
-from tractlake.schemas import BUSINESS_TEXT_COLUMNS, DATASETS, GOLD_BUSINESS, SILVER_BUSINESS
+from tractlake.schemas import BUSINESS_TEXT_COLUMNS, DATASETS, GOLD_BUSINESS
 from tractlake.sinks.writers import write_dataset
 from tractlake.sources.files import read_dataset
 
@@ -110,13 +110,11 @@ def load_all(
     """Raw records to silver and the three gold tables."""
     paths = {}
 
-    def store(name: str, df: DataFrame) -> DataFrame:
-        paths[name] = write_dataset(df, root, name, fmt)
+    def store(name: str, df: DataFrame, keep_others: bool = False) -> DataFrame:
+        paths[name] = write_dataset(df, root, name, fmt, keep_others)
         return read_dataset(spark, root, name, fmt)
 
-    silver = store(
-        "silver.business", silver_business(raw).select(*SILVER_BUSINESS.fieldNames())
-    )
+    silver = store("silver.business", silver_business(raw), keep_others=True)
     business = store("gold.business", gold_business(silver))
     store("gold.geography", gold_geography(silver, now))
     store("gold.business_by_district", gold_districts(business, now))

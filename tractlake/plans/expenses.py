@@ -67,9 +67,10 @@ def land_pages(
 ) -> str | None:
     """All landed pages as one bronze snapshot; None if the pages hold no records.
 
-    A page that is not a list of records ends the run.
+    A page that is not a list of records ends the run. ``record`` holds the record as
+    the source wrote it, so fields that the schema doesn't name are kept.
     """
-    records = read_json_pages(spark, pages_path, RAW_EXPENSES, whole_files)
+    records = read_json_pages(spark, pages_path, RAW_EXPENSES, whole_files, text="record")
     return write_snapshot(records, bronze_dir, "json", now)
 
 
@@ -78,11 +79,10 @@ def load_all(
     bronze_dir: str,
     silver_dir: str,
     gold_dir: str,
-    lines: bool = False,
     now: datetime | None = None,
 ) -> dict[str, str | None]:
     """Newest bronze snapshot to a new silver snapshot and a new gold snapshot."""
-    raw = read_latest_json(spark, bronze_dir, RAW_EXPENSES, lines)
+    raw = read_latest_json(spark, bronze_dir, RAW_EXPENSES)
     silver_path = write_snapshot(silver_expenses(raw, now), silver_dir, "parquet", now)
     if silver_path is None:
         return {"silver": None, "gold": None}

@@ -193,10 +193,15 @@ class Dataset:
 
 
 # Readers and writers take places from here only, so they cannot drift apart.
+REJECTS = schema_from_spec(
+    [{"name": "reason", "type": "string"}, {"name": "content", "type": "string"}]
+)
+
 DATASETS = {
     dataset.name: dataset
     for dataset in (
         Dataset("bronze.variables", "bronze/variables", VARIABLES, ("variable",)),
+        Dataset("bronze.rejects", "bronze/rejects", REJECTS, ()),
         Dataset(
             "bronze.selected_variables", "bronze/selected_variables", VARIABLES, ("variable",)
         ),

@@ -1,8 +1,10 @@
-"""Writers. A re-run gives the same table: every one replaces what it owns."""
+"""Writers. But for ``append_rows``, every one replaces what it owns: a re-run gives the same table."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -15,8 +17,11 @@ from tractlake.schemas import DATASETS
 
 
 def ensure_namespace(spark: SparkSession, namespace: str, location: str | None = None) -> None:
-    where = f" LOCATION '{location}'" if location else ""
-    spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {quoted(namespace)}{where}")
+    """``catalog.namespace`` is a namespace of that catalog."""
+    path = (location or "").replace("\\", "\\\\").replace("'", "\\'")
+    where = f" LOCATION '{path}'" if location else ""
+    name = ".".join(quoted(part) for part in namespace.split("."))
+    spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {name}{where}")
 
 
 def ensure_table(
@@ -27,12 +32,24 @@ def ensure_table(
         spark.createDataFrame([], schema).write.format(fmt).saveAsTable(table)
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Exactly the columns and types of ``schema``; anything else is an error."""
-    extra = sorted(set(df.columns) - set(schema.fieldNames()))
-    if extra:
-        raise ValueError(f"columns not in the schema: {', '.join(extra)}")
-    return df.to(schema)
+def conform(df: DataFrame, schema: T.StructType, keep_others: bool = False) -> DataFrame:
+    """The columns and types of ``schema``; another column is an error, or comes after them."""
+    others = [field for field in df.schema if field.name not in schema.fieldNames()]
+    if others and not keep_others:
+        names = ", ".join(sorted(field.name for field in others))
+        raise ValueError(f"columns not in the schema: {names}")
+    return df.to(T.StructType([*schema.fields, *others]))
+
+
+@contextmanager
+def _staged(df: DataFrame, fmt: str) -> Iterator[DataFrame]:
+    """``df`` as a scratch table. What fails in its plan fails here, before a target is touched."""
+    spark, name = df.sparkSession, f"staged_{uuid.uuid4().hex}"
+    try:
+        df.write.format(fmt).saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
@@ -54,17 +71,19 @@ def replace_table(
     fmt: str = "parquet",
     partition_by: Sequence[str] = (),
 ) -> None:
-    """Clear and reload in one step, so no reader sees a half-loaded table.
+    """Clear and reload. The rows are complete before the old ones go.
 
-    The table must not be an input of ``df``.
+    A load that fails leaves the table as it was; it may be an input of ``df``. It is
+    clear for as long as the finished rows are copied.
     """
-    (
-        df.write.format(fmt)
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy(*partition_by)
-        .saveAsTable(table)
-    )
+    with _staged(df, fmt) as rows:
+        (
+            rows.write.format(fmt)
+            .mode("overwrite")
+            .option("partitionOverwriteMode", "static")
+            .partitionBy(*partition_by)
+            .saveAsTable(table)
+        )
 
 
 def replace_path(
@@ -73,13 +92,17 @@ def replace_path(
     fmt: str = "parquet",
     partition_by: Sequence[str] = (),
 ) -> None:
-    (
-        df.write.format(fmt)
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy(*partition_by)
-        .save(path)
-    )
+    """As ``replace_table``, for a folder. Rows are brought together by partition."""
+    with _staged(df, fmt) as rows:
+        if partition_by:
+            rows = rows.hint("rebalance", *partition_by)
+        (
+            rows.write.format(fmt)
+            .mode("overwrite")
+            .option("partitionOverwriteMode", "static")
+            .partitionBy(*partition_by)
+            .save(path)
+        )
 
 
 def replace_partitions(
@@ -101,11 +124,16 @@ def replace_partitions(
     )
 
 
-def write_dataset(df: DataFrame, root: str, name: str, fmt: str = "parquet") -> str:
-    """Replace a registered table, under its registered schema and partitions."""
+def write_dataset(
+    df: DataFrame, root: str, name: str, fmt: str = "parquet", keep_others: bool = False
+) -> str:
+    """Replace a registered table, under its registered schema and partitions.
+
+    ``keep_others`` also stores columns that the schema doesn't name.
+    """
     dataset = DATASETS[name]
     path = dataset.location(root)
-    replace_path(conform(df, dataset.schema), path, fmt, dataset.partition_by)
+    replace_path(conform(df, dataset.schema, keep_others), path, fmt, dataset.partition_by)
     return path
 
 
@@ -115,13 +143,14 @@ def write_snapshot(
     """Write ``snapshot=<UTC stamp>``; stamps sort by time. None if there were no rows.
 
     JSON goes out as one record per line in many part files, so that the readers
-    of a large snapshot can split it. A JSON snapshot without rows has no content
-    and the readers do not see it.
+    of a large snapshot can split it. Without rows nothing is written, so the newest
+    snapshot always has some.
     """
+    if df.isEmpty():
+        return None
     path = f"{directory.rstrip('/')}/snapshot={snapshot_stamp(now)}"
-    counted, observation = _counted(df)
-    counted.write.format(fmt).mode("overwrite").save(path)
-    return path if observation.get["rows"] else None
+    df.write.format(fmt).mode("overwrite").save(path)
+    return path
 
 
 def write_with_metrics(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tractlake.functions.keys import is_estimate_code, table_of, without_last_char
+from tractlake.operators.dedup import first_per_key
 
 PAYLOAD_TYPE = "array<array<string>>"
 VARIABLES_TYPE = "struct<variables:map<string,struct<label:string>>>"
@@ -72,6 +73,18 @@ def rejected_rows(payloads: DataFrame) -> DataFrame:
     return rows.filter(F.col("row").isNotNull() & ~fits_header()).select("header", "row")
 
 
+def rejects(payloads: DataFrame) -> DataFrame:
+    """(reason, content): what the melt leaves out, whole, as text."""
+    unreadable = rejected_payloads(payloads).select(
+        F.lit("response without a header").alias("reason"), F.col("value").alias("content")
+    )
+    ragged = rejected_rows(payloads).select(
+        F.lit("row does not fit its header").alias("reason"),
+        F.to_json(F.struct("header", "row")).alias("content"),
+    )
+    return unreadable.unionByName(ragged)
+
+
 def variable_labels(metadata: DataFrame, text: str = "value") -> DataFrame:
     """``{"variables": {code: {label}}}`` to table, variable root and label.
 
@@ -92,4 +105,6 @@ def variable_labels(metadata: DataFrame, text: str = "value") -> DataFrame:
 def read_variable_labels(
     spark: SparkSession, path: str | list[str], whole_files: bool = True
 ) -> DataFrame:
-    return variable_labels(spark.read.text(path, wholetext=whole_files))
+    """One row per variable: listed twice, the smallest table and label count."""
+    listed = variable_labels(spark.read.text(path, wholetext=whole_files))
+    return first_per_key(listed, ["variable"]).select("table_id", "variable", "variable_label")

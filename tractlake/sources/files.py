@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tractlake.functions.text import strip
+from tractlake.operators.columns import quoted
 from tractlake.schemas import DATASETS, TABLE_CONFIG
 
 
@@ -24,13 +25,25 @@ def read_delimited(
     separator: str = ",",
     header: bool = True,
 ) -> DataFrame:
-    """Typed rows straight from the file; a bad number becomes null."""
-    return (
-        spark.read.schema(schema)
-        .option("sep", separator)
-        .option("header", header)
-        .option("mode", "PERMISSIVE")
-        .csv(path)
+    """Typed rows of the file; a bad number becomes null.
+
+    With a header, columns are found by name: their order is free, others are left
+    out, and a missing one is an error. Without one they are found by place.
+    """
+    reader = spark.read.option("sep", separator).option("mode", "PERMISSIVE")
+    if not header:
+        return reader.schema(schema).csv(path)
+    # Only the first line is read for the names; files with other headers are refused.
+    rows = reader.option("header", True).option("enforceSchema", False).csv(path)
+    present = {name.strip().lower(): name for name in rows.columns}
+    missing = [name for name in schema.fieldNames() if name.lower() not in present]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return rows.select(
+        *[
+            F.col(quoted(present[f.name.lower()])).try_cast(f.dataType).alias(f.name)
+            for f in schema.fields
+        ]
     )
 
 
@@ -64,26 +77,35 @@ def read_json_pages(
     path: str | list[str],
     schema: T.StructType,
     whole_files: bool = True,
+    text: str | None = None,
 ) -> DataFrame:
     """Union of landed pages, each a JSON list; an empty page adds no rows.
 
     A page that is not a list ends the run, in the same pass that reads it: an
     object payload is an error message of the source, not data. ``whole_files``
-    reads one page per file, else one page per line.
+    reads one page per file, else one page per line. ``text`` names a column for
+    the record as it was written.
     """
     pages = spark.read.text(path, wholetext=whole_files)
     if not whole_files:
         pages = pages.filter(F.trim("value") != "")
     is_list = F.startswith(strip("value"), F.lit("["))
-    parsed = F.from_json("value", T.ArrayType(schema), {"mode": "FAILFAST"})
+    kind = T.ArrayType(T.StringType() if text else schema)
+    parsed = F.from_json("value", kind, {"mode": "FAILFAST"})
     checked = F.when(is_list, parsed).otherwise(
         F.raise_error(
             F.concat(F.lit("expected a JSON list, got: "), F.substring(F.col("value"), 1, 80))
-        ).cast(T.ArrayType(schema))
+        ).cast(kind)
     )
     # An inner explode would get a not-empty filter, and the page a second parse.
     records = pages.select(F.explode_outer(checked).alias("record"))
-    return records.filter(F.col("record").isNotNull()).select("record.*")
+    records = records.filter(F.col("record").isNotNull())
+    if not text:
+        return records.select("record.*")
+    typed = records.select(
+        F.from_json("record", schema, {"mode": "FAILFAST"}).alias("typed"), "record"
+    )
+    return typed.select("typed.*", F.col("record").alias(text))
 
 
 def read_path(

@@ -50,8 +50,12 @@ def read_latest_json(
     spark: SparkSession,
     directory: str,
     schema: T.StructType | None = None,
-    lines: bool = False,
 ) -> DataFrame:
-    """Rows of the newest JSON snapshot, whole-file arrays or record lines."""
+    """Rows of the newest JSON snapshot.
+
+    ``write_snapshot`` writes folders with a record per line; a snapshot that is a
+    file comes from elsewhere, and is read whole.
+    """
     path = latest_snapshot(spark, directory)
-    return (read_json_lines if lines else read_json_records)(spark, path, schema)
+    is_folder = path.rpartition("/")[2].startswith(SNAPSHOT_PREFIX)
+    return (read_json_lines if is_folder else read_json_records)(spark, path, schema)

@@ -1,10 +1,12 @@
-"""Landing folder to an append-only log, and from the log to a clean table.
+"""Landing folder to an append-only log, and to a clean table with one row per key.
 
 A checkpointed file stream gives each landed file to exactly one batch. A batch
-writes its own ``batch_id`` folder of the log and then rebuilds the partitions of
-the clean table it touched, always from the whole log of these partitions. Both
-steps replace what they own, so a batch that is repeated after a crash leaves the
-same tables, and the cost of a run follows the new data and not the history.
+writes its own ``batch_id`` folder of the log, and merges its rows into the clean
+table. That table is partitioned by a hash bucket of the key, so a key lives in one
+partition, whatever its values are; the columns themselves stay in the data. A batch
+reads and replaces the buckets that it has rows for, and no others, and never reads
+the log. The clean rows carry the batch they come from, so a batch that is repeated
+after a crash leaves the same table.
 
 Plain files give readers no isolation: while a batch commits, one may find some of
 its partitions replaced and others not yet.
@@ -15,17 +17,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tractlake.functions.dates import run_timestamp
+from tractlake.operators.columns import quoted
 from tractlake.operators.dedup import keep_latest
 from tractlake.sinks.writers import replace_partitions, replace_path
 
 BATCH = "batch_id"
 INGESTED = "ingest_timestamp"
-MAX_TOUCHED = 2_000
+BUCKET = "key_bucket"
 
 
 def log_schema(schema: T.StructType) -> T.StructType:
@@ -38,45 +42,49 @@ def log_schema(schema: T.StructType) -> T.StructType:
     )
 
 
+def clean_schema(schema: T.StructType) -> T.StructType:
+    return T.StructType([*log_schema(schema).fields, T.StructField(BUCKET, T.IntegerType())])
+
+
 def read_log(spark: SparkSession, log_path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(log_schema(schema)).parquet(log_path)
 
 
-def current_rows(log: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key, of its newest batch."""
-    return keep_latest(log, keys, BATCH).drop(BATCH, "rn")
+def key_bucket(keys: Sequence[str], buckets: int) -> Column:
+    """The partition of a key. Null and empty text are different keys."""
+    columns = [F.col(quoted(key)) for key in keys]
+    nulls = [column.isNull() for column in columns]
+    return F.pmod(F.xxhash64(*columns, *nulls), F.lit(buckets)).cast("int")
 
 
-def touched_partitions(log: DataFrame, batch: DataFrame, partition_column: str) -> DataFrame:
-    """The rows of the log that lie in partitions ``batch`` has rows for.
+def touched_rows(clean: DataFrame, batch: DataFrame) -> DataFrame:
+    """The clean rows of the buckets that ``batch`` has rows for.
 
-    The partition values become a static filter, so other folders are not read.
-    They are few; if there are more than MAX_TOUCHED the whole log is taken, which
-    rebuilds more than needed but gives the same table.
+    Their numbers, no more than the table has buckets, become a filter on the partition
+    column, so other folders are not read.
     """
-    values = batch.select(partition_column).distinct().limit(MAX_TOUCHED + 1).collect()
-    if len(values) > MAX_TOUCHED:
-        return log
-    column = F.col(partition_column)
-    condition = column.isin([value for (value,) in values if value is not None])
-    if any(value is None for (value,) in values):
-        condition = condition | column.isNull()
-    return log.filter(condition)
-
-
-def refresh_touched(
-    log: DataFrame,
+    numbers = [number for (number,) in batch.select(BUCKET).distinct().collect()]
+    return clean.filter(F.col(BUCKET).isin(numbers))
+
+
+def merge_batch(
+    spark: SparkSession,
     batch: DataFrame,
+    schema: T.StructType,
     keys: Sequence[str],
     target_path: str,
-    partition_column: str,
 ) -> None:
-    """Rebuild the partitions of the clean table that ``batch`` has rows for.
-
-    ``partition_column`` is one of ``keys``, so a key lives in one partition.
-    """
-    touched = touched_partitions(log, batch, partition_column)
-    replace_partitions(current_rows(touched, keys), target_path, [partition_column])
+    """Replace the touched buckets by their rows and the batch's, the newest per key."""
+    stored = clean_schema(schema)
+    batch = batch.select(*stored.fieldNames())
+    try:
+        clean = spark.read.schema(stored).parquet(target_path).select(*stored.fieldNames())
+        batch = touched_rows(clean, batch).unionByName(batch)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    newest = keep_latest(batch, keys, BATCH).drop("rn")
+    replace_partitions(newest, target_path, [BUCKET])
 
 
 def ingest_new_files(
@@ -84,39 +92,40 @@ def ingest_new_files(
     landing_dir: str,
     schema: T.StructType,
     keys: Sequence[str],
-    partition_column: str,
     log_path: str,
     target_path: str,
     checkpoint_path: str,
     fmt: str = "json",
-    max_files_per_batch: int = 10_000,
+    buckets: int = 64,
+    max_files_per_batch: int | None = None,
     now: datetime | None = None,
 ) -> int:
     """Take in the files landed since the last run, then stop; gives the batches run.
 
-    ``checkpoint_path`` must lie in a folder that outlives the cluster.
+    ``checkpoint_path`` must lie in a folder that outlives the cluster. ``buckets`` is
+    fixed for the life of a clean table; choose it so that a bucket is worth a few files.
     """
-    if partition_column not in keys:
-        raise ValueError("partition_column must be one of the keys")
-
     batches = []
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
         stamped = batch.withColumn(INGESTED, run_timestamp(now))
         batch_path = f"{log_path}/{BATCH}={batch_id}"
-        replace_path(stamped, batch_path, partition_by=[partition_column])
+        replace_path(stamped, batch_path)
         session = batch.sparkSession
-        landed = session.read.schema(stamped.schema).parquet(batch_path)
-        refresh_touched(
-            read_log(session, log_path, schema), landed, keys, target_path, partition_column
+        landed = (
+            session.read.schema(stamped.schema)
+            .parquet(batch_path)
+            .withColumn(BATCH, F.lit(batch_id).cast("long"))
+            .withColumn(BUCKET, key_bucket(keys, buckets))
         )
+        merge_batch(session, landed, schema, keys, target_path)
         batches.append(batch_id)
 
+    reader = spark.readStream.format(fmt).schema(schema)
+    if max_files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
     query = (
-        spark.readStream.format(fmt)
-        .schema(schema)
-        .option("maxFilesPerTrigger", max_files_per_batch)
-        .load(landing_dir)
+        reader.load(landing_dir)
         .writeStream.foreachBatch(take_in)
         .option("checkpointLocation", checkpoint_path)
         .trigger(availableNow=True)
@@ -128,5 +137,5 @@ def ingest_new_files(
 
 def clean_table(spark: SparkSession, target_path: str, schema: T.StructType) -> DataFrame:
     """The clean table, with the columns of ``schema`` and the time of ingest."""
-    stored = T.StructType([*schema.fields, T.StructField(INGESTED, T.TimestampNTZType())])
-    return spark.read.schema(stored).parquet(target_path).select(*stored.fieldNames())
+    names = [*schema.fieldNames(), INGESTED]
+    return spark.read.schema(clean_schema(schema)).parquet(target_path).select(*names)

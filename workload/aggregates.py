@@ -174,18 +174,18 @@ def yearly_change(spark, sf_dir):
     "F14",
     """
     SELECT c_nationkey,
-           coalesce(nullif(string_agg(DISTINCT CASE WHEN c_acctbal > 9000 THEN c_mktsegment END,
-               ', ' ORDER BY CASE WHEN c_acctbal > 9000 THEN c_mktsegment END), ''), 'none')
+           coalesce(nullif(string_agg(DISTINCT CASE WHEN c_nationkey % 4 > 0 THEN c_mktsegment END,
+               ', ' ORDER BY CASE WHEN c_nationkey % 4 > 0 THEN c_mktsegment END), ''), 'none')
                AS segments
     FROM customer GROUP BY c_nationkey
     """,
 )
 def text_lists(spark, sf_dir):
-    rich = F.when(F.col("c_acctbal") > 9000, F.col("c_mktsegment"))
+    named = F.when(F.col("c_nationkey") % 4 > 0, F.col("c_mktsegment"))
     return (
         table(spark, sf_dir, "customer")
         .groupBy("c_nationkey")
-        .agg(joined_or(F.collect_set(rich)).alias("segments"))
+        .agg(joined_or(F.collect_set(named)).alias("segments"))
     )
 
 

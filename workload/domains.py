@@ -194,7 +194,7 @@ def expense_bronze(spark, sf_dir):
     directory = fresh_dir(spark, "expense-bronze")
     pages = landing.expense_pages(spark, sf_dir)
     expenses.land_pages(spark, pages, directory, whole_files=False, now=CLOCK)
-    raw = read_latest_json(spark, directory, RAW_EXPENSES, lines=True)
+    raw = read_latest_json(spark, directory, RAW_EXPENSES)
     return raw.select(
         "doc_id", "doc_cd", F.col("pstng_am").cast("double").alias("pstng_am"), "transaction_date"
     )
@@ -203,7 +203,7 @@ def expense_bronze(spark, sf_dir):
 @query("P3 P11 F4 W1 S16 K6", _SILVER_EXPENSES_SQL)
 def expense_silver(spark, sf_dir):
     directory = landing.expense_snapshots(spark, sf_dir)
-    raw = read_latest_json(spark, directory, RAW_EXPENSES, lines=True)
+    raw = read_latest_json(spark, directory, RAW_EXPENSES)
     return expenses.silver_expenses(raw, CLOCK)
 
 
@@ -219,7 +219,7 @@ def expense_silver(spark, sf_dir):
 def expense_gold(spark, sf_dir):
     bronze = landing.expense_snapshots(spark, sf_dir)
     silver, gold = (fresh_dir(spark, f"expenses-{layer}") for layer in ("silver", "gold"))
-    paths = expenses.load_all(spark, bronze, silver, gold, lines=True, now=CLOCK)
+    paths = expenses.load_all(spark, bronze, silver, gold, now=CLOCK)
     return read_path(spark, paths["gold"])
 
 

@@ -153,7 +153,7 @@ def typed_csv(spark, sf_dir):
 @query("S16 O3 K6", "SELECT o_orderkey, o_totalprice FROM orders")
 def newest_snapshot(spark, sf_dir):
     schema = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").schema
-    return read_latest_json(spark, landing.order_snapshots(spark, sf_dir), schema, lines=True)
+    return read_latest_json(spark, landing.order_snapshots(spark, sf_dir), schema)
 
 
 @query(

@@ -131,7 +131,8 @@ def schema_check(spark, sf_dir):
     """
     WITH c AS (
         SELECT n_name AS table_id, n_nationkey IN (SELECT s_nationkey FROM supplier) AS described,
-               n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9950) AS landed
+               n_nationkey IN (SELECT c_nationkey FROM customer GROUP BY c_nationkey
+                               HAVING sum(c_custkey) % 3 = 0) AS landed
         FROM nation)
     SELECT count(*) AS tables_configured, count(*) FILTER (WHERE landed) AS tables_landed,
            count(*) FILTER (WHERE NOT landed AND NOT described) AS tables_empty,
@@ -142,11 +143,11 @@ def schema_check(spark, sf_dir):
     """,
 )
 def load_outcome(spark, sf_dir):
-    """Nations as configured tables: suppliers describe them, rich customers land them."""
+    """Nations as configured tables: suppliers describe them, the sums of customers land them."""
     nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("table_id"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
-    rich = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") > 9950)
-    customers = rich.select(F.col("c_nationkey").alias("n_nationkey"))
+    sums = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey"))
+    customers = sums.agg(F.sum("c_custkey").alias("sum")).filter("sum % 3 = 0").select("n_nationkey")
     return ingest_summary(
         nations, suppliers.join(nations, "n_nationkey"), customers.join(nations, "n_nationkey")
     )

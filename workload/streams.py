@@ -43,7 +43,6 @@ def landed_stream(spark, sf_dir):
             f"{root}/landing",
             EVENT,
             ["event_type", "event_id"],
-            "event_type",
             f"{root}/log",
             f"{root}/clean",
             f"{root}/checkpoint",
