@@ -22,6 +22,7 @@ just the end id. Empty tables give a manifest without rows. Only ``doc_id`` and
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import uuid
@@ -66,19 +67,32 @@ class Encoder:
         written = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.alphabet = str.maketrans({c: written(c)[0][0] for c in [" ", *LETTERS]})
         added = [t["content"].encode() for t in json.loads(definition)["added_tokens"]]
+        self.blank = self.alphabet[ord(" ")]
         self.special = re.compile(b"|".join(map(re.escape, added)) if added else rb"(?!)")
         self.known: dict[bytes, bytes] = {}
         self.most = known
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        gc.disable()  # millions of pieces, none in a cycle, would be searched again and again
+        try:
+            return self._batch(texts)
+        finally:
+            gc.enable()
+
+    def _batch(self, texts: list[bytes]) -> list[bytes]:
         cut = [[t] if self.special.search(t) else CUT.split(t) if t else [] for t in texts]
         if len(self.known) > self.most:
             self.known = {}
         other = []
         for piece in {p for pieces in cut for p in pieces}.difference(self.known):
             if PLAIN.fullmatch(piece):
-                found = self.tokenizer.model.tokenize(piece.decode().translate(self.alphabet))
+                word = piece.decode()
+                if word.isascii():
+                    word = word.replace(" ", self.blank)
+                else:
+                    word = word.translate(self.alphabet)
+                found = self.tokenizer.model.tokenize(word)
                 self.known[piece] = pack(f"<{len(found)}I", *[t.id for t in found])
             else:
                 other.append(piece)
