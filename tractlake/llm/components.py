@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour of a node that is larger than it moves to the node's smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("low").alias("high"), F.col("high").alias("low")))
     both = both.select(F.col("high").alias("node"), F.col("low").alias("other"))
-    least = both.groupBy("node").agg(F.min("other").alias("least"))
+    least = materialize(both.groupBy("node").agg(F.min("other").alias("least")), "least")
     return (
         both.join(least, "node")
         .filter("other > node")
@@ -23,7 +23,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the smallest of them."""
-    least = edges.groupBy("high").agg(F.min("low").alias("least"))
+    least = materialize(edges.groupBy("high").agg(F.min("low").alias("least")), "least")
     moved = (
         edges.join(least, "high")
         .select(F.col("low").alias("high"), F.col("least").alias("low"))
@@ -37,7 +37,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     A root has no row. Rounds grow with the logarithm of the longest path. Each round
     is written to the shared folder, so lineage stays short. Groupings only take minima, which
-    tasks combine before the shuffle, and the joins of a node with many edges can be split.
+    tasks combine before the shuffle. Minima are stored before they are joined: a join deals both
+    sides out anew, and the edges of a node that has many can be split over tasks.
     """
     low, high = F.least(a, b).alias("low"), F.greatest(a, b).alias("high")
     now = materialize(edges.select(low, high).filter("low < high").distinct(), "edges")

@@ -249,7 +249,7 @@ def _cells(docs: DataFrame, groups: DataFrame) -> DataFrame:
     blocks = F.ceil(
         F.greatest(F.count("*") / F.lit(rows), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))
     ).cast("int")
-    sizes = groups.groupBy("root").agg(blocks.alias("blocks"))
+    sizes = materialize(groups.groupBy("root").agg(blocks.alias("blocks")), "sizes")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     others = F.filter(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != F.col("block")
@@ -319,6 +319,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .filter("least < most")
         .select("band", "least")
     )
+    met = materialize(met, "bands")
     meetings = (
         banded.join(met, "band").filter("doc_id <> least").select("doc_id", "least").distinct()
     )
