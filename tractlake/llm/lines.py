@@ -116,6 +116,8 @@ def drop_repeated(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     runs = repeated_runs(docs, least)
     spans = runs.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__runs"))
     spans = materialize(spans, "runs").withColumnsRenamed({"__id": "__run_id", "__text": "__run_text"})
+    # Runs have no bound but the corpus, so they are merged at every size, never broadcast.
+    spans = spans.hint("merge")
     own = docs.columns
     keyed = docs.select(F.struct(*[F.col(c) for c in own]).alias("__row"))
     keyed = keyed.select("__row", *_key("__row.doc_id", "__row.text"))
