@@ -120,6 +120,18 @@ def test_one_hot_key_sends_one_row_per_task(spark, capsys):
     assert capsys.readouterr().out.count("WindowGroupLimit") >= 2
 
 
+def test_nearly_unique_keys_are_sorted_once(spark, capsys):
+    df = spark.range(0, 10_000, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")
+    )
+    out = first_per_key(df, ["k"], nearly_unique=True)
+    capsys.readouterr()
+    out.explain()  # before it runs: later, the first plan is printed along with the final one
+    plan = capsys.readouterr().out
+    assert plan.count(" Sort ") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert sorted(out.collect()) == sorted(first_per_key(df, ["k"]).collect())
+
+
 def test_concat_fills_missing_columns(rows):
     out = concat_tables(rows("a int, b int", (1, 2)), rows("b int, c int", (3, 4)))
     assert sorted(tuple(r) for r in out.collect() if r.a is not None) == [(1, 2, None)]

@@ -30,9 +30,16 @@ def _tie_break(df: DataFrame, used: Sequence[str], descending: bool) -> list[Col
 
 
 def _keep_first(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], ties: Sequence[Column]
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    ties: Sequence[Column],
+    nearly_unique: bool,
 ) -> DataFrame:
-    window = Window.partitionBy(*[F.col(quoted(k)) for k in keys]).orderBy(*order, *ties)
+    columns = [F.col(quoted(k)) for k in keys]
+    if nearly_unique and columns:
+        df = df.repartition(*columns)
+    window = Window.partitionBy(*columns).orderBy(*order, *ties)
     return df.withColumn(RANK, F.row_number().over(window)).filter(F.col(RANK) == 1)
 
 
@@ -41,25 +48,37 @@ def keep_first(
     keys: Sequence[str],
     order: Sequence[Column] = (),
     descending_ties: bool = True,
+    nearly_unique: bool = False,
 ) -> DataFrame:
     """One row per key, the first by ``order``; null keys form one group.
 
-    The rank stays in the output as ``rn``.
+    The rank stays in the output as ``rn``. With ``nearly_unique`` rows are sorted once,
+    after the exchange: right if no key has many rows, as all of a key's rows then meet in
+    one task. The result is the same either way.
     """
-    return _keep_first(df, keys, order, _tie_break(df, keys, descending_ties))
+    return _keep_first(df, keys, order, _tie_break(df, keys, descending_ties), nearly_unique)
 
 
-def keep_latest(df: DataFrame, keys: Sequence[str], time_column: str) -> DataFrame:
-    """One row per key, the newest by ``time_column``, then the greatest row."""
+def keep_latest(
+    df: DataFrame, keys: Sequence[str], time_column: str, nearly_unique: bool = False
+) -> DataFrame:
+    """One row per key, the newest by ``time_column``, then the greatest row.
+
+    For ``nearly_unique`` see ``keep_first``.
+    """
     newest = F.col(quoted(time_column)).desc_nulls_last()
-    return _keep_first(df, keys, [newest], _tie_break(df, [*keys, time_column], True))
+    ties = _tie_break(df, [*keys, time_column], True)
+    return _keep_first(df, keys, [newest], ties, nearly_unique)
 
 
 def first_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column] = (),
+    nearly_unique: bool = False,
 ) -> DataFrame:
     """One row per key with the columns of ``df``, smallest values on ties."""
-    return keep_first(df, keys, order, descending_ties=False).drop(RANK)
+    return keep_first(df, keys, order, False, nearly_unique).drop(RANK)
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:

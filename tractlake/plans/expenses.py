@@ -30,7 +30,6 @@ GOLD_NAMES = {
     "mjr_project_code": "project_code",
     "mjr_project_name": "project_name",
     "amount": "expense_amount",
-    "trans_date": "transaction_date",
 }
 
 
@@ -44,9 +43,15 @@ def typed_expenses(raw: DataFrame, ingested: datetime | None = None) -> DataFram
     )
 
 
-def silver_expenses(raw: DataFrame, ingested: datetime | None = None) -> DataFrame:
-    """One row per document line; the newest load wins, then the greatest row."""
-    return keep_latest(typed_expenses(raw, ingested), EXPENSE_KEY, "ingest_timestamp")
+def silver_expenses(
+    raw: DataFrame, ingested: datetime | None = None, nearly_unique: bool = False
+) -> DataFrame:
+    """One row per document line; the newest load wins, then the greatest row.
+
+    With ``nearly_unique`` lines are sorted once; say so only if no line is repeated often.
+    """
+    typed = typed_expenses(raw, ingested)
+    return keep_latest(typed, EXPENSE_KEY, "ingest_timestamp", nearly_unique)
 
 
 def silver_expenses_by_name(raw: DataFrame) -> DataFrame:

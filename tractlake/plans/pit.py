@@ -62,11 +62,13 @@ def yearly_totals(
 def load_all(
     spark: SparkSession, root: str, csv_path: str, fmt: str = "parquet"
 ) -> dict[str, str]:
-    """CSV to the bronze table and the gold metric."""
+    """CSV to the bronze table, the clean silver table and the gold metric."""
     bronze_path = write_dataset(read_counts(spark, csv_path), root, "bronze.pit", fmt)
     clean = clean_counts(read_dataset(spark, root, "bronze.pit", fmt))
-    metric = count_metrics(clean)["total_count"]
+    silver_path = write_dataset(clean, root, "silver.pit", fmt)
+    metric = count_metrics(read_dataset(spark, root, "silver.pit", fmt))["total_count"]
     return {
         "bronze.pit": bronze_path,
+        "silver.pit": silver_path,
         "gold.pit_metrics": write_dataset(metric, root, "gold.pit_metrics", fmt),
     }

@@ -244,6 +244,7 @@ DATASETS = {
             ("council_district",),
         ),
         Dataset("bronze.pit", "bronze/pit", PIT, ()),
+        Dataset("silver.pit", "silver/pit", PIT, ()),
         Dataset("gold.pit_metrics", "gold/pit_metrics", PIT_METRICS, ("year", "spa")),
     )
 }

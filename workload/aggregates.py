@@ -205,9 +205,8 @@ def text_lists(spark, sf_dir):
     """,
 )
 def newest_per_key(spark, sf_dir):
-    return keep_latest(
-        table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "l_shipdate"
-    )
+    lines = table(spark, sf_dir, "lineitem")
+    return keep_latest(lines, ["l_orderkey", "l_linenumber"], "l_shipdate", nearly_unique=True)
 
 
 @query(
