@@ -63,12 +63,21 @@ def test_query(spark, tmp_path, monkeypatch, step):
         assert len(set(sets(span)) & set(sets(TEMPLATES[r.licence]))) >= CONTAINED * len(set(sets(TEMPLATES[r.licence])))
 
 
+def test_matches_do_not_depend_on_other_rows(spark, monkeypatch):
+    rows = corpus()
+    whole = {tuple(r) for r in scan(frame(spark, rows).coalesce(1)).collect()}
+    dealt = {tuple(r) for r in scan(frame(spark, rows[::-1]).repartition(7)).collect()}
+    assert dealt == whole
+    monkeypatch.setattr(licences, "STEP_SHINGLES", 1)  # each text by itself
+    assert {tuple(r) for r in scan(frame(spark, rows).coalesce(1)).collect()} == whole
+
+
 def test_window_minima():
     values = np.random.default_rng(1).integers(0, 2**63, 70, dtype=np.uint64)
-    for length in (1, 2, 3, 8, 13, 70):
-        for step in (1, 4):
-            wanted = [values[i : i + length].min() for i in range(0, 71 - length, step)]
-            assert window_minima(values, length, step).tolist() == wanted
+    for step in (1, 4):
+        windows = {n: np.arange(0, 71 - n, step) for n in (1, 2, 3, 8, 13, 70)}
+        wanted = {n: [values[i : i + n].min() for i in first] for n, first in windows.items()}
+        assert {n: least.tolist() for n, least in window_minima(values, windows)} == wanted
 
 
 def test_short_templates_are_refused(spark):

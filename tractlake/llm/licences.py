@@ -4,7 +4,8 @@ Texts are cut to words of letters and digits (ASCII lower-cased; all other ASCII
 and five of them in a row are a shingle. For each length of a template, in shingles, windows of that length start
 at every ``step``-th shingle of the whole text, ``step`` being an eighth of the length, at least one. A
 window's MinHash values make ``BANDS`` bands of ``ROWS``; a window that agrees with a template
-in a band is compared with it.
+in a band is compared with it. Windows count from their text's start and see nothing of other
+texts, so what is found doesn't depend on how the rows are dealt to tasks.
 
 A full copy of a template is at most half a step off the nearest window, so the two share at
 least ``(1 - 1/16) / (1 + 1/16) = 0.88`` of their shingles, and a band agrees with probability
@@ -31,8 +32,9 @@ from tractlake.llm.base import Query, table, utf8
 from tractlake.llm.neardup import MULTIPLY, SHINGLE, mixed
 
 BANDS, ROWS, CONTAINED = 12, 2, 0.8
-#: Shingles of texts that are handled at once.
+#: Shingles of texts, with the gaps between them, that are handled at once.
 STEP_SHINGLES = 400_000
+NONE = np.uint64(2**64 - 1)
 
 # Licence notices as they are commonly written.
 TEMPLATES = {
@@ -89,25 +91,34 @@ def shingle_hashes(text: bytes, known: dict[bytes, int]) -> np.ndarray:
     return mixed(sums)
 
 
-def window_minima(values: np.ndarray, length: int, step: int) -> np.ndarray:
-    """The least of ``length`` values from every ``step``-th on; by powers of two."""
-    reach, least = 1, values
-    while 2 * reach <= length:
-        least = np.minimum(least[: len(least) - reach], least[reach:])
+def window_minima(values: np.ndarray, windows: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, the least value of each window) for ``windows``: first places by length.
+
+    Minima over powers of two are made once; a window is covered by two of them.
+    """
+    reach, powers = 1, [values]
+    while 2 * reach <= max(windows, default=0):
+        powers.append(np.minimum(powers[-1][:-reach], powers[-1][reach:]))
         reach *= 2
-    rest = length - reach
-    return np.minimum(least[: len(least) - rest], least[rest:])[::step]
+    for length, first in windows.items():
+        least = powers[length.bit_length() - 1]
+        rest = length - 2 ** (length.bit_length() - 1)
+        yield length, np.minimum(least[: len(least) - rest], least[rest:])[first]
 
 
-def band_values(hashes: np.ndarray, length: int, step: int) -> Iterator[np.ndarray]:
-    """For each band, a hash per window."""
+def band_values(
+    hashes: np.ndarray, gaps: np.ndarray, windows: dict[int, np.ndarray]
+) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(band, length, a hash for each window); ``gaps`` are places without a shingle."""
     for band in range(BANDS):
-        total = None
+        totals: dict[int, np.ndarray] = {}
         for row in range(ROWS):
-            k = band * ROWS + row
-            least = window_minima(mixed(hashes ^ _SEEDS[k]), length, step)
-            total = least if total is None else mixed(total) + least
-        yield total
+            values = mixed(hashes ^ _SEEDS[band * ROWS + row])
+            values[gaps] = NONE
+            for length, least in window_minima(values, windows):
+                totals[length] = mixed(totals[length]) + least if row else least
+        for length, total in totals.items():
+            yield band, length, total
 
 
 class Templates:
@@ -115,30 +126,41 @@ class Templates:
 
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(texts)
-        self.shingles, self.by_length = [], defaultdict(list)
+        self.shingles, self.by_length, self.bands = [], defaultdict(list), []
         for i, name in enumerate(self.names):
             hashes = shingle_hashes(texts[name].encode(), {})
             if not len(hashes):
                 raise ValueError(f"{name} has under {SHINGLE} words")
             self.shingles.append(np.unique(hashes))
             self.by_length[len(hashes)].append(i)
-            own = [int(v[0]) for v in band_values(hashes, len(hashes), 1)]
-            self.by_length[len(hashes), "bands"].append(own)
-
-    def candidates(self, hashes: np.ndarray) -> set[tuple[int, int, int, int]]:
-        """(template, first shingle, length, step) of windows that agree with a template in a band."""
+            whole = {len(hashes): np.zeros(1, np.int64)}
+            self.bands.append([v[0] for _, _, v in band_values(hashes, np.empty(0, np.int64), whole)])
+        #: What stands between two texts: a window that starts in one ends before the next.
+        self.gap = max(self.by_length, default=1) - 1
+
+    def candidates(self, texts: list[np.ndarray]) -> set[tuple[int, int, int, int]]:
+        """(text, template, first shingle, length) of windows that agree with a template in a band."""
+        sizes = np.array([len(t) for t in texts])
+        starts = np.cumsum(sizes + self.gap) - sizes - self.gap
+        gap = np.zeros(self.gap, np.uint64)
+        hashes = np.concatenate([part for t in texts for part in (t, gap)])
+        within = np.arange(len(hashes)) - np.repeat(starts, sizes + self.gap)
+        inside = within < np.repeat(sizes, sizes + self.gap)
+        windows = {n: np.flatnonzero(inside & (within % step_of(n) == 0)) for n in self.by_length}
         found = set()
-        for length, templates in list(self.by_length.items()):
-            if isinstance(length, tuple) or len(hashes) < length:
-                continue
-            step = max(1, length // 8)
-            own = np.array(self.by_length[length, "bands"], np.uint64)
-            for band, values in enumerate(band_values(hashes, length, step)):
-                for t, wanted in zip(templates, own[:, band]):
-                    found.update((t, int(w) * step, length, step) for w in np.flatnonzero(values == wanted))
+        for band, length, values in band_values(hashes, np.flatnonzero(~inside), windows):
+            for t in self.by_length[length]:
+                first = windows[length][values == self.bands[t][band]]
+                text = np.searchsorted(starts, first, "right") - 1
+                at = zip(text.tolist(), within[first].tolist())
+                found.update((d, t, place, length) for d, place in at)
         return found
 
 
+def step_of(length: int) -> int:
+    return max(1, length // 8)
+
+
 def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, licence, first_word, last_word, containment): the best place of each match.
 
@@ -158,7 +180,7 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
                     continue
                 ids.append(doc.as_py())
                 pending.append(hashes)
-                total += len(hashes)
+                total += len(hashes) + templates.gap
                 if total >= STEP_SHINGLES:
                     yield matches(templates, ids, pending)
                     ids, pending, total = [], [], 0
@@ -166,18 +188,17 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
                 yield matches(templates, ids, pending)
 
     def matches(templates: Templates, ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
-        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for d, hashes in _found(templates, texts, starts):
-            for t, first, length, step in hashes:
-                low, high = max(0, first - step), min(len(texts[d]), first + length + step)
-                inside = np.isin(texts[d][low:high], templates.shingles[t])
-                own = len(np.unique(texts[d][low:high][inside]))
-                share = own / len(templates.shingles[t])
-                if share >= CONTAINED:
-                    at = low + np.flatnonzero(inside)
-                    entry = (-share, int(at[0]), int(at[-1]) + SHINGLE - 1)
-                    best[d, t] = min(best.get((d, t), entry), entry)
+        for d, t, first, length in templates.candidates(texts):
+            step = step_of(length)
+            low, high = max(0, first - step), min(len(texts[d]), first + length + step)
+            inside = np.isin(texts[d][low:high], templates.shingles[t])
+            own = len(np.unique(texts[d][low:high][inside]))
+            share = own / len(templates.shingles[t])
+            if share >= CONTAINED:
+                at = low + np.flatnonzero(inside)
+                entry = (-share, int(at[0]), int(at[-1]) + SHINGLE - 1)
+                best[d, t] = min(best.get((d, t), entry), entry)
         rows = [(ids[d], templates.names[t], a, b, -s) for (d, t), (s, a, b) in sorted(best.items())]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
         names = ["doc_id", "licence", "first_word", "last_word", "containment"]
@@ -190,25 +211,6 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     )
 
 
-def _found(templates: Templates, texts: list[np.ndarray], starts: np.ndarray):
-    """(text, its candidates); windows run over all texts at once, in each text's own numbers.
-
-    A window that reaches over a text's end belongs to each text that it reaches into; the
-    comparison sees that text's shingles only.
-    """
-    grouped = defaultdict(set)
-    # Filled up, so that a text at the end has windows that begin at each of its steps.
-    longest = max(len(x) for x in templates.shingles) * 2
-    filled = np.concatenate([*texts, np.arange(longest, dtype=np.uint64)])
-    for t, first, length, step in templates.candidates(filled):
-        # The texts that the window reaches into; empty ones aren't here.
-        d = int(np.searchsorted(starts, first, "right")) - 1
-        while d < len(texts) and starts[d] < first + length:
-            grouped[d].add((t, max(0, first - int(starts[d])), length, step))
-            d += 1
-    return grouped.items()
-
-
 def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
