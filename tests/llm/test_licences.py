@@ -88,3 +88,45 @@ def test_short_templates_are_refused(spark):
 
 def test_empty_table(spark, tmp_path):
     assert op2_licence_scan(spark, save(frame(spark, []), tmp_path)).collect() == []
+
+
+def test_short_notices_and_telling_words(spark):
+    texts = [
+        "some words\nAll rights reserved.\nmore words here",
+        "ALL RIGHTS RESERVED",
+        "all rights are reserved",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This work is licensed under the GNU General Public License, version 4.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of "
+        "the GNU Lesser General Public License as published by the Free Software Foundation",
+        "This program is free software: you can redistribute it and/or modify it under the terms of "
+        "the GNU Affero General Public License as published by the Free Software Foundation",
+        licences.TEMPLATES["apache-2.0-header"].replace("Version 2.0", "Version 3.0"),
+    ]
+    out = scan(frame(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])).collect()
+    assert sorted((r.doc_id, r.licence) for r in out) == [
+        (0, "all-rights-reserved"),
+        (1, "all-rights-reserved"),
+        (3, "gpl-2.0"),
+        (5, "lgpl-3.0"),
+        (6, "lgpl-header"),
+        (7, "agpl-header"),
+    ]
+    assert [tuple(r)[2:] for r in out if r.doc_id == 0] == [(2, 4, 1.0)]
+
+
+def test_each_notice_is_found_as_itself(spark):
+    notices = {**TEMPLATES, **licences.FURTHER, **licences.SHORT}
+    names = sorted(notices)
+    out = scan(frame(spark, [(i, f"x y z {notices[n]} z y x", "en", "a", 1) for i, n in enumerate(names)])).collect()
+    got = {(names[r.doc_id], r.licence) for r in out}
+    # The Apache header begins with the notice.
+    assert got == {(n, n) for n in names} | {("apache-2.0-header", "apache-2.0")}
+
+
+def test_planted_notices_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    wanted = {r.doc_id for r in docs.filter("text rlike '(?m)^All rights reserved[.]$'").collect()}
+    got = {r.doc_id for r in scan(docs).filter("licence = 'all-rights-reserved'").collect()}
+    assert len(wanted) == 7 and wanted <= got

@@ -11,10 +11,13 @@ A full copy of a template is at most half a step off the nearest window, so the
 least ``(1 - 1/16) / (1 + 1/16) = 0.88`` of their shingles, and a band agrees with probability
 ``1 - (1 - 0.88^2)^12 > 1 - 2e-8``; a short template, whose step is one, is met exactly. The
 comparison is exact: the share of the template's shingles inside the window, widened by a
-step on both sides, must be ``CONTAINED`` or more.
+step on both sides, must be ``CONTAINED`` or more, and of each of its ``TELLING`` phrases, which
+part it from a sister licence, a shingle that holds the phrase must be among them.
 
-The templates are a small fixed list, sent along with the tasks. Null, empty and short texts
-match nothing. Repeated rows match each. Empty tables give empty tables. Only ``doc_id`` and
+A notice of under five words (``SHORT``) is one shingle of its own length and is met exactly.
+
+The templates are a small fixed list, sent along with the tasks. Null and
+empty texts match nothing, and texts under five words short notices only. Repeated rows match each. Empty tables give empty tables. Only ``doc_id`` and
 ``text`` are read.
 """
 
@@ -66,6 +69,78 @@ TEMPLATES = {
         "publish, distribute, sublicense, and/or sell copies of the Software"
     ),
 }
+# Texts that hold most of a template above, or of one another; telling phrases part them.
+FURTHER = {
+    "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "agpl-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of "
+        "the GNU Affero General Public License as published by the Free Software Foundation"
+    ),
+    "bsd-binary-clause": (
+        "Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials "
+        "provided with the distribution."
+    ),
+    "bsd-name-clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written "
+        "permission."
+    ),
+    "bsd-source-clause": (
+        "Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer."
+    ),
+    "cc-by-nc-nd-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nc-sa-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nd-4.0": "Licensed under CC BY-ND 4.0.",
+    "cc0-dedication": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related "
+        "and neighboring rights to this software to the public domain worldwide."
+    ),
+    "epl-2.0-header": (
+        "This program and the accompanying materials are made available under the terms of the "
+        "Eclipse Public License 2.0 which is available at"
+    ),
+    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "isc-grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+        "without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies."
+    ),
+    "lgpl-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of "
+        "the GNU Lesser General Public License as published by the Free Software Foundation"
+    ),
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a "
+        "copy of the MPL was not distributed with this file, You can obtain one at "
+        "http://mozilla.org/MPL/2.0/."
+    ),
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+}
+# Of at most SHINGLE words each.
+TELLING = {
+    "agpl-3.0": ["GNU Affero General", "version 3"],
+    "agpl-header": ["GNU Affero General Public License"],
+    "apache-2.0-header": ["Apache License, Version 2.0"],
+    "epl-2.0-header": ["Eclipse Public License 2.0"],
+    "gpl-2.0": ["GNU General", "version 2"],
+    "gpl-3.0": ["GNU General", "version 3"],
+    "gpl-header": ["GNU General Public License"],
+    "lgpl-2.1": ["GNU Lesser General", "version 2.1"],
+    "lgpl-3.0": ["GNU Lesser General", "version 3"],
+    "lgpl-header": ["GNU Lesser General Public License"],
+    "mpl-2.0-header": ["Mozilla Public License", "License, v. 2.0"],
+}
+SHORT = {
+    "all-rights-reserved": "All rights reserved.",
+    "cc0-1.0": "CC0 1.0",
+    "spdx-isc": "SPDX-License-Identifier: ISC",
+    "spdx-mit": "SPDX-License-Identifier: MIT",
+    "spdx-unlicense": "SPDX-License-Identifier: Unlicense",
+}
 
 _TABLE = bytes(
     ord(chr(b).lower()) if chr(b).isalnum() else ord(" ") for b in range(0x80)
@@ -73,24 +148,41 @@ _TABLE = bytes(
 _SEEDS = np.random.default_rng(20240502).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingle_hashes(text: bytes, known: dict[bytes, int]) -> np.ndarray:
-    """The hash of every shingle, in order."""
+def word_hashes(text: bytes, known: dict[bytes, int]) -> np.ndarray:
+    """The hash of every word, in order."""
     words = text.translate(_TABLE).split()
-    n = len(words) - SHINGLE + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
     hashes = np.empty(len(words), np.uint64)
     for i, word in enumerate(words):
         value = known.get(word)
         if value is None:
             value = known[word] = xxhash.xxh3_64_intdigest(word)
         hashes[i] = value
+    return hashes
+
+
+def shingle_hashes(text: bytes, known: dict[bytes, int]) -> np.ndarray:
+    """The hash of every shingle, in order."""
+    return shingles_of(word_hashes(text, known))
+
+
+def shingles_of(hashes: np.ndarray) -> np.ndarray:
+    n = len(hashes) - SHINGLE + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
     sums = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
         sums += hashes[k : n + k] * MULTIPLY[k]
     return mixed(sums)
 
 
+def first_place(words: np.ndarray, notice: np.ndarray) -> int | None:
+    """The first word at which the whole notice stands."""
+    at = np.flatnonzero(words[: max(0, len(words) - len(notice) + 1)] == notice[0])
+    for k in range(1, len(notice)):
+        at = at[words[at + k] == notice[k]]
+    return int(at[0]) if len(at) else None
+
+
 def window_minima(values: np.ndarray, windows: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
     """(length, the least value of each window) for ``windows``: first places by length.
 
@@ -124,14 +216,23 @@ def band_values(
 class Templates:
     """The templates' shingles, and their band values by length."""
 
-    def __init__(self, texts: dict[str, str]):
+    def __init__(self, texts: dict[str, str], telling: dict[str, list[str]] | None = None):
         self.names = sorted(texts)
         self.shingles, self.by_length, self.bands = [], defaultdict(list), []
+        #: For each template, the shingles that hold a phrase, by phrase.
+        self.telling: list[list[np.ndarray]] = []
         for i, name in enumerate(self.names):
             hashes = shingle_hashes(texts[name].encode(), {})
             if not len(hashes):
                 raise ValueError(f"{name} has under {SHINGLE} words")
             self.shingles.append(np.unique(hashes))
+            words = word_hashes(texts[name].encode(), {})
+            phrases = [word_hashes(x.encode(), {}) for x in (telling or {}).get(name, [])]
+            holds = [
+                [first_place(words[j : j + SHINGLE], x) is not None for j in range(len(hashes))]
+                for x in phrases
+            ]
+            self.telling.append([hashes[x] for x in holds])
             self.by_length[len(hashes)].append(i)
             whole = {len(hashes): np.zeros(1, np.int64)}
             self.bands.append([v[0] for _, _, v in band_values(hashes, np.empty(0, np.int64), whole)])
@@ -164,18 +265,27 @@ def step_of(length: int) -> int:
 def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, licence, first_word, last_word, containment): the best place of each match.
 
-    Words count from 0; of several best places, the first is given.
+    Words count from 0; of several best places, the first is given. With ``texts`` of the
+    caller's, these are the only ones.
     """
-    texts = texts or TEMPLATES
+    short = SHORT if texts is None else {}
+    telling = TELLING if texts is None else {}
+    texts = {**TEMPLATES, **FURTHER} if texts is None else texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates, known = Templates(texts), {}
+        templates, known = Templates(texts, telling), {}
+        notices = {name: word_hashes(notice.encode(), {}) for name, notice in short.items()}
         for batch in batches:
-            ids, pending, total = [], [], 0
+            ids, pending, total, brief = [], [], 0, []
             for doc, text in zip(batch.column("doc_id"), batch.column("__text")):
                 if len(known) > 500_000:
                     known.clear()
-                hashes = shingle_hashes(text.as_py(), known)
+                words = word_hashes(text.as_py(), known)
+                for name, notice in notices.items():
+                    at = first_place(words, notice)
+                    if at is not None:
+                        brief.append((doc.as_py(), name, at, at + len(notice) - 1, 1.0))
+                hashes = shingles_of(words)
                 if not len(hashes):
                     continue
                 ids.append(doc.as_py())
@@ -186,6 +296,8 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
                     ids, pending, total = [], [], 0
             if ids:
                 yield matches(templates, ids, pending)
+            if brief:
+                yield batch_of(brief)
 
     def matches(templates: Templates, ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
@@ -195,11 +307,16 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
             inside = np.isin(texts[d][low:high], templates.shingles[t])
             own = len(np.unique(texts[d][low:high][inside]))
             share = own / len(templates.shingles[t])
-            if share >= CONTAINED:
+            told = all(np.isin(x, texts[d][low:high]).any() for x in templates.telling[t])
+            if share >= CONTAINED and told:
                 at = low + np.flatnonzero(inside)
                 entry = (-share, int(at[0]), int(at[-1]) + SHINGLE - 1)
                 best[d, t] = min(best.get((d, t), entry), entry)
-        rows = [(ids[d], templates.names[t], a, b, -s) for (d, t), (s, a, b) in sorted(best.items())]
+        return batch_of(
+            [(ids[d], templates.names[t], a, b, -s) for (d, t), (s, a, b) in sorted(best.items())]
+        )
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
         names = ["doc_id", "licence", "first_word", "last_word", "containment"]
         return pa.RecordBatch.from_arrays(
