@@ -130,3 +130,29 @@ def test_planted_notices_of_the_table(spark):
     wanted = {r.doc_id for r in docs.filter("text rlike '(?m)^All rights reserved[.]$'").collect()}
     got = {r.doc_id for r in scan(docs).filter("licence = 'all-rights-reserved'").collect()}
     assert len(wanted) == 7 and wanted <= got
+
+
+def test_bands_meet_spread_out_copies():
+    """Copies with 0.8 to 0.88 of the shingles inside a widened window, spread by insertions."""
+    rng = random.Random(1)
+    words = [f"w53x{i}" for i in range(57)]
+    templates = licences.Templates({"t": " ".join(words)})
+    wanted, step, size, tried = templates.shingles[0], 6, 53, 0
+    assert licences.step_of(size) == step
+    while tried < 400:
+        copy = list(words)
+        for _ in range(rng.choice([1, 2])):
+            at = rng.randrange(1, len(copy))
+            inserted = rng.randrange(0, step // 2 + 1)
+            copy[at : at + rng.choice([0, 1])] = [f"o{rng.random()}" for _ in range(inserted)]
+        before = [f"b{rng.random()}" for _ in range(rng.randrange(60, 90))]
+        text = " ".join([*before, *copy, *[f"e{rng.random()}" for _ in range(200)]])
+        hashes = shingle_hashes(text.encode(), {})
+
+        def share(a):
+            return len(np.intersect1d(hashes[max(0, a - step) : a + size + step], wanted)) / len(wanted)
+
+        best = max(share(a) for a in range(0, len(hashes) - size + 1, step))
+        if CONTAINED <= best < 0.88:
+            tried += 1
+            assert any(share(a) >= CONTAINED for _, _, a, _ in templates.candidates([hashes]))

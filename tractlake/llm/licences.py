@@ -7,9 +7,14 @@ window's MinHash values make ``BANDS`` bands of ``ROWS``; a window that agrees w
 in a band is compared with it. Windows count from their text's start and see nothing of other
 texts, so what is found doesn't depend on how the rows are dealt to tasks.
 
-A full copy of a template is at most half a step off the nearest window, so the two share at
-least ``(1 - 1/16) / (1 + 1/16) = 0.88`` of their shingles, and a band agrees with probability
-``1 - (1 - 0.88^2)^12 > 1 - 2e-8``; a short template, whose step is one, is met exactly. The
+A window that is accepted holds ``CONTAINED`` of the template's shingles, of which up to two steps,
+a quarter from 8 shingles on, may stand in the widening. So the window itself has ``0.8 - 0.25 = 0.55``
+of them or more, and ``0.55 / (2 - 0.55) = 0.379`` of all that the two have. Each band is one value,
+which agrees with that probability; all 24 miss with ``(1 - 0.379)^24 < 1.2e-5`` at worst. With 0.8
+in a row, half a step off, it is ``(1 - 0.584)^24 < 1e-9``. For 5 to 7 shingles, with a step of one,
+the worst is 4 of 5 with one on either side, ``(1 - 2/8)^24``, 1 in 1,000; 4 of 5 in a row is
+``(1 - 4/6)^24``. Under 5, all shingles must be there, and in the template's order they are met
+exactly, as is any full copy with a step of one. The
 comparison is exact: the share of the template's shingles inside the window, widened by a
 step on both sides, must be ``CONTAINED`` or more, and of each of its ``TELLING`` phrases, which
 part it from a sister licence, a shingle that holds the phrase must be among them.
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tractlake.llm.base import Query, table, utf8
 from tractlake.llm.neardup import MULTIPLY, SHINGLE, mixed
 
-BANDS, ROWS, CONTAINED = 12, 2, 0.8
+BANDS, ROWS, CONTAINED = 24, 1, 0.8
 #: Shingles of texts, with the gaps between them, that are handled at once.
 STEP_SHINGLES = 400_000
 NONE = np.uint64(2**64 - 1)
