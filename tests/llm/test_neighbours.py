@@ -83,3 +83,27 @@ def test_recall_in_a_large_block(monkeypatch):
 
 def test_empty_table(spark, tmp_path):
     assert op10_neighbours(spark, save(spark.createDataFrame([], SCHEMA), tmp_path, "embeddings")).collect() == []
+
+
+def recall(x, queries, k=20):
+    """The share of the best ``k`` that a block of ``x`` gives for the first ``queries`` vectors."""
+    ids = np.arange(len(x))
+    q, v, _ = neighbours.nearest_in_block(ids, x, ids[:queries], x[:queries], k)
+    hits = []
+    for i in range(queries):
+        score = x @ x[i]
+        score[i] = -np.inf
+        hits.append(len(set(np.argsort(-score)[:k].tolist()) & {b for a, b in zip(q, v) if a == i}) / k)
+    return np.mean(hits)
+
+
+def test_recall_with_unequal_lengths():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    few = x.copy()
+    few[100:140] *= 100
+    assert recall(few, 40) >= 0.9
+    assert recall(x * rng.lognormal(0, 0.5, (12_000, 1)), 40) >= 0.9
+    assert recall(x * rng.uniform(0.5, 1, (12_000, 1)), 40) >= 0.9
+    assert recall(few * 1e-100, 40) >= 0.9

@@ -6,8 +6,15 @@ to blocks, and each block has one inverted file per pivot: the rank that the piv
 each vector, ``POSTED`` where it isn't among its nearest. A query reads the files of its own nearest
 pivots only. The footrule distance of two orders, the sum of rank differences with absent
 pivots at rank ``POSTED``, is twice the sum of ``max(rank of query, rank of vector)`` over the
-query's pivots, less a constant. A block's vectors are ranked by it; the nearest, with all
-that tie with the last of them, are compared exactly in double precision.
+query's pivots, less a constant.
+
+The measure is the inner product, but orders of pivots know angles only. So a block's vectors are
+parted into classes by length, each within a factor of two, and a vector of a class gets one more
+component, ``sqrt(M^2 - |x|^2)`` with ``M`` the class's greatest length, queries 0: then all of a
+class have length ``M``, and the smaller angle is the larger inner product. Each class is ranked by the footrule
+distance by itself; its nearest ``SHARE``, ``LEAST`` at least, with all that tie with the last of
+them, are compared exactly in double precision. Classes of up to ``LEAST`` vectors are
+compared whole.
 
 Queries meet blocks in cells of bounded size, one block and some queries each, and every cell
 returns its best ``k`` per query.
@@ -28,7 +35,7 @@ from pyspark.sql import functions as F
 from tractlake.llm.base import Query, materialize, table
 
 PIVOTS, POSTED, SEED = 256, 128, 17
-#: Of a block, the share that is compared exactly, and how many at least.
+#: Of a class, the share that is compared exactly, and how many at least.
 SHARE, LEAST = 0.12, 256
 #: Vectors of a block and queries of a cell, at most about; blocks of small tables.
 BLOCK_ROWS, CELL_QUERIES, LEAST_BLOCKS = 16_384, 1_024, 20
@@ -53,21 +60,41 @@ def ranks(vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+def by_length(vectors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, the vectors with one more component) of each class of lengths, the longest first."""
+    most = np.abs(vectors).max(axis=1)
+    length = np.log2(most) + np.log2(np.linalg.norm(vectors / most[:, None], axis=1))
+    kind = np.floor(length.max(initial=-np.inf) - length).astype(np.int64)
+    out = []
+    for one in np.unique(kind):
+        rows = np.flatnonzero(kind == one)
+        x = vectors[rows] / most[rows].max()
+        square = (x * x).sum(axis=1)
+        out.append((rows, np.column_stack([x, np.sqrt(square.max() - square)])))
+    return out
+
+
 def nearest_in_block(
     ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int
 ) -> tuple[list[int], list[int], list[float]]:
     """The best ``k`` of the block for each query, by footrule distance and then exactly."""
-    files = np.ascontiguousarray(ranks(vectors).T)
-    wanted = max(LEAST, 4 * k, int(np.ceil(SHARE * len(ids)))) + 1
+    classes = []
+    for rows, levelled in by_length(vectors):
+        wanted = max(LEAST, 4 * k, int(np.ceil(SHARE * len(rows)))) + 1
+        files = np.ascontiguousarray(ranks(levelled).T) if len(rows) > wanted else None
+        classes.append((rows, wanted, files))
     out = [], [], []
-    for query_id, query, order in zip(query_ids, queries, ranks(queries)):
+    orders = ranks(np.pad(queries, ((0, 0), (0, 1))))
+    for query_id, query, order in zip(query_ids, queries, orders):
         own = np.flatnonzero(order < POSTED)
-        if len(ids) > wanted:
-            distance = np.maximum(files[own], order[own][:, None]).sum(axis=0, dtype=np.int32)
-            limit = np.partition(distance, wanted - 1)[wanted - 1]
-            near = np.flatnonzero(distance <= limit)
-        else:
-            near = np.arange(len(ids))
+        parts = []
+        for rows, wanted, files in classes:
+            if files is not None:
+                distance = np.maximum(files[own], order[own][:, None]).sum(axis=0, dtype=np.int32)
+                limit = np.partition(distance, wanted - 1)[wanted - 1]
+                rows = rows[distance <= limit]
+            parts.append(rows)
+        near = np.sort(np.concatenate(parts))
         near = near[ids[near] != query_id]
         score = (vectors[near] * query).sum(axis=1)
         best = np.lexsort((ids[near], -score))[:k]
