@@ -107,3 +107,11 @@ def test_recall_with_unequal_lengths():
     assert recall(x * rng.lognormal(0, 0.5, (12_000, 1)), 40) >= 0.9
     assert recall(x * rng.uniform(0.5, 1, (12_000, 1)), 40) >= 0.9
     assert recall(few * 1e-100, 40) >= 0.9
+
+
+def test_the_given_table_is_ranked(spark):
+    """Its 2,000 vectors make one block, of which 256 and ties are compared."""
+    assert [neighbours.cells(n, n // 20)[0] for n in (0, 500, 2_000, 16_384, 16_385)] == [1, 1, 1, 1, 2]
+    assert neighbours.cells(2_000, 100) == (1, 7)
+    vectors = usable(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
+    assert recall(np.array([r.embedding for r in vectors.collect()]), 100) >= 0.9

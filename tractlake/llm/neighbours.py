@@ -16,8 +16,9 @@ distance by itself; its nearest ``SHARE``, ``LEAST`` at least, with all that tie
 them, are compared exactly in double precision. Classes of up to ``LEAST`` vectors are
 compared whole.
 
-Queries meet blocks in cells of bounded size, one block and some queries each, and every cell
-returns its best ``k`` per query.
+A block is as large as ``BLOCK_ROWS`` lets it be, also for small tables, so that the share is the
+same from ``LEAST / SHARE`` = 2,133 vectors on. Queries meet blocks in cells of bounded
+size, one block and some queries each, and every cell returns its best ``k`` per query.
 
 Null, empty or all-zero vectors, vectors with a null, NaN or infinite component, and rows
 without an id take no part. Equal rows count once; rows that share the query's id are
@@ -37,8 +38,8 @@ from tractlake.llm.base import Query, materialize, table
 PIVOTS, POSTED, SEED = 256, 128, 17
 #: Of a class, the share that is compared exactly, and how many at least.
 SHARE, LEAST = 0.12, 256
-#: Vectors of a block and queries of a cell, at most about; blocks of small tables.
-BLOCK_ROWS, CELL_QUERIES, LEAST_BLOCKS = 16_384, 1_024, 20
+#: Vectors of a block and queries of a cell, at most about; cells of small tables, and their queries.
+BLOCK_ROWS, CELL_QUERIES, LEAST_CELLS, LEAST_QUERIES = 16_384, 1_024, 8, 16
 
 
 def pivots(dimension: int) -> np.ndarray:
@@ -118,11 +119,16 @@ def usable(vectors: DataFrame) -> DataFrame:
     return materialize(rows.distinct().withColumn("dim", F.size("embedding")), "vectors")
 
 
+def cells(vectors: int, queries: int) -> tuple[int, int]:
+    """The numbers of blocks and of groups of queries. Small tables are dealt by queries only."""
+    blocks = max(1, -(-vectors // BLOCK_ROWS))
+    few = min(-(-LEAST_CELLS // blocks), -(-queries // LEAST_QUERIES))
+    return blocks, max(1, few, -(-queries // CELL_QUERIES))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) for stored ``usable`` rows."""
-    counts = [df.count() for df in (vectors, queries)]
-    blocks = max(-(-counts[0] // BLOCK_ROWS), min(LEAST_BLOCKS, -(-counts[0] // 64)), 1)
-    groups = max(1, -(-counts[1] // CELL_QUERIES))
+    blocks, groups = cells(vectors.count(), queries.count())
 
     def dealt(name: str, n: int):
         return F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int").alias(name)
