@@ -23,6 +23,9 @@ from tractlake.llm import (
 )
 from tractlake.llm.base import Query, materialize, table
 
+#: Documents that share this much of their shingles are near copies; op8 has its own limit.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: the documents that the rules keep."""
@@ -36,7 +39,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: one document of each group, the one with the smallest id."""
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

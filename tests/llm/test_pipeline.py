@@ -49,3 +49,15 @@ def test_one_query_for_each_operator():
     names = sorted(corpus_pipeline.QUERIES)
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
     assert "pipeline" in names and [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
+
+
+def test_near_copies_from_four_fifths_on_go(spark):
+    """177 of 215 shingles in common, 0.82: linked in the pipeline and not in op8."""
+    words = [f"word{i}" for i in range(200)]
+    copy = words[:-19] + [f"other{i}" for i in range(19)]
+    far = words[:-26] + [f"else{i}" for i in range(26)]
+    rows = [(i, " ".join(w), "en", "a", 1) for i, w in enumerate([words, copy, far])]
+    docs = frame(spark, rows)
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == [0, 2]
+    assert sorted(r.doc_id for r in corpus_pipeline.neardup.keep_one(docs).collect()) == [0, 1, 2]

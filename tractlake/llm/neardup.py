@@ -1,8 +1,8 @@
 """Operator 8: near-duplicates by SuperMinHash, banding, exact checks and components.
 
 A document's set holds its distinct five-word shingles, words lower-cased in A-Z; a shorter
-text is one shingle. Two documents are linked if ``100 * common >= 85 * all`` of their
-shingles; a component is what links connect.
+text is one shingle. Two documents are linked if ``100 * common >= percent * all`` of their
+shingles, 85 in the query and 80 in the pipeline; a component is what links connect.
 
 1. One pass over the texts hashes the shingles and makes a SuperMinHash signature: each
    shingle writes, in steps ``j = 0, 1, ...``, the value ``j + uniform`` to the place that a
@@ -12,7 +12,7 @@ shingles; a component is what links connect.
 2. Documents with equal sets are one class, named by its smallest id.
 3. ``BANDS`` bands of ``ROWS`` values: classes that agree in a band are candidates. A link
    of exactly 0.85 is missed with probability ``(1 - 0.85^ROWS)^BANDS``, under 3 in 10
-   million.
+   million, and one of exactly 0.80 with 6 in 100,000.
 4. Candidates that hang together meet in cells. A large group is cut into blocks, and each
    pair of blocks is a cell, so no group is ever in one task. A cell compares whole shingle
    sets and returns a spanning forest of its links, never all pairs.
@@ -287,12 +287,12 @@ def _cells(docs: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def _links(cells: DataFrame) -> DataFrame:
+def _links(cells: DataFrame, percent: int) -> DataFrame:
     def run(rows: pa.Table) -> pa.Table:
         ids = rows.column("doc_id").to_numpy()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("set")]
         full = [i for i, s in enumerate(sets) if len(s)]
-        found = linked(ids[full], [sets[i] for i in full]) if len(full) > 1 else []
+        found = linked(ids[full], [sets[i] for i in full], percent) if len(full) > 1 else []
         return pa.table(
             {
                 "a": pa.array([int(a) for a, _ in found], pa.int64()),
@@ -303,7 +303,7 @@ def _links(cells: DataFrame) -> DataFrame:
     return cells.groupBy("root", "one", "two").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
     described = materialize(features(docs.select("doc_id", "text")), "signatures")
     owned = described.filter("doc_id IS NOT NULL AND n_shingles > 0")
@@ -342,7 +342,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same_id = placed.join(mixed_ids, "doc_id", "left_semi").select(
         F.col("__class").alias("a"), F.col("doc_id").alias("b")
     )
-    links = materialize(_links(_cells(docs, groups)), "links")
+    links = materialize(_links(_cells(docs, groups), percent), "links")
     roots = components(links.unionByName(same_id), "a", "b")
     return (
         described.select("doc_id", "n_shingles", "digest")
@@ -359,9 +359,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without later members of a component; of a repeated id, one row."""
-    judged = materialize(near_duplicates(docs), "components")
+    judged = materialize(near_duplicates(docs, percent), "components")
     gone = judged.filter("NOT kept").select("doc_id")
     again = judged.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     again = materialize(again.select("doc_id"), "repeated")
