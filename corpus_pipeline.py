@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tractlake.llm import (
     bpe,
+    importance,
     licences,
     lines,
     mixing,
     neardup,
     neighbours,
+    periods,
     quality,
     scoring,
     sharding,
@@ -73,6 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MODULES = (
     sharding, licences, tokenfiles, lines, bpe, mixing, scoring, neardup, quality, neighbours,
+    periods, importance,
 )
 QUERIES = {q.name: q for module in _MODULES for q in module.QUERIES}
 QUERIES["pipeline"] = Query("pipeline", run, ORACLE_SQL)
