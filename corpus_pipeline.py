@@ -17,6 +17,7 @@ from tractlake.llm import (
     mixing,
     neardup,
     neighbours,
+    passages,
     periods,
     quality,
     scoring,
@@ -75,7 +76,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MODULES = (
     sharding, licences, tokenfiles, lines, bpe, mixing, scoring, neardup, quality, neighbours,
-    periods, importance,
+    passages, periods, importance,
 )
 QUERIES = {q.name: q for module in _MODULES for q in module.QUERIES}
 QUERIES["pipeline"] = Query("pipeline", run, ORACLE_SQL)
