@@ -35,13 +35,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractlake.llm.base import Query, materialize, table, utf8, width
+from tractlake.llm.base import Query, in_parts, materialize, table, utf8, width, word_numbers
 from tractlake.llm.fmindex import FMIndex, repeated_windows
 from tractlake.llm.periods import Blocks
 
 WINDOW, GRAM = 35, 12
 #: Places from which an anchor's windows are counted one by one; words of pieces in a shard.
 HOT, SHARD_WORDS = 1_000, 1_000_000
+#: Bytes of texts, and of compressed ones, that a task looks at together.
+PART, PACKED_PART = 2_000_000, 800_000
 ALL_ONES = np.uint64(0xFFFFFFFF)
 
 
@@ -55,18 +57,15 @@ class Windows:
     """Windows and anchors of some texts' words."""
 
     def __init__(self, texts: list[list[bytes]], window: int = WINDOW, gram: int = GRAM):
-        known: dict[bytes, int] = {}
         sizes = np.array([len(t) for t in texts], np.int64)
-        self.numbers = np.fromiter(
-            (known.setdefault(w, len(known)) for t in texts for w in t), np.int64, int(sizes.sum())
-        )
-        self.window, self.known = window, list(known)
+        self.numbers, self.known = word_numbers(texts)
+        self.window = window
         self.starts = np.cumsum(sizes) - sizes
         text = np.repeat(np.arange(len(texts)), sizes)
         n = len(self.numbers)
         self.at = self.text = self.anchor = np.empty(0, np.int64)
         if n >= window:
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.known), np.uint64, len(self.known))
             self.keys = Blocks(hashes[self.numbers]).all(gram)
             # Half of the bits choose, so that picks don't depend on how many texts are here.
             least = (self.keys & ~ALL_ONES) | np.arange(len(self.keys), dtype=np.uint64)
@@ -110,7 +109,7 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     """(hash, k1, n) of each anchor of a text, and (k1, k2, doc_id) with a null hash for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, "__text", PART):
             texts = texts_in(batch)
             keys = np.array([key_of(t) for t in texts], np.int64).reshape(-1, 2)
             text, value, places = Windows([t.split() for t in texts], window).anchors()
@@ -132,7 +131,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=5)
-        for batch in batches:
+        for batch in in_parts(batches, "__text", PART):
             texts = texts_in(batch)
             keys = [key_of(t) for t in texts]
             arrays = [
@@ -160,9 +159,7 @@ def pieces(suspects: DataFrame, window: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in in_parts(batches, "packed", PACKED_PART):
             texts = [t.split() for t in unpack(batch)]
             found = Windows(texts, window)
             value = found.hashes(found.anchor)
@@ -220,17 +217,11 @@ def indexed_spans(found: DataFrame, window: int) -> DataFrame:
         of = [known.setdefault(p, len(known)) for p in rows["piece"].to_pylist()]
         starts = rows["starts"].to_pylist()
         weight = np.bincount(of, [len(s) for s in starts], len(known))
-        vocabulary: dict[bytes, int] = {}
-        texts = []
-        for piece in known:
-            words = piece.split(b" ")
-            texts.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int64))
-        joined = np.zeros(sum(map(len, texts)) + len(texts), np.int64)
-        at = 0
-        for t in texts:
-            joined[at : at + len(t)] = t
-            at += len(t) + 1
-        index = FMIndex(joined, len(vocabulary) + 1, window - 1)
+        words = [piece.split(b" ") for piece in known]
+        numbers, vocabulary = word_numbers(words)
+        ends = np.cumsum([len(w) for w in words])
+        texts = np.split(numbers + 1, ends[:-1])
+        index = FMIndex(np.insert(numbers + 1, ends, 0), len(vocabulary) + 1, window - 1)
         # A piece that stands at two places has repeated windows only.
         asked = [i for i in range(len(texts)) if weight[i] < 2]
         hits = dict(zip(asked, repeated_windows([texts[i] for i in asked], index, window)))
@@ -306,7 +297,7 @@ def drop_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans = materialize(repeated_spans(rows, window), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, "packed", PACKED_PART):
             values = []
             for text, own in zip(unpack(batch), batch.column("spans").to_pylist()):
                 words = text.split()

@@ -34,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractlake.llm.base import Query, table, utf8
+from tractlake.llm.base import Query, in_parts, table, utf8, word_numbers
 
 LEAST, SHORT, BATCH_WORDS = 12, 16, 1_000_000
+#: Bytes of texts that a task looks at together.
+PART = 6_000_000
 #: An odd multiplier and its inverse, for block hashes that wrap at 64 bits.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
@@ -245,16 +247,16 @@ def search(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, "__text", PART):
             ids = batch.column("doc_id").to_pylist()
-            texts, numbers, known = [], [], {}
+            texts = []
             for doc, text in zip(ids, batch.column("__text")):
                 words = text.as_py().split()
                 order = rearrange(doc, len(words)) if rearrange else None
                 if order is not None:
                     words = [words[i] for i in order.tolist()]
                 texts.append(words)
-                numbers.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+            numbers = np.split(word_numbers(texts)[0], np.cumsum([len(t) for t in texts])[:-1])
             values = [row(words, runs) for words, runs in zip(texts, runs_of_texts(numbers))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64())]
