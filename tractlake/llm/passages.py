@@ -14,11 +14,11 @@ texts as given.
    backward search over the wavelet tree. Windows whose matching statistic reaches ``WINDOW`` words
    with two occurrences are reported, and their spans go back to the texts.
 
-Shards have a bounded size: their number follows the words of all pieces, and an anchor that
-stands at more than ``HOT`` places isn't indexed. Its windows are counted one by one instead, by 128
-bits of hash, which tasks pre-aggregate; so neither a frequent passage nor a large group
-of copies meets in one task. Of rows with the same text one stands for all, and all their windows
-are repeated.
+Shards have a bounded size: their number follows the words of all pieces, and an anchor whose pieces
+could fill a shard alone (``HOT`` places) isn't indexed. Its different pieces are counted instead, and
+then the windows of these, both by 128 bits of hash, and tasks combine counts before the shuffle; so
+neither a frequent passage nor a large group of copies meets in one task. Of rows with the
+same text one stands for all, and all their windows are repeated.
 
 Null texts have no words. Repeated rows are repeated texts. Null ids stay null. Empty tables give
 empty tables. Only ``doc_id`` and ``text`` are read, whatever other columns are called.
@@ -40,10 +40,11 @@ from tractlake.llm.fmindex import FMIndex, repeated_windows
 from tractlake.llm.periods import Blocks
 
 WINDOW, GRAM = 35, 12
-#: Places from which an anchor's windows are counted one by one; words of pieces in a shard.
-HOT, SHARD_WORDS = 1_000, 1_000_000
+#: Words of pieces in a shard, and places of an anchor that is counted instead of indexed.
+SHARD_WORDS = 500_000
+HOT = SHARD_WORDS // (2 * WINDOW)
 #: Bytes of texts, and of compressed ones, that a task looks at together.
-PART, PACKED_PART = 2_000_000, 800_000
+PART, PACKED_PART = 1_000_000, 400_000
 ALL_ONES = np.uint64(0xFFFFFFFF)
 
 
@@ -92,13 +93,13 @@ class Windows:
     def hashes(self, anchor: np.ndarray) -> np.ndarray:
         return self.keys[anchor].view(np.int64) if len(anchor) else np.empty(0, np.int64)
 
-    def window_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits for the words of each window."""
+    def window_hashes(self) -> tuple[np.ndarray, ...]:
+        """Twice 64 bits for the words of the window at each place."""
         out = []
         for seed in (1, 2):
             hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.known), np.uint64, len(self.known))
-            out.append(Blocks(hashes[self.numbers])(at, self.window).view(np.int64))
-        return out[0], out[1]
+            out.append(Blocks(hashes[self.numbers]).all(self.window).view(np.int64))
+        return tuple(out)
 
 
 def texts_in(batch: pa.RecordBatch, name: str = "__text") -> list[bytes]:
@@ -149,13 +150,18 @@ def unpack(batch: pa.RecordBatch) -> list[bytes]:
     return [expand.decompress(p.as_py()) for p in batch.column("packed")]
 
 
-PIECES = "anchor long, w1 long, w2 long, k1 long, k2 long, starts array<int>, words long, piece binary"
+PIECES = (
+    "anchor long, p1 long, p2 long, k1 long, k2 long, starts array<int>, words long, piece binary, "
+    "windows array<struct<w1:long,w2:long>>"
+)
 
 
 def pieces(suspects: DataFrame, window: int) -> DataFrame:
-    """What the texts' repeated anchors select: pieces with ``anchor``, and windows of hot anchors with ``w1, w2``.
+    """The pieces that the texts' repeated anchors select, once for each text, with their ``starts``.
 
-    ``suspects``: k1, k2, packed, and ``spots``, the repeated anchors with whether they are hot.
+    Those of hot anchors have no anchor here, and hashes of the ``piece`` (p1, p2) and of its
+    windows in place of its words. ``suspects``: k1, k2, packed, and ``spots``, the repeated anchors
+    with whether they are hot.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +175,12 @@ def pieces(suspects: DataFrame, window: int) -> DataFrame:
                 own = slice(cuts[i], cuts[i + 1])
                 for kind in (1, 2):
                     chosen = [s["hash"] for s in spots if s["hot"] == (kind == 2)]
-                    state[own][np.isin(value[own], chosen)] = kind
+                    if chosen:
+                        state[own][np.isin(value[own], chosen)] = kind
             keys = [batch.column(k).to_numpy() for k in ("k1", "k2")]
+            hashes = found.window_hashes() if (state == 2).any() else ()
             rows: dict[tuple, list[int]] = {}
-            used = np.flatnonzero(state == 1)
+            used = np.flatnonzero(state)
             new = np.r_[True, np.diff(found.anchor[used]) != 0] if len(used) else np.empty(0, bool)
             begin = np.flatnonzero(new)
             end = np.append(begin[1:], len(used)) - 1
@@ -181,15 +189,17 @@ def pieces(suspects: DataFrame, window: int) -> DataFrame:
                 first = int(found.at[a] - found.starts[text])
                 last = int(found.at[b] - found.starts[text]) + window
                 piece = b" ".join(texts[text][first:last])
-                rows.setdefault((text, int(value[a]), None, None, last - first, piece), []).append(first)
-            hot = np.flatnonzero(state == 2)
-            if len(hot):
-                first = found.at[hot] - found.starts[found.text[hot]]
-                each = zip(found.text[hot].tolist(), *[w.tolist() for w in found.window_hashes(found.at[hot])], first.tolist())
-                for text, w1, w2, start in each:
-                    rows.setdefault((text, None, w1, w2, window, None), []).append(start)
-            columns = list(zip(*rows)) or [()] * 6
+                if state[a] == 1:
+                    row = (text, int(value[a]), None, None, last - first, piece, None)
+                else:
+                    own = slice(int(found.at[a]), int(found.at[b]) + 1)
+                    each = tuple(zip(*[w[own].tolist() for w in hashes]))
+                    row = (text, None, *key_of(piece), last - first, None, each)
+                rows.setdefault(row, []).append(first)
+            columns = list(zip(*rows)) or [()] * 7
             text = np.array(columns[0], np.int64)
+            each = [None if w is None else [{"w1": x, "w2": y} for x, y in w] for w in columns[6]]
+            pair = pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [
                     *[pa.array(columns[i], pa.int64()) for i in (1, 2, 3)],
@@ -197,8 +207,9 @@ def pieces(suspects: DataFrame, window: int) -> DataFrame:
                     pa.array(list(rows.values()), pa.list_(pa.int32())),
                     pa.array(columns[4], pa.int64()),
                     pa.array(columns[5], pa.binary()),
+                    pa.array(each, pair),
                 ],
-                ["anchor", "w1", "w2", "k1", "k2", "starts", "words", "piece"],
+                ["anchor", "p1", "p2", "k1", "k2", "starts", "words", "piece", "windows"],
             )
 
     return suspects.mapInArrow(run, PIECES)
@@ -256,11 +267,34 @@ def indexed_spans(found: DataFrame, window: int) -> DataFrame:
 
 
 def hot_spans(found: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, first, last) of the repeated windows of hot anchors."""
-    counts = found.groupBy("w1", "w2").agg(F.sum(F.size("starts")).alias("n"))
-    often = materialize(counts.filter("n > 1").select("w1", "w2"), "windows")
-    each = found.join(often, ["w1", "w2"]).select("k1", "k2", F.explode("starts").alias("first"))
-    return each.withColumn("last", F.col("first") + F.lit(window))
+    """(k1, k2, first, last): the words of repeated windows in pieces of hot anchors.
+
+    A piece that stands at two places has repeated windows only; of the others, windows are
+    repeated that another piece has as well.
+    """
+    piece = ["p1", "p2"]
+    counts = found.groupBy(*piece).agg(
+        F.sum(F.size("starts")).alias("n"), F.first("words").alias("words"), F.first("windows").alias("windows")
+    )
+    counts = materialize(counts, "hot")
+    each = counts.select(*piece, "n", F.posexplode("windows").alias("at", "w")).select(*piece, "n", "at", "w.*")
+    often = each.groupBy("w1", "w2").agg(F.count("*").alias("pieces")).filter("pieces > 1")
+    often = materialize(often.select("w1", "w2"), "often")
+    single = each.filter("n = 1").join(often, ["w1", "w2"], "left_semi")
+    hits = single.select(*piece, "at", (F.col("at") + F.lit(window)).alias("end")).unionByName(
+        counts.filter("n > 1").select(*piece, F.lit(0).alias("at"), F.col("words").cast("int").alias("end"))
+    )
+    hits = materialize(
+        hits.groupBy(*piece).agg(F.collect_list(F.struct("at", "end")).alias("hits")), "hits"
+    )
+    spans = F.flatten(
+        F.transform(
+            "starts",
+            lambda s: F.transform("hits", lambda h: F.struct((s + h["at"]).alias("first"), (s + h["end"]).alias("last"))),
+        )
+    )
+    joined = found.select(*piece, "k1", "k2", "starts").join(hits, piece)
+    return joined.select("k1", "k2", F.explode(spans).alias("span")).select("k1", "k2", "span.*")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
