@@ -14,8 +14,8 @@ texts as given.
    backward search over the wavelet tree. Windows whose matching statistic reaches ``WINDOW`` words
    with two occurrences are reported, and their spans go back to the texts.
 
-Shards have a bounded size: their number follows the words of all pieces, and an anchor whose pieces
-could fill a shard alone (``HOT`` places) isn't indexed. Its different pieces are counted instead, and
+Shards have a bounded size: their number follows the words of all pieces, and an anchor that
+stands at more than ``HOT`` places, which would be a large part of a shard, isn't indexed. Its different pieces are counted instead, and
 then the windows of these, both by 128 bits of hash, and tasks combine counts before the shuffle; so
 neither a frequent passage nor a large group of copies meets in one task. Of rows with the
 same text one stands for all, and all their windows are repeated.
@@ -42,7 +42,7 @@ from tractlake.llm.periods import Blocks
 WINDOW, GRAM = 35, 12
 #: Words of pieces in a shard, and places of an anchor that is counted instead of indexed.
 SHARD_WORDS = 500_000
-HOT = SHARD_WORDS // (2 * WINDOW)
+HOT = 1_000
 #: Bytes of texts, and of compressed ones, that a task looks at together.
 PART, PACKED_PART = 1_000_000, 400_000
 ALL_ONES = np.uint64(0xFFFFFFFF)
@@ -215,11 +215,11 @@ def pieces(suspects: DataFrame, window: int) -> DataFrame:
     return suspects.mapInArrow(run, PIECES)
 
 
-SPANS = "k1 long, k2 long, first int, last int"
+SPANS = "k1 long, k2 long, spans array<struct<first:int,last:int>>"
 
 
 def indexed_spans(found: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, first, last): the words of repeated windows in pieces, found through the shards' indexes."""
+    """(k1, k2, spans): the words of repeated windows in pieces, found through the shards' indexes."""
     total = found.agg(F.sum("words")).first()[0] or 0
     shards = max(width(found.sparkSession), -(-total // SHARD_WORDS))
 
@@ -237,28 +237,25 @@ def indexed_spans(found: DataFrame, window: int) -> DataFrame:
         asked = [i for i in range(len(texts)) if weight[i] < 2]
         hits = dict(zip(asked, repeated_windows([texts[i] for i in asked], index, window)))
         keys = [rows[k].to_numpy() for k in ("k1", "k2")]
-        row_of, first, last = [], [], []
+        row_of, out = [], []
         for row, (i, places) in enumerate(zip(of, starts)):
             hit = hits.get(i)
             if hit is None:
                 spans = [(0, len(texts[i]))]
             elif len(hit):
                 cut = np.flatnonzero(np.diff(hit) != 1)
-                spans = zip(hit[np.r_[0, cut + 1]].tolist(), (hit[np.r_[cut, len(hit) - 1]] + window).tolist())
+                spans = list(zip(hit[np.r_[0, cut + 1]].tolist(), (hit[np.r_[cut, len(hit) - 1]] + window).tolist()))
             else:
                 continue
-            for a, b in spans:
-                for place in places:
-                    row_of.append(row)
-                    first.append(place + a)
-                    last.append(place + b)
+            row_of.append(row)
+            out.append([{"first": p + a, "last": p + b} for p in places for a, b in spans])
         row_of = np.array(row_of, np.int64)
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         return pa.table(
             {
                 "k1": pa.array(keys[0][row_of], pa.int64()),
                 "k2": pa.array(keys[1][row_of], pa.int64()),
-                "first": pa.array(first, pa.int32()),
-                "last": pa.array(last, pa.int32()),
+                "spans": pa.array(out, kind),
             }
         )
 
@@ -267,7 +264,7 @@ def indexed_spans(found: DataFrame, window: int) -> DataFrame:
 
 
 def hot_spans(found: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, first, last): the words of repeated windows in pieces of hot anchors.
+    """(k1, k2, spans): the words of repeated windows in pieces of hot anchors.
 
     A piece that stands at two places has repeated windows only; of the others, windows are
     repeated that another piece has as well.
@@ -294,7 +291,7 @@ def hot_spans(found: DataFrame, window: int) -> DataFrame:
         )
     )
     joined = found.select(*piece, "k1", "k2", "starts").join(hits, piece)
-    return joined.select("k1", "k2", F.explode(spans).alias("span")).select("k1", "k2", "span.*")
+    return joined.select("k1", "k2", spans.alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -320,9 +317,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans = (
         indexed_spans(found.filter("anchor IS NOT NULL"), window)
         .unionByName(hot_spans(found.filter("anchor IS NULL"), window))
-        .unionByName(copies.selectExpr("k1", "k2", "0 as first", f"{2**31 - 1} as last"))
+        .unionByName(copies.selectExpr("k1", "k2", f"array(struct(0 as first, {2**31 - 1} as last)) as spans"))
     )
-    return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    return spans.groupBy("k1", "k2").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def drop_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
