@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 
 from tractlake.plans import acs, business, expenses, pit, validation
 from tractlake.schemas import DATASETS, RAW_BUSINESS, RAW_EXPENSES
+from tractlake.sinks.commits import run_metrics
 from tractlake.sources.files import read_dataset, read_json_records
 from tractlake.sources.snapshots import latest_snapshot
 
@@ -129,6 +130,28 @@ def test_second_load_gives_the_same_tables(spark, survey):
     assert {name: as_set(df) for name, df in load_survey(spark, survey).items()} == first
 
 
+def test_years_stand_side_by_side(spark, place):
+    """Loads of two years, and a second load of the first."""
+    header = ["NAME", "B19013_001E", "state", "county", "tract"]
+    root = place(
+        {
+            **{f"payloads/{y}/0.json": json.dumps([header, ["T1", str(y), "06", "037", "000100"]]) for y in (1, 2, 3)},
+            "config.csv": "table_id\tseries\nB19013\tIncome\n",
+            "variables/0.json": json.dumps({"variables": {"B19013_001E": {"label": "b"}}}),
+        }
+    )
+    for year, payload in ((2022, 1), (2023, 2), (2022, 3)):
+        acs.load_all(
+            spark, f"{root}/lake", f"{root}/config.csv", f"{root}/variables", f"{root}/payloads/{payload}", year, now=NOW
+        )
+    for name in ("bronze.estimates", "silver.estimates", "gold.fact_estimates"):
+        rows = read_dataset(spark, f"{root}/lake", name).collect()
+        assert sorted((r.year, float(r.estimate)) for r in rows) == [(2022, 3.0), (2023, 2.0)]
+    assert read_dataset(spark, f"{root}/lake", "gold.dim_tract").count() == 1
+    runs = run_metrics(spark, {"silver": f"{root}/lake/silver/estimates"}).collect()
+    assert [r.records for r in runs] == [1, 1, 1] and {r.metrics["reliable_count"] for r in runs} == {0.0}
+
+
 def test_survey_checks(spark, survey, rows):
     lake = load_survey(spark, survey)
     bronze = lake["bronze.estimates"]

@@ -18,7 +18,15 @@ from tractlake.sinks.writers import (
     write_snapshot,
     write_with_metrics,
 )
-from tractlake.sources.files import read_dataset, read_table
+from tractlake.sinks.commits import (
+    commit_version,
+    commits,
+    expire_versions,
+    observed_write,
+    run_metrics,
+    standing_commits,
+)
+from tractlake.sources.files import read_dataset, read_path, read_table
 from tractlake.sources.snapshots import latest_snapshot
 from tractlake.workspace import fresh_dir, shared_root
 
@@ -67,7 +75,7 @@ def test_replace_path_is_static_even_under_dynamic_overwrite(spark, rows, tmp_pa
         replace_path(rows("p int, x int", (2, 3)), path, partition_by=["p"])
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
-    assert [(r.p, r.x) for r in spark.read.parquet(path).collect()] == [(2, 3)]
+    assert [(r.p, r.x) for r in read_path(spark, path).collect()] == [(2, 3)]
 
 
 def test_a_failed_load_leaves_the_old_rows(spark, rows, table, tmp_path):
@@ -81,7 +89,7 @@ def test_a_failed_load_leaves_the_old_rows(spark, rows, table, tmp_path):
     for load in (lambda: replace_table(broken, table), lambda: replace_path(broken, path)):
         with pytest.raises(PySparkException, match="broken"):
             load()
-    assert read_table(spark, table).count() == spark.read.parquet(path).count() == 2
+    assert read_table(spark, table).count() == read_path(spark, path).count() == 2
     assert [t.name for t in spark.catalog.listTables() if t.name.startswith("staged_")] == []
 
 
@@ -121,7 +129,92 @@ def test_metrics_come_with_the_write(spark, rows, tmp_path):
         "rows": 3,
         "dropped": 1,
     }
-    assert spark.read.parquet(path).count() == 3
+    assert read_path(spark, path).count() == 3
+    runs = run_metrics(spark, {"t": path, "none": str(tmp_path / "none")}).collect()
+    assert [(r.source, r.records, r.metrics) for r in runs] == [("t", 3, {"rows": 3.0, "dropped": 1.0})]
+
+
+def test_a_version_counts_when_it_is_committed(spark, rows, table, tmp_path):
+    """What is written and not committed isn't read; who reads meanwhile sees the old rows."""
+    path = str(tmp_path / "t")
+    replace_path(rows(DIM_TRACT, ONE, TWO), path)
+    before = read_path(spark, path)
+    observed_write(rows(DIM_TRACT, ONE), f"{path}/_versions/29990101_000000_000000-x", "parquet")
+    assert read_path(spark, path).count() == 2
+    replace_path(rows(DIM_TRACT, ONE), path)
+    assert (before.count(), read_path(spark, path).count()) == (2, 1)
+    replace_table(rows(DIM_TRACT, ONE, TWO), table)
+    opened = read_table(spark, table)
+    replace_table(rows(DIM_TRACT, TWO), table)
+    assert (opened.count(), read_table(spark, table).count()) == (2, 1)
+    assert len(commits(spark, path).collect()) == 2
+
+
+def test_a_table_may_feed_its_own_replacement(spark, rows, table):
+    replace_table(rows(DIM_TRACT, ONE, TWO), table)
+    replace_table(read_table(spark, table).filter("tract_name = 'Tract 2'"), table)
+    assert list(map(tuple, read_table(spark, table).collect())) == [TWO]
+    replace_table(rows("x int", (1,)), table)
+    assert read_table(spark, table).columns == ["x"]
+    replace_table(rows("p int, x int", (1, 1), (2, 2)), table, partition_by=["p"])
+    replace_table(rows("p int, x int", (2, 3)), table, partition_by=["p"])
+    assert [(r.p, r.x) for r in read_table(spark, table).collect()] == [(2, 3)]
+
+
+def test_too_few_rows_are_not_committed(spark, rows, tmp_path):
+    path = str(tmp_path / "t")
+    commit_version(rows("x int", (1,)), path)
+    data, observed = commit_version(rows("x int"), path, least_rows=1)
+    assert data is None and observed["record_count"] == 0
+    assert read_path(spark, path).count() == 1
+
+
+def test_partitions_are_replaced_alone(spark, rows, tmp_path):
+    path, kind = str(tmp_path / "t"), "p int, x int"
+
+    def put(*data, scoped=True):
+        return commit_version(rows(kind, *data), path, "parquet", ["p"], scoped=scoped)[0]
+
+    def now():
+        return sorted(((r.p, r.x) for r in read_path(spark, path).collect()), key=str)
+
+    put((1, 1), (2, 2), (None, 9))
+    put((3, 3))
+    put((2, 20), (2, 21))
+    assert now() == [(1, 1), (2, 20), (2, 21), (3, 3), (None, 9)]
+    put((2, 5), (None, 8))
+    assert now() == [(1, 1), (2, 5), (3, 3), (None, 8)]
+    put((7, 7), (8, 8), scoped=False)
+    put((8, 9))
+    assert now() == [(7, 7), (8, 9)]
+    assert len(standing_commits(spark, path)) == 2
+    assert expire_versions(spark, path, keep=3) == 3
+    assert expire_versions(spark, path) == 1
+    assert expire_versions(spark, path) == 0
+    assert now() == [(7, 7), (8, 9)]
+
+
+def test_partition_values_are_read_as_written(spark, rows, tmp_path):
+    path = str(tmp_path / "t")
+    for value in ("01", "1"):
+        commit_version(rows("p string, x int", (value, 1)), path, "parquet", ["p"], scoped=True)
+    assert sorted(r.p for r in read_path(spark, path).collect()) == ["01", "1"]
+
+
+def test_an_append_with_a_token_counts_once(spark, rows, table):
+    ensure_table(spark, table, DIM_TRACT)
+    assert append_rows(rows(DIM_TRACT, ONE), table, DIM_TRACT, token="load-1") == 1
+    assert append_rows(rows(DIM_TRACT, ONE), table, DIM_TRACT, token="load-1") == 0
+    assert append_rows(rows(DIM_TRACT, TWO), table, DIM_TRACT, token="load-2") == 1
+    assert sorted(map(tuple, read_table(spark, table).collect())) == [ONE, TWO]
+
+
+def test_uncommitted_snapshots_do_not_count(spark, rows, tmp_path):
+    directory, df = str(tmp_path / "s"), rows("a string", ("x",))
+    write_snapshot(df, directory, "json", datetime(2024, 1, 1))
+    df.write.json(f"{directory}/snapshot=20240102_000000")  # nobody committed it
+    assert write_snapshot(df.filter("a = 'y'"), directory, "json", datetime(2024, 1, 3)) is None
+    assert latest_snapshot(spark, directory).endswith("snapshot=20240101_000000")
 
 
 def test_shared_folder_comes_from_the_session(spark):

@@ -21,6 +21,7 @@ from tractlake.sources.files import (
     read_json_records,
     read_table_config,
 )
+from tractlake.sinks.writers import write_snapshot
 from tractlake.sources.snapshots import find_latest_snapshot, latest_snapshot, read_latest_json
 
 FIRST = [
@@ -161,6 +162,22 @@ def test_json_lines_take_records_and_arrays(spark, place):
     assert sorted(map(tuple, out.collect()), key=str) == [("x", 1), ("y", 2), ("z", None)]
 
 
+def test_the_first_line_tells_how_records_are_written(spark, place):
+    """A file with a record per line gives all of its records."""
+    records = [{"a": str(i), "b": i} for i in range(100)]
+    root = place(
+        {
+            "lines/20240101.json": "\n" + "\n".join(map(json.dumps, records)),
+            "array/20240101.json": json.dumps(records, indent=1),
+            "one/20240101.json": json.dumps(records),
+            "record/20240101.json": json.dumps(records[0], indent=1),
+            "blank/20240101.json": "\n",
+        }
+    )
+    counts = {n: read_latest_json(spark, f"{root}/{n}", RECORD).count() for n in ("lines", "array", "one", "record", "blank")}
+    assert counts == {"lines": 100, "array": 100, "one": 100, "record": 1, "blank": 0}
+
+
 def test_typed_csv(spark, place):
     text = "year,spa,population_type,count\n2020,1,adult,5\n2021,2,youth,x\n"
     out = read_delimited(spark, place({"pit.csv": text}), schema_from_spec(PIT_SPEC))
@@ -197,7 +214,7 @@ def test_layer_counts(spark, place):
             "empty/readme.txt": "nothing",
         }
     )
-    spark.range(5).write.parquet(f"{root}/silver/snapshot=20240101_000000")
+    write_snapshot(spark.range(5), f"{root}/silver", "parquet")
     out = layer_counts(
         spark,
         {

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tractlake.functions.text import joined_or
 from tractlake.operators.aggregates import distinct_with_null
 from tractlake.operators.columns import quoted
+from tractlake.sinks.commits import newest_commit
 from tractlake.sources.files import read_path
 from tractlake.sources.snapshots import find_latest_snapshot
 
@@ -198,13 +199,19 @@ def layer_counts(
 ) -> DataFrame:
     """(layer, records) of the newest snapshot per layer; no snapshot counts 0.
 
+    A committed snapshot's count is in the log of its directory, and isn't read again.
+
     ``layers`` maps a name to (directory, file pattern, format). Format ``json`` is
     one array of records per file (anything else is an error), ``jsonl`` one record per line.
     """
     counts = []
     for layer, (directory, pattern, fmt) in layers.items():
-        path = find_latest_snapshot(spark, directory, pattern)
-        if path is None:
+        committed = newest_commit(spark, directory)
+        path = None if committed else find_latest_snapshot(spark, directory, pattern)
+        if committed is not None:
+            count = F.lit(committed.record_count).cast("bigint")
+            counted = spark.range(1).select(count.alias("records"))
+        elif path is None:
             counted = spark.range(1).select(F.lit(0).cast("bigint").alias("records"))
         elif fmt == "json":
             pages = spark.read.text(path, wholetext=True)

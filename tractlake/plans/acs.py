@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tractlake.functions.dates import iso_text
@@ -120,19 +120,24 @@ def labelled_facts(
     return star_join(fact, {"variable": variables, "tract_fips": tracts}, salts)
 
 
-def estimate_metrics(silver: DataFrame) -> DataFrame:
-    """Rows, rows without a number, and rows per grade, in one pass."""
+def metric_columns() -> dict[str, Column]:
+    """Rows without a number, and rows per grade, as aggregates."""
     grades = {
         "reliable_count": RELIABLE,
         "use_with_caution_count": CAUTION,
         "not_reliable_count": UNRELIABLE,
         "not_applicable_count": NOT_APPLICABLE,
     }
-    return silver.agg(
-        F.count("*").alias("row_count"),
-        F.count_if(F.col("estimate").isNull()).alias("dropped_unparseable"),
-        *[F.count_if(F.col("reliability") == value).alias(n) for n, value in grades.items()],
-    )
+    return {
+        "dropped_unparseable": F.count_if(F.col("estimate").isNull()),
+        **{n: F.count_if(F.col("reliability") == value) for n, value in grades.items()},
+    }
+
+
+def estimate_metrics(silver: DataFrame) -> DataFrame:
+    """Rows, rows without a number, and rows per grade, in one pass."""
+    columns = {"row_count": F.count("*"), **metric_columns()}
+    return silver.agg(*[c.alias(name) for name, c in columns.items()])
 
 
 def estimate_duplicates(bronze: DataFrame) -> DataFrame:
@@ -163,14 +168,15 @@ def load_all(
 
     Reading back the written layer keeps the plans short, and a lost executor
     costs no more than the stage at hand. Responses and rows that can't be read are
-    in ``bronze.rejects``.
+    in ``bronze.rejects``. Estimates and facts of other years stand; those of ``year`` are
+    replaced. The dimensions follow from all years. Counts of rows and grades are in the logs.
     """
     config = read_table_config(spark, config_path)
     payloads = read_payloads(spark, payload_path, whole_files)
     paths = {}
 
-    def store(name: str, df: DataFrame) -> DataFrame:
-        paths[name] = write_dataset(df, root, name, fmt)
+    def store(name: str, df: DataFrame, metrics: dict[str, Column] | None = None) -> DataFrame:
+        paths[name] = write_dataset(df, root, name, fmt, metrics=metrics)
         return read_dataset(spark, root, name, fmt)
 
     variables = store(
@@ -178,9 +184,12 @@ def load_all(
     )
     selected = store("bronze.selected_variables", selected_variables(config, variables))
     store("bronze.rejects", rejects(payloads))
+    this_year = F.col("year") == year
     bronze = store("bronze.estimates", bronze_estimates(payloads, selected, year, now))
-    silver = store("silver.estimates", silver_estimates(bronze, now=now))
+    silver = store(
+        "silver.estimates", silver_estimates(bronze.filter(this_year), now=now), metric_columns()
+    )
     store("gold.dim_variable", dim_variable(silver))
     store("gold.dim_tract", dim_tract(silver))
-    store("gold.fact_estimates", fact_estimates(silver))
+    store("gold.fact_estimates", fact_estimates(silver.filter(this_year)))
     return paths

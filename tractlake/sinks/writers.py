@@ -1,10 +1,12 @@
-"""Writers. But for ``append_rows``, every one replaces what it owns: a re-run gives the same table."""
+"""Writers. But for ``append_rows`` without a token, every one replaces what it owns: a re-run gives the same table.
+
+Replacing commits a new version (``commits.py``): each row is written once, and readers that go
+through ``read_path``, ``read_dataset`` or the catalog see the old rows until the new ones are complete.
+"""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 from tractlake.functions.dates import snapshot_stamp
 from tractlake.operators.columns import quoted
 from tractlake.schemas import DATASETS
+from tractlake.sinks.commits import ROWS, commit_version, commits, new_version, observed_write, record
 
 
 def ensure_namespace(spark: SparkSession, namespace: str, location: str | None = None) -> None:
@@ -41,28 +44,33 @@ def conform(df: DataFrame, schema: T.StructType, keep_others: bool = False) -> D
     return df.to(T.StructType([*schema.fields, *others]))
 
 
-@contextmanager
-def _staged(df: DataFrame, fmt: str) -> Iterator[DataFrame]:
-    """``df`` as a scratch table. What fails in its plan fails here, before a target is touched."""
-    spark, name = df.sparkSession, f"staged_{uuid.uuid4().hex}"
-    try:
-        df.write.format(fmt).saveAsTable(name)
-        yield spark.table(name)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-
+def append_rows(
+    df: DataFrame, table: str, schema: T.StructType, fmt: str = "parquet", token: str | None = None
+) -> int:
+    """Append under the fixed schema and give the number of rows; none is no change.
 
-def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
-    """``df`` with a row counter that the write itself fills; no second run."""
+    With a ``token`` rows are added once: a load that is repeated with the same token adds nothing,
+    if the first one came to its end. The tokens are in a log beside the table.
+    """
+    spark = df.sparkSession
+    home = _home(spark, table) if token is not None else ""
+    if token is not None:
+        log = commits(spark, home)
+        if log is not None and not log.filter(F.col("token") == token).isEmpty():
+            return 0
     observation = Observation()
-    return df.observe(observation, F.count(F.lit(1)).alias("rows")), observation
+    counted = conform(df, schema).observe(observation, F.count(F.lit(1)).alias(ROWS))
+    counted.write.format(fmt).mode("append").saveAsTable(table)
+    if token is not None:
+        record(spark, home, new_version(), table, fmt, observation.get, token=token, scopes=["append"])
+    return observation.get[ROWS]
 
 
-def append_rows(df: DataFrame, table: str, schema: T.StructType, fmt: str = "parquet") -> int:
-    """Append under the fixed schema and give the number of rows; none is no change."""
-    counted, observation = _counted(conform(df, schema))
-    counted.write.format(fmt).mode("append").saveAsTable(table)
-    return observation.get["rows"]
+def _home(spark: SparkSession, table: str) -> str:
+    """The folder that holds the versions and the log of a table of the session's catalog."""
+    namespace, _, name = table.rpartition(".")
+    found = spark.catalog.getDatabase(namespace or spark.catalog.currentDatabase())
+    return f"{found.locationUri.rstrip('/')}/{name.strip('`')}_versions"
 
 
 def replace_table(
@@ -70,20 +78,36 @@ def replace_table(
     table: str,
     fmt: str = "parquet",
     partition_by: Sequence[str] = (),
-) -> None:
-    """Clear and reload. The rows are complete before the old ones go.
+) -> dict:
+    """Clear and reload: rows are written once, to a new folder, and then the table points there.
 
-    A load that fails leaves the table as it was; it may be an input of ``df``. It is
-    clear for as long as the finished rows are copied.
+    A load that fails, at any place, leaves the table as it was; it may be an input of ``df``. Where
+    columns or partitions change, the table is defined anew, in two steps. Gives the observed
+    counts. Tables of other catalogs are replaced by their own means.
     """
-    with _staged(df, fmt) as rows:
-        (
-            rows.write.format(fmt)
-            .mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .partitionBy(*partition_by)
-            .saveAsTable(table)
-        )
+    spark = df.sparkSession
+    if table.count(".") > 1:
+        df.writeTo(table).using(fmt).partitionedBy(*map(F.col, partition_by)).createOrReplace()
+        return {}
+    home, version = _home(spark, table), new_version()
+    data = f"{home}/_versions/{version}"
+    observed = observed_write(df, data, fmt, partition_by)
+    quoted_path = data.replace("\\", "\\\\").replace("'", "\\'")
+    kinds = [(f.name, f.dataType) for f in df.schema]
+    same = (
+        not partition_by
+        and spark.catalog.tableExists(table)
+        and [(f.name, f.dataType) for f in spark.table(table).schema] == kinds
+    )
+    if same:
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{quoted_path}'")
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.catalog.createTable(table, data, fmt)
+        if partition_by:
+            spark.catalog.recoverPartitions(table)
+    record(spark, home, version, data, fmt, observed)
+    return observed
 
 
 def replace_path(
@@ -91,18 +115,12 @@ def replace_path(
     path: str,
     fmt: str = "parquet",
     partition_by: Sequence[str] = (),
-) -> None:
-    """As ``replace_table``, for a folder. Rows are brought together by partition."""
-    with _staged(df, fmt) as rows:
-        if partition_by:
-            rows = rows.hint("rebalance", *partition_by)
-        (
-            rows.write.format(fmt)
-            .mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .partitionBy(*partition_by)
-            .save(path)
-        )
+) -> str:
+    """Commit a new version of a folder and give the version's own folder.
+
+    Rows are written once, brought together by partition. ``read_path`` reads the newest version.
+    """
+    return commit_version(df, path, fmt, partition_by)[0]
 
 
 def replace_partitions(
@@ -125,31 +143,50 @@ def replace_partitions(
 
 
 def write_dataset(
-    df: DataFrame, root: str, name: str, fmt: str = "parquet", keep_others: bool = False
+    df: DataFrame,
+    root: str,
+    name: str,
+    fmt: str = "parquet",
+    keep_others: bool = False,
+    metrics: Mapping[str, Column] | None = None,
 ) -> str:
     """Replace a registered table, under its registered schema and partitions.
 
-    ``keep_others`` also stores columns that the schema doesn't name.
+    Of a table with partitions, those that ``df`` has rows for are replaced, the others stand.
+    ``keep_others`` also stores columns that the schema doesn't name. The log has the number of rows, and
+    ``metrics``. Gives the folder of the new version.
     """
     dataset = DATASETS[name]
-    path = dataset.location(root)
-    replace_path(conform(df, dataset.schema, keep_others), path, fmt, dataset.partition_by)
-    return path
+    rows = conform(df, dataset.schema, keep_others)
+    return commit_version(
+        rows,
+        dataset.location(root),
+        fmt,
+        dataset.partition_by,
+        metrics,
+        scoped=bool(dataset.partition_by),
+    )[0]
 
 
 def write_snapshot(
-    df: DataFrame, directory: str, fmt: str = "json", now: datetime | None = None
+    df: DataFrame,
+    directory: str,
+    fmt: str = "json",
+    now: datetime | None = None,
+    metrics: Mapping[str, Column] | None = None,
 ) -> str | None:
-    """Write ``snapshot=<UTC stamp>``; stamps sort by time. None if there were no rows.
+    """Write ``snapshot=<UTC stamp>`` and commit it; stamps sort by time. None if there were no rows.
 
     JSON goes out as one record per line in many part files, so that the readers
-    of a large snapshot can split it. Without rows nothing is written, so the newest
-    snapshot always has some.
+    of a large snapshot can split it. The write itself counts the rows: a snapshot without
+    rows isn't committed, so the newest one always has some, and the plan runs once.
     """
-    if df.isEmpty():
+    stamp = snapshot_stamp(now)
+    path = f"{directory.rstrip('/')}/snapshot={stamp}"
+    observed = observed_write(df, path, fmt, metrics=metrics, mode="overwrite")
+    if not observed[ROWS]:
         return None
-    path = f"{directory.rstrip('/')}/snapshot={snapshot_stamp(now)}"
-    df.write.format(fmt).mode("overwrite").save(path)
+    record(df.sparkSession, directory, stamp, path, fmt, observed)
     return path
 
 
@@ -157,7 +194,5 @@ def write_with_metrics(
     df: DataFrame, path: str, metrics: Mapping[str, Column], fmt: str = "parquet"
 ) -> dict:
     """Replace a path and return aggregates observed by the same pass."""
-    observation = Observation()
-    watched = df.observe(observation, *[m.alias(name) for name, m in metrics.items()])
-    replace_path(watched, path, fmt)
-    return observation.get
+    observed = commit_version(df, path, fmt, metrics=metrics)[1]
+    return {name: observed[name] for name in metrics}

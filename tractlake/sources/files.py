@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tractlake.functions.text import strip
 from tractlake.operators.columns import quoted
 from tractlake.schemas import DATASETS, TABLE_CONFIG
+from tractlake.sinks.commits import read_committed
 
 
 def read_delimited(
@@ -72,6 +73,18 @@ def read_json_lines(
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Records of a JSON file or folder, whichever way they are written.
+
+    If the first line that isn't blank is JSON by itself, every line is: a record, or an array of records.
+    Else each file is one array or record over many lines. One line is looked at, in a task.
+    """
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    first = lines.select(F.get_json_object("value", "$").isNotNull().alias("whole")).first()
+    by_line = first is None or first.whole
+    return (read_json_lines if by_line else read_json_records)(spark, path, schema)
+
+
 def read_json_pages(
     spark: SparkSession,
     path: str | list[str],
@@ -114,9 +127,11 @@ def read_path(
     fmt: str = "parquet",
     schema: T.StructType | None = None,
 ) -> DataFrame:
-    """A table directory; ``fmt`` is any format the session has a source for."""
-    reader = spark.read.format(fmt)
-    return (reader.schema(schema) if schema is not None else reader).load(path)
+    """A table directory; ``fmt`` is any format the session has a source for.
+
+    Of a folder with committed versions, the rows that stand.
+    """
+    return read_committed(spark, path, fmt, schema)
 
 
 def read_table(

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tractlake.sources.files import read_json_lines, read_json_records
+from tractlake.sinks.commits import newest_commit
+from tractlake.sources.files import read_json, read_json_lines
 
 SNAPSHOT_PREFIX = "snapshot="
 
@@ -15,27 +16,27 @@ SNAPSHOT_PREFIX = "snapshot="
 def find_latest_snapshot(
     spark: SparkSession, directory: str, pattern: str = "*.json"
 ) -> str | None:
-    """Path of the snapshot that sorts last, or None if there is none.
+    """Path of the newest snapshot, or None if there is none.
 
-    A snapshot is one file, or a ``snapshot=<stamp>`` folder of part files. Only
-    the listing is read, not the contents, and one path comes to the driver.
+    Where the directory has a log, the newest committed snapshot: nothing is listed, and a
+    folder whose write never finished, or had no rows, doesn't count. Else the file that
+    sorts last, as others land them: only the listing is read, and one path comes to the driver.
     """
+    committed = newest_commit(spark, directory)
+    if committed is not None:
+        return committed.path
     listing = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
     )
     try:
-        newest = listing.load(directory).agg(F.max("path")).first()[0]
+        files = listing.load(directory).filter(~F.col("path").contains(f"/{SNAPSHOT_PREFIX}"))
+        return files.agg(F.max("path")).first()[0]
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    if newest is None:
-        return None
-    folder, _, _ = newest.rpartition("/")
-    is_folder = folder.rpartition("/")[2].startswith(SNAPSHOT_PREFIX)
-    return folder if is_folder else newest
 
 
 def latest_snapshot(spark: SparkSession, directory: str, pattern: str = "*.json") -> str:
@@ -53,9 +54,10 @@ def read_latest_json(
 ) -> DataFrame:
     """Rows of the newest JSON snapshot.
 
-    ``write_snapshot`` writes folders with a record per line; a snapshot that is a
-    file comes from elsewhere, and is read whole.
+    ``write_snapshot`` writes a record per line. A file that others landed may have records or
+    arrays by line, or be one array: its first line tells.
     """
-    path = latest_snapshot(spark, directory)
-    is_folder = path.rpartition("/")[2].startswith(SNAPSHOT_PREFIX)
-    return (read_json_lines if is_folder else read_json_records)(spark, path, schema)
+    committed = newest_commit(spark, directory)
+    if committed is not None:
+        return read_json_lines(spark, committed.path, schema)
+    return read_json(spark, latest_snapshot(spark, directory), schema)

@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from tractlake.functions.dates import run_timestamp
 from tractlake.operators.columns import quoted
 from tractlake.operators.dedup import keep_latest
-from tractlake.sinks.writers import replace_partitions, replace_path
+from tractlake.sinks.commits import observed_write
+from tractlake.sinks.writers import replace_partitions
 
 BATCH = "batch_id"
 INGESTED = "ingest_timestamp"
@@ -110,7 +111,8 @@ def ingest_new_files(
     def take_in(batch: DataFrame, batch_id: int) -> None:
         stamped = batch.withColumn(INGESTED, run_timestamp(now))
         batch_path = f"{log_path}/{BATCH}={batch_id}"
-        replace_path(stamped, batch_path)
+        # A batch's folder is its own, so a repeated batch overwrites it.
+        observed_write(stamped, batch_path, "parquet", mode="overwrite")
         session = batch.sparkSession
         landed = (
             session.read.schema(stamped.schema)
