@@ -235,6 +235,6 @@ def years_side_by_side(spark, sf_dir):
         "o_orderkey", F.year("o_orderdate").alias("year"), "o_totalprice"
     )
     again = orders.filter("year = 1995").withColumn("o_totalprice", F.col("o_totalprice") * 2)
-    for load in (orders.filter("year < 1995"), orders.filter("year >= 1995"), again):
+    for load in (orders.filter("year < 1998"), orders.filter("year >= 1998"), again):
         commit_version(load, path, partition_by=["year"], scoped=True)
     return read_path(spark, path)
