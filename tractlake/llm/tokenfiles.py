@@ -13,8 +13,10 @@ tasks that counted. So a task that is run again leaves unused files at most. Fil
 the given folder through ``pyarrow.fs``, which knows the folder's scheme.
 
 Texts are cut where the byte-level pattern always cuts: before a blank or line end that a letter
-or sign follows, and between a letter and a mark. Pieces that a task has met before aren't
-encoded again. A text that names a special token is encoded as a whole.
+or sign follows, and between a letter and a mark. Cutting and looking up are array operations over
+many texts: a piece of up to 15 bytes is two numbers. Each different piece of these texts is looked
+up once, and encoded if the task hasn't met it before. A text that names a special token, or
+holds a zero byte, is encoded as a whole.
 
 Null ids come first, equal ids in order of a hash of the text; null texts are empty and have
 just the end id. Empty tables give a manifest without rows. Only ``doc_id`` and ``text`` are read.
@@ -27,8 +29,8 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
-from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tractlake.llm.base import Query, folder_of, fresh_dir, materialize, table, utf8, width
+from tractlake.llm.base import Query, folder_of, fresh_dir, in_parts, materialize, table, utf8, width
 from tractlake.llm.bpe import definition_of, load
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -45,17 +47,53 @@ LENGTH = 2_048
 BATCH = 64
 #: Pieces that a task remembers before it starts anew; pieces that are encoded in one call.
 KNOWN, CALL = 600_000, 2_000
-# Before one blank or line end that an ASCII sign follows, or the first byte of a letter
-# that is no white space in any script (those begin with C2, E1, E2 or E3).
-CUT = re.compile(
-    rb"(?=[ \n][\x21-\x7e\xc3-\xe0\xe4-\xf4])"
-    rb"|(?=[.,;:!?])(?:(?<=[A-Za-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))"
-)
+#: Bytes of texts that a task looks at together.
+PART = 4_000_000
 # A blank and letters, up to those of Latin-1, are one token of the pattern.
 PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 LETTERS = [chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)]
 
 
+def byte_set(*parts: bytes) -> np.ndarray:
+    found = np.zeros(256, bool)
+    found[np.frombuffer(b"".join(parts), np.uint8)] = True
+    return found
+
+
+SIGNS = bytes(range(0x21, 0x7F))
+ASCII_LETTERS = bytes(c for c in SIGNS if chr(c).isalpha())
+# Before one blank or line end that an ASCII sign follows, or the first byte of a letter
+# that is no white space in any script (those begin with C2, E1, E2 or E3).
+BLANKS, BEGINS = byte_set(b" \n"), byte_set(SIGNS, bytes(range(0xC3, 0xE1)), bytes(range(0xE4, 0xF5)))
+# Before a mark that a letter of ASCII or Latin-1 stands before; the latter is C3 and one of these.
+MARKS, LETTER = byte_set(b".,;:!?"), byte_set(ASCII_LETTERS)
+LATIN = byte_set(bytes(c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)))
+
+
+def cut_places(data: np.ndarray) -> np.ndarray:
+    """Whether the pattern always cuts before a byte of texts that are joined by zero bytes."""
+    before = np.zeros(len(data), bool)
+    before[:-1] = BLANKS[data[:-1]] & BEGINS[data[1:]]
+    marks = np.flatnonzero(MARKS[data])
+    one, two = data[np.maximum(marks - 1, 0)], data[np.maximum(marks - 2, 0)]
+    after_letter = (marks > 0) & (LETTER[one] | ((marks > 1) & (two == 0xC3) & LATIN[one]))
+    before[marks[after_letter]] = True
+    return before
+
+
+def short_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers that hold all of a piece of up to 15 bytes, and its size."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    keys = []
+    for half in (0, 8):
+        key = np.zeros(len(start), np.uint64)
+        for i in range(8 if half == 0 else 7):
+            byte = np.where(size > half + i, padded[start + (half + i)], np.uint8(0))
+            key |= byte.astype(np.uint64) << np.uint64(8 * i)
+        keys.append(key)
+    return keys[0], keys[1] | (size.astype(np.uint64) << np.uint64(56))
+
+
 class Encoder:
     """Whole texts to ids, with a memory of the pieces met so far."""
 
@@ -69,31 +107,97 @@ class Encoder:
         added = [t["content"].encode() for t in json.loads(definition)["added_tokens"]]
         self.blank = self.alphabet[ord(" ")]
         self.special = re.compile(b"|".join(map(re.escape, added)) if added else rb"(?!)")
-        self.known: dict[bytes, bytes] = {}
         self.most = known
+        self._forget()
+
+    def _forget(self) -> None:
+        """A piece has a number; its ids are those from ``ends`` of the number to the next one."""
+        self.known: dict[bytes, int] = {}
+        self.flat, self.ends = array("I"), array("q", [0])
 
-    def batch(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        gc.disable()  # millions of pieces, none in a cycle, would be searched again and again
+    def batch(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Each text's ids as unsigned 32-bit integers."""
+        gc.disable()  # many pieces, none in a cycle, would be searched again and again
         try:
-            return self._batch(texts)
+            if len(self.known) > self.most:
+                self._forget()
+            # Zero bytes join texts; a text that holds one, or names a special token, is a piece.
+            whole = [b"\0" in t or self.special.search(t) is not None for t in texts]
+            cut = iter(self._cut([t for t, w in zip(texts, whole) if not w]))
+            return [self._gather(self._numbers([t]))[0] if w else next(cut) for t, w in zip(texts, whole)]
         finally:
             gc.enable()
 
-    def _batch(self, texts: list[bytes]) -> list[bytes]:
-        cut = [[t] if self.special.search(t) else CUT.split(t) if t else [] for t in texts]
-        if len(self.known) > self.most:
-            self.known = {}
+    def _cut(self, texts: list[bytes]) -> list[np.ndarray]:
+        buffer = b"\0".join(texts)
+        data = np.frombuffer(buffer, np.uint8)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        first = np.cumsum(lengths + 1) - lengths - 1
+        begins = cut_places(data)
+        begins[first[lengths > 0]] = True
+        start = np.flatnonzero(begins)
+        text = np.searchsorted(first, start, side="right") - 1
+        size = np.minimum(np.append(start[1:], len(data)), (first + lengths)[text]) - start
+        which, place = self._distinct(buffer, data, start, size)
+        begin = start[which]
+        slices = zip(begin.tolist(), (begin + size[which]).tolist())
+        ids, before = self._gather(self._numbers([buffer[a:b] for a, b in slices])[place])
+        pieces = np.searchsorted(text, np.arange(1, len(texts)))
+        return np.split(ids, before[pieces]) if texts else []
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and where each piece's begin, and all end."""
+        ends = np.frombuffer(self.ends, np.int64)
+        begin, count = ends[numbers], ends[numbers + 1] - ends[numbers]
+        before = np.zeros(len(numbers) + 1, np.int64)
+        np.cumsum(count, out=before[1:])
+        at = np.repeat(begin - before[:-1], count) + np.arange(before[-1])
+        return np.frombuffer(self.flat, "<u4")[at] if len(at) else np.empty(0, "<u4"), before
+
+    def _distinct(self, buffer: bytes, data, start, size) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the different pieces among all, and for each piece which of them it is."""
+        short = np.flatnonzero(size <= 15)
+        one, two = short_keys(data, start[short], size[short])
+        _, index, inverse = np.unique(self._mixed(one, two), return_index=True, return_inverse=True)
+        place = np.empty(len(start), np.int64)
+        if np.array_equal(one[index][inverse], one) and np.array_equal(two[index][inverse], two):
+            which, place[short] = short[index], inverse
+            rest = np.flatnonzero(size > 15)
+        else:  # two pieces have one key
+            which, rest = short[:0], np.arange(len(start))
+        numbers: dict[bytes, int] = {}
+        other = []
+        for i in rest.tolist():
+            piece = buffer[start[i] : start[i] + size[i]]
+            number = numbers.setdefault(piece, len(numbers))
+            if number == len(other):
+                other.append(i)
+            place[i] = len(which) + number
+        return np.append(which, np.array(other, np.int64)), place
+
+    @staticmethod
+    def _mixed(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        mixed = one * np.uint64(0x9E3779B97F4A7C15) ^ two * np.uint64(0xC2B2AE3D27D4EB4F)
+        return mixed ^ (mixed >> np.uint64(29))
+
+    def _learn(self, piece: bytes, ids: list[int]) -> None:
+        self.known[piece] = len(self.known)
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """The numbers of different pieces; those that aren't known are encoded."""
         other = []
-        for piece in {p for pieces in cut for p in pieces}.difference(self.known):
+        for piece in pieces:
+            if piece in self.known:
+                continue
             if PLAIN.fullmatch(piece):
                 word = piece.decode()
                 if word.isascii():
                     word = word.replace(" ", self.blank)
                 else:
                     word = word.translate(self.alphabet)
-                found = self.tokenizer.model.tokenize(word)
-                self.known[piece] = pack(f"<{len(found)}I", *[t.id for t in found])
+                self._learn(piece, [t.id for t in self.tokenizer.model.tokenize(word)])
             else:
                 other.append(piece)
         for i in range(0, len(other), CALL):
@@ -102,9 +206,8 @@ class Encoder:
                 [p.decode("utf-8", "replace") for p in now], add_special_tokens=False
             )
             for piece, encoded in zip(now, found):
-                ids = encoded.ids
-                self.known[piece] = pack(f"<{len(ids)}I", *ids)
-        return [b"".join([self.known[p] for p in pieces]) for pieces in cut]
+                self._learn(piece, encoded.ids)
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
 
 class SequenceWriter:
@@ -191,9 +294,7 @@ def write_tokens(
         part = TaskContext.get().partitionId()
         stem = f"part-{part:06d}-{uuid.uuid4().hex}"
         store = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in in_parts(batches, "__text", PART):
             if store is None:
                 store, folder = folder_of(path)
                 store.create_dir(folder, recursive=True)
@@ -206,7 +307,7 @@ def write_tokens(
             starts, sizes = [], []
             texts = [t.as_py() for t in batch.column("__text")]
             for ids in encoder.batch(texts):
-                ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
+                ids = np.append(ids, np.uint32(end_id))
                 starts.append(writer.total)
                 sizes.append(len(ids))
                 writer.append(ids)
