@@ -15,7 +15,7 @@ the given folder through ``pyarrow.fs``, which knows the folder's scheme.
 Texts are cut where the byte-level pattern always cuts: before a blank or line end that a letter
 or sign follows, and between a letter and a mark. Cutting and looking up are array operations over
 many texts: a piece of up to 15 bytes is two numbers. Each different piece of these texts is looked
-up once, and encoded if the task hasn't met it before. A text that names a special token, or
+up once, and encoded if its Python worker hasn't met it before. A text that names a special token, or
 holds a zero byte, is encoded as a whole.
 
 Null ids come first, equal ids in order of a hash of the text; null texts are empty and have
@@ -27,6 +27,8 @@ from __future__ import annotations
 import gc
 import json
 import re
+import sys
+import types
 import uuid
 import zlib
 from array import array
@@ -210,6 +212,15 @@ class Encoder:
         return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
 
+def kept_encoder(definition: str) -> Encoder:
+    """The encoder of this Python worker: what a task has met serves the worker's next tasks as well."""
+    name = "tractlake_kept_encoder"  # functions are shipped anew for each task; loaded modules stay
+    kept = sys.modules.setdefault(name, types.ModuleType(name))
+    if getattr(kept, "definition", None) != definition:
+        kept.definition, kept.encoder = definition, Encoder(definition)
+    return kept.encoder
+
+
 class SequenceWriter:
     """Appends ids and writes them as batches of sequences."""
 
@@ -298,7 +309,7 @@ def write_tokens(
             if store is None:
                 store, folder = folder_of(path)
                 store.create_dir(folder, recursive=True)
-                encoder = Encoder(definition)
+                encoder = kept_encoder(definition)
                 names = [f"{folder}/{stem}.{x}.arrow" for x in ("tokens", "docs")]
                 streams = [store.open_output_stream(name) for name in names]
                 writer = SequenceWriter(streams[0], getattr(pa, kind)(), length)
