@@ -4,15 +4,8 @@ import pytest
 
 from tractlake.schemas import schema_from_spec
 from tractlake.streaming.changes import change_check
-from tractlake.streaming.landing import (
-    BUCKET,
-    clean_schema,
-    clean_table,
-    ingest_new_files,
-    merge_batch,
-    read_log,
-    touched_rows,
-)
+from tractlake.sinks.commits import commits, standing_commits
+from tractlake.streaming.landing import BATCH, clean_table, ingest_new_files, merge_batch, read_log
 
 RECORD = schema_from_spec(
     [
@@ -67,15 +60,29 @@ def files_of(tmp_path):
     return {f for f in (tmp_path / "clean").rglob("*.parquet")}
 
 
-def test_only_touched_buckets_are_rewritten(spark, tmp_path, run):
+def test_a_batch_writes_its_own_rows_only(spark, tmp_path, run):
     many = "".join(f'{{"year": "2023", "doc": "{i}", "amount": {i}}}\n' for i in range(2000))
-    run({"1.json": many}, buckets=500)
+    run({"1.json": many})
     before = files_of(tmp_path)
-    assert len(before) > 400
-    run({"2.json": '{"year": "2023", "doc": "7", "amount": -1}\n'}, buckets=500)
-    assert len(before - files_of(tmp_path)) == 1
+    run({"2.json": '{"year": "2023", "doc": "7", "amount": -1}\n'}, hour=1)
+    run({"3.json": '{"year": "2023", "doc": "7", "amount": -2}\n{"year": "2023", "doc": "x"}\n'}, hour=2)
+    assert before < files_of(tmp_path) and len(files_of(tmp_path) - before) == 2
     found = clean(spark, tmp_path)
-    assert len(found) == 2000 and found["2023", "7"][0] == -1
+    assert len(found) == 2001 and found["2023", "7"] == (-2, 2) and found["2023", "8"] == (8, 0)
+    standing = standing_commits(spark, str(tmp_path / "clean"))
+    assert [r.record_count for r in standing] == [2, 1, 2000]
+
+
+def test_deltas_are_compacted(spark, tmp_path, run):
+    """Many deltas, and a large one, are written together with the rest."""
+    many = "".join(f'{{"year": "2023", "doc": "{i}", "amount": {i}}}\n' for i in range(100))
+    run({"0.json": many})
+    files = {f"{i}.json": f'{{"year": "2023", "doc": "{i % 4}", "amount": {-i}}}\n' for i in range(1, 18)}
+    assert run(files, max_files_per_batch=1) == 17
+    assert [r.record_count for r in standing_commits(spark, str(tmp_path / "clean"))] == [1, 100]
+    run({"z.json": many.replace('"amount": ', '"amount": 5')})
+    assert [r.record_count for r in standing_commits(spark, str(tmp_path / "clean"))] == [100]
+    assert clean(spark, tmp_path)["2023", "42"][0] == 542
 
 
 def test_every_file_counts_when_batches_are_small(spark, tmp_path, run):
@@ -95,20 +102,11 @@ def test_null_and_empty_keys_are_different(spark, tmp_path, run):
 
 def test_a_repeated_batch_changes_nothing(spark, tmp_path, run):
     run({"1.json": '{"year": "2023", "doc": "a", "amount": 1}\n{"doc": "b", "amount": 2}\n'})
-    path = str(tmp_path / "clean")
-    once = clean(spark, tmp_path)
-    rows = spark.read.schema(clean_schema(RECORD)).parquet(path).collect()
-    again = spark.createDataFrame(rows, clean_schema(RECORD))
-    merge_batch(spark, again, RECORD, ["year", "doc"], path)
-    assert clean(spark, tmp_path) == once
-
-
-def test_other_buckets_are_not_read(spark, tmp_path, run, rows, capsys):
-    run({"1.json": '{"year": "2023", "doc": "a"}\n{"year": "2024", "doc": "b"}\n'})
-    stored = spark.read.schema(clean_schema(RECORD)).parquet(str(tmp_path / "clean"))
-    touched_rows(stored, rows(f"{BUCKET} int", (1,), (5,), (1,))).explain()
-    filters = capsys.readouterr().out.partition("PartitionFilters: [")[2].partition("]")[0]
-    assert f"{BUCKET}" in filters and "IN (" in filters
+    path, once = str(tmp_path / "clean"), clean(spark, tmp_path)
+    landed = read_log(spark, str(tmp_path / "log"), RECORD)
+    assert merge_batch(spark, landed, ["year", "doc"], path, 0) is False
+    assert clean(spark, tmp_path) == once and commits(spark, path).count() == 1
+    assert [r[BATCH] for r in landed.collect()] == [0, 0]
 
 
 def test_change_check(rows):

@@ -7,7 +7,9 @@ the newest record, so they see the old rows until the new ones are complete, and
 write has left is never read. The log is read, nothing is listed; it has a row for each commit.
 
 A version may replace some partitions only: its record names them, as its scopes. The folder's rows
-are then those of the newest whole version, without what later versions replace, and theirs.
+are then those of the newest whole version, without what later versions replace, and theirs. Or it may
+replace the rows that have the keys of its own: readers merge such small versions (deltas) with the
+whole one, and ``compact`` writes them together.
 
 Versions sort by the UTC time of the driver that wrote them, to the microsecond. The log of a folder
 has one writer at a time; of two at once, the one that began later counts.
@@ -25,6 +27,9 @@ from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tractlake.operators.columns import quoted
+from tractlake.operators.dedup import concat_tables, first_per_key
+
 COMMIT = T.StructType(
     [
         T.StructField("version", T.StringType()),
@@ -34,6 +39,7 @@ COMMIT = T.StructType(
         T.StructField("token", T.StringType()),
         T.StructField("schema", T.StringType()),
         T.StructField("partition_by", T.ArrayType(T.StringType())),
+        T.StructField("keys", T.ArrayType(T.StringType())),
         T.StructField("scopes", T.ArrayType(T.StringType())),
         T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType())),
         T.StructField("expired", T.BooleanType()),
@@ -65,7 +71,7 @@ def standing_commits(spark: SparkSession, path: str) -> list[Row]:
     standing = []
     for row in valid.sortWithinPartitions(F.desc("version")).toLocalIterator():
         standing.append(row)
-        if row.scopes is None:
+        if row.scopes is None and row.keys is None:
             break
     return standing
 
@@ -88,9 +94,10 @@ def read_committed(
     if not standing:
         return load(path)
     parts, replaced = [], set()
-    for row in standing:
+    deltas = [row for row in standing if row.keys is not None]
+    for row in (row for row in standing if row.keys is None):
         # Partition values of the folder names are read as they were written, not as they look.
-        rows = load(row.path, T.StructType.fromJson(json.loads(row.schema)) if row.schema else None)
+        rows = load(row.path, _stored(row))
         if row.scopes is not None or replaced:
             # Of partition columns only, so other folders aren't read.
             names = row.partition_by or next(r.partition_by for r in standing if r.partition_by)
@@ -101,10 +108,29 @@ def read_committed(
                 rows = rows.filter(scope.isin(sorted(set(row.scopes) - replaced)))
                 replaced.update(row.scopes)
         parts.append(rows)
-    result, *others = parts
-    for other in others:
-        result = result.unionByName(other, allowMissingColumns=True)
-    return result
+    whole = concat_tables(*parts) if parts else None
+    return _merged([load(row.path, _stored(row)) for row in deltas], deltas[0].keys, whole) if deltas else whole
+
+
+def _stored(row: Row) -> T.StructType | None:
+    return T.StructType.fromJson(json.loads(row.schema)) if row.schema else None
+
+
+def _merged(deltas: list[DataFrame], keys: Sequence[str], whole: DataFrame | None) -> DataFrame:
+    """The rows of ``deltas``, the newest of each key, and those of ``whole`` that have other keys.
+
+    Deltas are small beside the whole, which is not shuffled if they are under the broadcast
+    threshold. Null keys are keys.
+    """
+    newest, age = deltas[0], "__age"
+    if len(deltas) > 1:
+        aged = concat_tables(*[d.withColumn(age, F.lit(i)) for i, d in enumerate(deltas)])
+        newest = first_per_key(aged, keys, [F.col(age)]).drop(age)
+    if whole is None:
+        return newest
+    changed = newest.select(*[F.col(quoted(k)).alias(f"__key_{i}") for i, k in enumerate(keys)])
+    same = [F.col(quoted(k)).eqNullSafe(F.col(f"__key_{i}")) for i, k in enumerate(keys)]
+    return whole.join(changed, same, "left_anti").unionByName(newest)
 
 
 def scope_of(partition_by: Sequence[str]) -> Column:
@@ -121,6 +147,7 @@ def record(
     observed: Mapping[str, float | None],
     token: str | None = None,
     partition_by: Sequence[str] = (),
+    keys: Sequence[str] | None = None,
     scopes: Sequence[str] | None = None,
     schema: T.StructType | None = None,
     expired: bool = False,
@@ -136,6 +163,7 @@ def record(
         "token": F.lit(token),
         "schema": F.lit(None if schema is None else schema.json()),
         "partition_by": F.array(*map(F.lit, partition_by)) if partition_by else F.lit(None),
+        "keys": F.lit(None) if keys is None else F.array(*map(F.lit, keys)),
         "scopes": F.lit(None) if scopes is None else F.array(*map(F.lit, scopes)),
         "metrics": metrics if numbers else F.lit(None),
         "expired": F.lit(expired),
@@ -174,10 +202,13 @@ def commit_version(
     metrics: Mapping[str, Column] | None = None,
     least_rows: int = 0,
     scoped: bool = False,
+    keys: Sequence[str] | None = None,
+    token: str | None = None,
 ) -> tuple[str | None, dict]:
     """Write a new version of ``path`` and commit it: its folder, and what the write observed.
 
-    ``scoped``: it replaces the partitions that it has rows for, and no others.
+    ``scoped``: it replaces the partitions that it has rows for, and no others. ``keys``: it replaces
+    the rows with the keys that it has, each in one row. ``token`` names the load in the record.
 
     A version with fewer than ``least_rows`` rows isn't committed: the old one stays, the
     folder is None.
@@ -191,10 +222,35 @@ def commit_version(
     if scoped:
         written = spark.read.format(fmt).schema(df.schema).load(data).select(scope_of(partition_by).alias("scope")).distinct()
         scopes = [row.scope for row in written.toLocalIterator()]  # one row a partition
-    record(spark, path, version, data, fmt, observed, partition_by=partition_by, scopes=scopes, schema=df.schema)
+    record(
+        spark,
+        path,
+        version,
+        data,
+        fmt,
+        observed,
+        token=token,
+        partition_by=partition_by,
+        keys=keys,
+        scopes=scopes,
+        schema=df.schema,
+    )
     return data, observed
 
 
+def compact(
+    spark: SparkSession, path: str, fmt: str = "parquet", most: int = 16, share: float = 0.2
+) -> bool:
+    """Write deltas and the whole together, if there are many deltas, or they hold a large share of the rows."""
+    standing = standing_commits(spark, path)
+    deltas = [row.record_count for row in standing if row.keys is not None]
+    rows = sum(row.record_count for row in standing[len(deltas) :])
+    if not deltas or (len(deltas) < most and sum(deltas) <= share * rows):
+        return False
+    commit_version(read_committed(spark, path, fmt), path, fmt)
+    return True
+
+
 def expire_versions(spark: SparkSession, path: str, keep: int = 1) -> int:
     """Empty the versions that no rows are read from any more, but the ``keep`` newest; gives their number.
 

@@ -1,15 +1,11 @@
 """Landing folder to an append-only log, and to a clean table with one row per key.
 
 A checkpointed file stream gives each landed file to exactly one batch. A batch
-writes its own ``batch_id`` folder of the log, and merges its rows into the clean
-table. That table is partitioned by a hash bucket of the key, so a key lives in one
-partition, whatever its values are; the columns themselves stay in the data. A batch
-reads and replaces the buckets that it has rows for, and no others, and never reads
-the log. The clean rows carry the batch they come from, so a batch that is repeated
-after a crash leaves the same table.
-
-Plain files give readers no isolation: while a batch commits, one may find some of
-its partitions replaced and others not yet.
+writes its own ``batch_id`` folder of the log, and commits the newest row of each of its keys
+as a delta of the clean table (``sinks/commits.py``): no other row is read or written. Readers
+merge deltas with the rest, and see a batch whole or not at all. When deltas are many, or hold a
+large share of the rows, they are written together with the rest, as a new version. A delta
+carries its batch's number as token, so a batch that is repeated after a crash adds nothing.
 """
 
 from __future__ import annotations
@@ -17,20 +13,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tractlake.functions.dates import run_timestamp
-from tractlake.operators.columns import quoted
 from tractlake.operators.dedup import keep_latest
-from tractlake.sinks.commits import observed_write
-from tractlake.sinks.writers import replace_partitions
+from tractlake.sinks.commits import commit_version, commits, compact, observed_write, read_committed
 
 BATCH = "batch_id"
 INGESTED = "ingest_timestamp"
-BUCKET = "key_bucket"
 
 
 def log_schema(schema: T.StructType) -> T.StructType:
@@ -43,49 +35,21 @@ def log_schema(schema: T.StructType) -> T.StructType:
     )
 
 
-def clean_schema(schema: T.StructType) -> T.StructType:
-    return T.StructType([*log_schema(schema).fields, T.StructField(BUCKET, T.IntegerType())])
-
-
 def read_log(spark: SparkSession, log_path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(log_schema(schema)).parquet(log_path)
 
 
-def key_bucket(keys: Sequence[str], buckets: int) -> Column:
-    """The partition of a key. Null and empty text are different keys."""
-    columns = [F.col(quoted(key)) for key in keys]
-    nulls = [column.isNull() for column in columns]
-    return F.pmod(F.xxhash64(*columns, *nulls), F.lit(buckets)).cast("int")
-
-
-def touched_rows(clean: DataFrame, batch: DataFrame) -> DataFrame:
-    """The clean rows of the buckets that ``batch`` has rows for.
-
-    Their numbers, no more than the table has buckets, become a filter on the partition
-    column, so other folders are not read.
-    """
-    numbers = [number for (number,) in batch.select(BUCKET).distinct().collect()]
-    return clean.filter(F.col(BUCKET).isin(numbers))
-
-
 def merge_batch(
-    spark: SparkSession,
-    batch: DataFrame,
-    schema: T.StructType,
-    keys: Sequence[str],
-    target_path: str,
-) -> None:
-    """Replace the touched buckets by their rows and the batch's, the newest per key."""
-    stored = clean_schema(schema)
-    batch = batch.select(*stored.fieldNames())
-    try:
-        clean = spark.read.schema(stored).parquet(target_path).select(*stored.fieldNames())
-        batch = touched_rows(clean, batch).unionByName(batch)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    spark: SparkSession, batch: DataFrame, keys: Sequence[str], target_path: str, batch_id: int
+) -> bool:
+    """Commit the newest row of each key of ``batch``, unless that batch has been committed."""
+    log, token = commits(spark, target_path), f"batch-{batch_id}"
+    if log is not None and not log.filter(F.col("token") == token).isEmpty():
+        return False
     newest = keep_latest(batch, keys, BATCH).drop("rn")
-    replace_partitions(newest, target_path, [BUCKET])
+    commit_version(newest, target_path, keys=None if log is None else keys, token=token)
+    compact(spark, target_path)
+    return True
 
 
 def ingest_new_files(
@@ -97,14 +61,12 @@ def ingest_new_files(
     target_path: str,
     checkpoint_path: str,
     fmt: str = "json",
-    buckets: int = 64,
     max_files_per_batch: int | None = None,
     now: datetime | None = None,
 ) -> int:
     """Take in the files landed since the last run, then stop; gives the batches run.
 
-    ``checkpoint_path`` must lie in a folder that outlives the cluster. ``buckets`` is
-    fixed for the life of a clean table; choose it so that a bucket is worth a few files.
+    ``checkpoint_path`` must lie in a folder that outlives the cluster.
     """
     batches = []
 
@@ -118,9 +80,8 @@ def ingest_new_files(
             session.read.schema(stamped.schema)
             .parquet(batch_path)
             .withColumn(BATCH, F.lit(batch_id).cast("long"))
-            .withColumn(BUCKET, key_bucket(keys, buckets))
         )
-        merge_batch(session, landed, schema, keys, target_path)
+        merge_batch(session, landed, keys, target_path, batch_id)
         batches.append(batch_id)
 
     reader = spark.readStream.format(fmt).schema(schema)
@@ -140,4 +101,4 @@ def ingest_new_files(
 def clean_table(spark: SparkSession, target_path: str, schema: T.StructType) -> DataFrame:
     """The clean table, with the columns of ``schema`` and the time of ingest."""
     names = [*schema.fieldNames(), INGESTED]
-    return spark.read.schema(clean_schema(schema)).parquet(target_path).select(*names)
+    return read_committed(spark, target_path, "parquet", log_schema(schema)).select(*names)
