@@ -47,7 +47,7 @@ def test_empty_tables(spark, tmp_path):
 
 def test_one_query_for_each_operator():
     names = sorted(corpus_pipeline.QUERIES)
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
     assert "pipeline" in names and [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
 
 
