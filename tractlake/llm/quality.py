@@ -1,14 +1,26 @@
 """Operator 9: quality rules whose cutoffs have a guaranteed risk.
 
 Text statistics are exact and taken from whole texts. A rule rejects a document whose
-metric is beyond a cutoff. Cutoffs come from labelled documents. For each stratum, rule and
-cutoff, the good documents that it would reject are counted, ``k`` of ``n``. A cutoff is
-accepted if ``P(Binomial(n, risk) <= k) <= error / tests``: if more than ``risk`` of the good
-documents fell to it, so few rejections among ``n`` would be that unlikely. ``tests`` is the
-number of all strata, rules and cutoffs (Bonferroni), so with probability ``1 - error`` no
-accepted cutoff anywhere rejects more than ``risk`` of the good documents of its stratum. Of
-the accepted ones, the strictest is used. With too few labels none is accepted, and the rule
-rejects nothing there.
+metric is beyond a cutoff. Cutoffs come from labelled documents that pass the base rule.
+
+- A quarter of them, by a hash of the id, puts all (rule, cutoff) steps of a stratum in an
+  order: the share of good documents rejected, pulled towards the share in all strata, then
+  the share of bad ones. Steps that reject no larger share of bad than of good are left out,
+  and then those of which that holds for the documents that no earlier step rejects. A stratum
+  without bad documents in that quarter has nothing to tell by, and keeps the latter.
+- The others are the holdout. A policy is all steps up to a place in the order; it is accepted
+  if ``P(Binomial(n, risk) <= k) <= level`` for the ``k`` of ``n`` good held-out documents that
+  any of its rules rejects. Policies are tested in order, up to the first failure, so the tests
+  of one stratum need no correction among themselves, and the limit is that of the verdict.
+- Holm's correction over strata: the level is ``error`` over the strata whose policies aren't
+  all accepted. A stratum whose last policy passes can hold no false acceptance.
+- A stratum with so few good held-out labels that not even zero rejections would do is judged
+  together with all others of that kind, in the order of all strata. The limit holds for those
+  strata together. Which they are follows from the numbers of labels only.
+
+With probability ``1 - error`` the rules reject at most ``risk`` of the good documents in every
+stratum that has labels enough, and in the rest together. A stratum without a good held-out
+label, or where no policy is accepted, has the base rule only.
 
 Null or empty texts have zero words and fail the base rule. Repeated rows are each judged;
 each counts when its label is known. A document with several labels is good if all are.
@@ -24,7 +36,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +45,10 @@ from tractlake.llm.base import SPACE, Query, materialize, table, utf8
 SYMBOLS = b"#*$%&|<>"
 CONTINUED = bytes(range(0x80, 0xC0))
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
+#: One in so many labelled documents orders the steps, the others are held out.
+SHARES = 4
+#: Documents by which the shares of all strata weigh on a stratum's own.
+PRIOR = 200
 MEASURES = (
     "n_words",
     "word_chars",
@@ -142,16 +157,42 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def unlikely(n: int, k: int, risk: float, limit: float) -> bool:
-    """``P(Binomial(n, risk) <= k) <= limit``, by the exact sum."""
-    if k >= n * risk:
-        return False
+def chance(n: int, k: int, risk: float) -> float:
+    """``P(Binomial(n, risk) <= k)``, by the exact sum."""
+    if k >= n:
+        return 1.0
     i = np.arange(k + 1)
     steps = np.log(np.maximum(n - i[:-1], 1)) - np.log(i[:-1] + 1.0)
     ways = np.concatenate([[0.0], np.cumsum(steps)])
     logs = ways + i * math.log(risk) + (n - i) * math.log1p(-risk)
     top = logs.max()
-    return bool(top + math.log(np.exp(logs - top).sum()) <= math.log(limit))
+    return min(1.0, math.exp(top) * float(np.exp(logs - top).sum()))
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (
+        F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words")
+    )
+
+
+def order_steps(n, good, m, bad, pooled) -> list[int | None]:
+    """The place of each step, lenient first; None for steps that are left out.
+
+    ``good`` of ``n`` good and ``bad`` of ``m`` bad documents are rejected by each step; ``pooled``
+    has the same four of all strata, and counts as ``PRIOR`` documents more.
+    """
+    all_n, all_good, all_m, all_bad = pooled
+
+    def shares(count, size, all_count, all_size):
+        towards = np.asarray(all_count, float) / max(all_size, 1)
+        return (np.asarray(count, float) + PRIOR * towards) / (size + PRIOR)
+
+    lost, caught = shares(good, n, all_good, all_n), shares(bad, m, all_bad, all_m)
+    used = [i for i in range(len(lost)) if caught[i] > lost[i]]
+    places: list[int | None] = [None] * len(lost)
+    for place, i in enumerate(sorted(used, key=lambda i: (lost[i], -caught[i], i))):
+        places[i] = place
+    return places
 
 
 def fit_cutoffs(
@@ -165,56 +206,191 @@ def fit_cutoffs(
     """(stratum, one column of cutoffs per rule); null where no cutoff is proven.
 
     ``labels``: (doc_id, quality), 1 for good. All labelled documents count. ``risk`` is the
-    limit for each rule.
+    limit for all rules together.
     """
-    good = (
+    known = (
         labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy("doc_id")
-        .agg(F.min("quality").alias("__good"))
-        .filter("__good = 1")
-        .select("doc_id")
+        .agg((F.min("quality") == 1).alias("__good"))
     )
-    sums = [
-        F.sum(rule.rejects(F.lit(cutoff)).cast("int"))
-        for rule in rules
-        for cutoff in rule.cutoffs
-    ]
+    steps = [(rule, cutoff) for rule in rules for cutoff in rule.cutoffs]
+    fired = F.array(*[F.coalesce(rule.rejects(F.lit(c)), F.lit(False)) for rule, c in steps])
+    labelled = materialize(
+        measured.filter(~base_failed())
+        .join(known, "doc_id")
+        .select(
+            F.col(stratum).alias("__stratum"),
+            "__good",
+            (F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) != 0).alias("__held"),
+            fired.alias("__fired"),
+        ),
+        "rule-steps",
+    )
+    rates = materialize(_rates(labelled, len(steps)), "rule-rates")
+    ordered = materialize(_paths(rates, len(steps), risk, error), "rule-orders")
+    paths = materialize(_gaining(labelled, ordered, len(steps)), "rule-paths")
+    tested = materialize(_tested(labelled, paths, len(steps), risk), "rule-tests")
+    level = error / max(1, _left(tested, error))
+    failing = F.array_position(F.transform("chances", lambda p: p > level), True)
+    passed = F.when(failing == 0, F.size("chances")).otherwise(failing - 1)
+    depth = paths.join(
+        tested.select("__small", F.col("__chain").alias("__of"), passed.alias("__depth")),
+        (paths["__small"] == tested["__small"]) & paths["__chain"].eqNullSafe(F.col("__of")),
+        "left",
+    )
+    columns, at = [], 0
+    for rule in rules:
+        reached = F.array_max(
+            F.array(
+                *[
+                    F.when(F.col("__path")[at + j] < F.col("__depth"), F.lit(j + 1))
+                    for j in range(len(rule.cutoffs))
+                ]
+            )
+        )
+        grid = F.array(*[F.lit(float(c)) for c in rule.cutoffs])
+        columns.append(F.get(grid, reached - 1).alias(rule.name))
+        at += len(rule.cutoffs)
+    return materialize(depth.select("__stratum", *columns), "rule-cutoffs")
+
+
+def _rates(labelled: DataFrame, steps: int) -> DataFrame:
+    """By stratum: documents that order the steps, those that each step rejects, and the held out."""
+    fit = ~F.col("__held")
+
+    def rejected(kind: Column) -> Column:
+        return F.array(*[F.count_if(fit & kind & F.col("__fired")[i]) for i in range(steps)])
+
+    good = F.col("__good")
+    return labelled.groupBy("__stratum").agg(
+        F.count_if(fit & good).alias("n"),
+        rejected(good).alias("good"),
+        F.count_if(fit & ~good).alias("m"),
+        rejected(~good).alias("bad"),
+        F.count_if(~fit & good).alias("held"),
+    )
+
+
+def _paths(rates: DataFrame, steps: int, risk: float, error: float) -> DataFrame:
+    """(stratum, small, chain, path): the order of steps; small strata share the chain null."""
+
+    def total(name: str) -> Column:
+        return F.array(*[F.coalesce(F.sum(F.col(name)[i]), F.lit(0)) for i in range(steps)])
+
+    whole = rates.agg(
+        F.count("*").alias("strata"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        total("good").alias("good"),
+        F.coalesce(F.sum("m"), F.lit(0)).alias("m"),
+        total("bad").alias("bad"),
+    ).first()
+    pooled = (whole.n, whole.good, whole.m, whole.bad)
+    limit = error / (whole.strata + 1)
+    common = order_steps(*pooled, pooled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            small = [chance(n, 0, risk) > limit for n in batch.column("held").to_pylist()]
+            own = zip(*[batch.column(c).to_pylist() for c in ("n", "good", "m", "bad")])
+            found = [common if s else order_steps(*row, pooled) for s, row in zip(small, own)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("__stratum"), pa.array(small), pa.array(found, pa.list_(pa.int32()))],
+                ["__stratum", "__small", "__path"],
+            )
+
+    kind = rates.schema["__stratum"].dataType.simpleString()
+    found = rates.mapInArrow(run, f"__stratum {kind}, __small boolean, __path array<int>")
+    return found.withColumn("__chain", F.when(~F.col("__small"), F.col("__stratum")))
+
+
+def _first(labelled: DataFrame, paths: DataFrame, steps: int) -> DataFrame:
+    """``labelled`` with its chain, and the place of the first step that rejects each document."""
+    of = paths.withColumnRenamed("__stratum", "__of")
+    place = F.array_min(
+        F.array(*[F.when(F.col("__fired")[i], F.col("__path")[i]) for i in range(steps)])
+    )
+    return labelled.join(of, F.col("__stratum").eqNullSafe(F.col("__of"))).select(
+        "__good", "__small", "__chain", "__path", place.alias("__first")
+    )
+
+
+def _gaining(labelled: DataFrame, paths: DataFrame, steps: int) -> DataFrame:
+    """``paths`` without the steps that add no larger share of bad than of good documents."""
+
+    def new(kind: Column) -> Column:
+        return F.array(*[F.count_if(kind & (F.col("__first") == i)) for i in range(steps)])
+
+    good = F.col("__good")
+    gains = (
+        _first(labelled.filter("NOT __held"), paths, steps)
+        .groupBy(F.col("__small").alias("__few"), F.col("__chain").alias("__of"))
+        .agg(
+            F.count_if(good).alias("n"),
+            F.count_if(~good).alias("m"),
+            new(good).alias("good"),
+            new(~good).alias("bad"),
+        )
+    )
+    kept = F.transform(
+        "__path",
+        lambda p: F.when(
+            (F.coalesce("m", F.lit(0)) == 0)
+            | (F.get("bad", p) * F.col("n") > F.get("good", p) * F.col("m")),
+            p,
+        ),
+    )
+    return paths.join(
+        gains,
+        (paths["__small"] == F.col("__few")) & paths["__chain"].eqNullSafe(F.col("__of")),
+        "left",
+    ).select("__stratum", "__small", kept.alias("__path"), "__chain")
+
+
+def _tested(labelled: DataFrame, paths: DataFrame, steps: int, risk: float) -> DataFrame:
+    """(small, chain, chances): for each policy, how unlikely so few rejections would be."""
     counts = (
-        measured.join(good, "doc_id")
-        .groupBy(F.col(stratum).alias("__stratum"))
-        .agg(F.count("*").alias("n"), F.array(*sums).alias("rejected"))
+        _first(labelled.filter("__held AND __good"), paths, steps)
+        .groupBy("__small", "__chain")
+        .agg(
+            F.count("*").alias("n"),
+            F.max(F.coalesce(F.array_max("__path") + 1, F.lit(0))).alias("length"),
+            F.array(*[F.count_if(F.col("__first") == i) for i in range(steps)]).alias("rejected"),
+        )
     )
-    counts = materialize(counts, "rule-counts")
-    tests = max(1, counts.count()) * len(sums)
-    limit = error / tests
-    names, grids = [rule.name for rule in rules], [rule.cutoffs for rule in rules]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for n, rejected in zip(frame["n"], frame["rejected"]):
-                at, row = 0, []
-                for grid in grids:
-                    accepted = None
-                    for cutoff, k in zip(grid, rejected[at : at + len(grid)]):
-                        if unlikely(int(n), int(k), risk, limit):
-                            accepted = cutoff
-                    at += len(grid)
-                    row.append(accepted)
-                out.append(row)
-            cutoffs = pd.DataFrame(out, columns=names, dtype=float)
-            yield pd.concat([frame[["__stratum"]].reset_index(drop=True), cutoffs], axis=1)
-
-    kind = counts.schema["__stratum"].dataType.simpleString()
-    schema = f"__stratum {kind}, " + ", ".join(f"`{name}` double" for name in names)
-    return materialize(counts.mapInPandas(run, schema), "rule-cutoffs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[batch.column(c).to_pylist() for c in ("n", "length", "rejected")])
+            chances = [
+                [chance(n, int(k), risk) for k in np.cumsum(rejected[:length])]
+                for n, length, rejected in rows
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("__small"), batch.column("__chain"), pa.array(chances, pa.list_(pa.float64()))],
+                ["__small", "__chain", "chances"],
+            )
+
+    kind = paths.schema["__chain"].dataType.simpleString()
+    return counts.mapInArrow(run, f"__small boolean, __chain {kind}, chances array<double>")
+
+
+def _left(tested: DataFrame, error: float) -> int:
+    """Chains that are not wholly accepted, at the level that their own number gives (Holm)."""
+    worst = F.coalesce(F.array_max("chances"), F.lit(0.0))
+    chains = left = tested.count()
+    while left:
+        now = chains - tested.filter(worst <= error / left).count()
+        if now == left:
+            break
+        left = now
+    return left
 
 
 def judge(
     measured: DataFrame, cutoffs: DataFrame, rules: list[Rule], stratum: str = "lang"
 ) -> DataFrame:
     """``measured`` with ``base_failed`` and ``kept``."""
-    base = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
+    base = base_failed()
     marked = cutoffs.select("__stratum", *[F.col(r.name).alias(f"__{r.name}") for r in rules])
     broken = F.lit(False)
     for rule in rules:
