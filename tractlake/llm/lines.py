@@ -30,6 +30,9 @@ from tractlake.llm.base import WORD, Query, materialize, table
 
 LEAST_WORDS = 50
 KEY = ["__id", "__text"]
+#: Windows are equal if both hashes of their lines are, 128 bits; the second one starts from this.
+SAME = ["all", "second"]
+SECOND = 7
 
 
 def _key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
@@ -40,12 +43,14 @@ def _key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 
 
 def windows(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(document, first, last, fingerprint, its line, hash of all lines) of every window."""
+    """(document, first, last, fingerprint, its line, two hashes of all lines) of every window."""
+    bare = F.lit(" \t\x0b\f\r")
     parts = F.transform(
         F.split(F.col("text"), "\n"),
         lambda line, at: F.struct(
             at.alias("pos"),
-            F.xxhash64(F.btrim(line, F.lit(" \t\x0b\f\r"))).alias("hash"),
+            F.xxhash64(F.btrim(line, bare)).alias("hash"),
+            F.xxhash64(F.lit(SECOND), F.btrim(line, bare)).alias("second"),
             F.regexp_count(line, F.lit(WORD)).alias("words"),
         ),
     )
@@ -71,6 +76,7 @@ def windows(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
             F.max("pos").over(frame).alias("last"),
             F.min(F.struct("hash", "pos")).over(frame).alias("print"),
             F.xxhash64(F.collect_list("hash").over(frame), F.sum("words").over(frame)).alias("all"),
+            F.xxhash64(F.lit(SECOND), F.collect_list("second").over(frame)).alias("second"),
         )
 
     each = ends.select(
@@ -86,6 +92,7 @@ def windows(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
         F.col("w.print.hash").alias("print"),
         F.col("w.print.pos").alias("at"),
         F.col("w.all").alias("all"),
+        F.col("w.second").alias("second"),
     )
 
 
@@ -96,9 +103,9 @@ def repeated_runs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     often = materialize(prints.filter("count > 1").select("print"), "fingerprints")
     likely = materialize(found.join(often, "print", "left_semi").distinct(), "likely")
     place = F.struct(*KEY, "first")
-    earliest = likely.groupBy("all").agg(F.min(place).alias("earliest"), F.count("*").alias("n"))
-    earliest = materialize(earliest.filter("n > 1").select("all", "earliest"), "earliest")
-    matches = likely.join(earliest, "all").filter(place > F.col("earliest"))
+    earliest = likely.groupBy(*SAME).agg(F.min(place).alias("earliest"), F.count("*").alias("n"))
+    earliest = materialize(earliest.filter("n > 1").select(*SAME, "earliest"), "earliest")
+    matches = likely.join(earliest, SAME).filter(place > F.col("earliest"))
     before = Window.partitionBy(*KEY).orderBy("first", "last")
     reached = F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1))
     is_new = F.coalesce(F.col("first") > reached + 1, F.lit(True)).cast("int")
