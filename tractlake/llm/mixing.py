@@ -229,7 +229,7 @@ def sized_rows(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 
-    Rows find their copies by an equi-join on id, source, size and text hash, whose skew Spark can
+    Rows find their copies by an equi-join on id, source and text hash, whose skew Spark can
     split; the numbering of equal rows reuses the order of the join.
     """
     own = docs.columns
@@ -245,14 +245,20 @@ def mix(docs: DataFrame, **options) -> DataFrame:
             ),
         },
     )
-    key = F.xxhash64("__id", "__src", "__hash")
     chosen = decided.select(
-        F.xxhash64("doc_id", "source", "__text_hash").alias("__key"),
+        F.col("doc_id").alias("__of_id"),
+        F.col("source").alias("__of_src"),
+        F.col("__text_hash").alias("__of_hash"),
         F.col("rows").alias("__rows"),
         F.col("copies").alias("__copies"),
     ).filter("__copies > 0")
-    joined = keyed.select("__row", key.alias("__key")).join(chosen, "__key")
-    numbered = Window.partitionBy("__key").orderBy("__key")
+    same = (
+        F.col("__id").eqNullSafe(F.col("__of_id"))
+        & F.col("__src").eqNullSafe(F.col("__of_src"))
+        & (F.col("__hash") == F.col("__of_hash"))
+    )
+    joined = keyed.join(chosen, same)
+    numbered = Window.partitionBy("__id", "__src", "__hash").orderBy("__hash")
     each = _share_out("__rows", "__copies", F.row_number().over(numbered) - 1)
     return (
         joined.select("__row", each.alias("__n"))
