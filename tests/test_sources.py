@@ -13,6 +13,7 @@ from tractlake.sources.census import (
     read_variable_labels,
     rejected_payloads,
     rejected_rows,
+    rejects,
 )
 from tractlake.sources.files import (
     read_delimited,
@@ -89,6 +90,28 @@ def test_payloads_one_per_line_equal_whole_files(spark, place, payloads):
 def test_text_is_parsed_once(payloads, capsys):
     melt_payloads(payloads).explain()
     assert capsys.readouterr().out.count("from_json") == 1
+    rejects(payloads).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("from_json") == plan.count("FileScan") == 1
+
+
+def test_rejects_name_their_reason(spark, place):
+    texts = [
+        '[["NAME","tract"],["a","1"],["b"],["c","3","4"],null]',
+        '[["NAME","tract"]]',
+        '[null,["d"]]',
+        "[]",
+        "oops",
+    ]
+    path = place({f"{i}.json": text for i, text in enumerate(texts)})
+    found = sorted(map(tuple, rejects(read_payloads(spark, path)).collect()))
+    assert found == [
+        ("response without a header", "[]"),
+        ("response without a header", "oops"),
+        ("row does not fit its header", '{"header":["NAME","tract"],"row":["b"]}'),
+        ("row does not fit its header", '{"header":["NAME","tract"],"row":["c","3","4"]}'),
+        ("row does not fit its header", '{"row":["d"]}'),
+    ]
 
 
 def test_variable_labels(spark, place):

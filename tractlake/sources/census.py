@@ -74,15 +74,21 @@ def rejected_rows(payloads: DataFrame) -> DataFrame:
 
 
 def rejects(payloads: DataFrame) -> DataFrame:
-    """(reason, content): what the melt leaves out, whole, as text."""
-    unreadable = rejected_payloads(payloads).select(
-        F.lit("response without a header").alias("reason"), F.col("value").alias("content")
+    """(reason, content): what the melt leaves out, whole, as text; one scan, one parse.
+
+    A response without a header comes out of the explode as one row without values. The reason
+    is found after it from both, so that no filter goes below the parsing.
+    """
+    unread = F.coalesce(F.size("payload"), F.lit(0)) < 1
+    rows = split_payloads(
+        payloads, header=header_of(), unread=unread, text=F.when(unread, F.col("value"))
     )
-    ragged = rejected_rows(payloads).select(
-        F.lit("row does not fit its header").alias("reason"),
-        F.to_json(F.struct("header", "row")).alias("content"),
+    ragged = F.col("row").isNotNull() & ~fits_header()
+    reason = F.when(ragged, "row does not fit its header").when(
+        F.col("unread"), "response without a header"
     )
-    return unreadable.unionByName(ragged)
+    content = F.when(ragged, F.to_json(F.struct("header", "row"))).otherwise(F.col("text"))
+    return rows.select(reason.alias("reason"), content.alias("content")).filter("reason IS NOT NULL")
 
 
 def variable_labels(metadata: DataFrame, text: str = "value") -> DataFrame:
