@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from tractlake.plans import acs, business, expenses, pit, validation
 from tractlake.schemas import DATASETS, RAW_BUSINESS, RAW_EXPENSES
 from tractlake.sinks.commits import run_metrics
-from tractlake.sources.files import read_dataset, read_json_records
+from tractlake.sources.files import read_dataset, read_json_records, read_path
 from tractlake.sources.snapshots import latest_snapshot
 
 NOW = datetime(2024, 1, 31, 12, 0, tzinfo=timezone.utc)
@@ -236,6 +236,25 @@ def test_silver_expenses_by_name(rows):
     }
 
 
+def test_loose_expenses_load_from_the_newest_snapshot(spark, place):
+    line = {"Trans Date": "1/5/2024", "Total-Amount$": "$1,234.50", "Memo": "m"}
+    root = place(
+        {
+            "bronze/x_20240101_000000.json": json.dumps([{**line, "Memo": "old"}]),
+            "bronze/x_20240102_000000.json": json.dumps([line, line, {**line, "Unit Cost": 2}]),
+        }
+    )
+    path = expenses.load_by_name(spark, f"{root}/bronze", f"{root}/silver", NOW)
+    assert path == latest_snapshot(spark, f"{root}/silver").removeprefix("file:")
+    out = spark.read.parquet(path).select("trans_date", "total_amount", "unit_cost", "memo")
+    assert as_set(out) == {
+        (datetime(2024, 1, 5), 1234.5, None, "m"),
+        (datetime(2024, 1, 5), 1234.5, 2.0, "m"),
+    }
+    with pytest.raises(FileNotFoundError):
+        expenses.load_by_name(spark, f"{root}/nothing", f"{root}/silver", NOW)
+
+
 def test_pages_become_one_snapshot(spark, place):
     root = place(
         {
@@ -384,3 +403,23 @@ def test_pit_yearly(rows):
         for r in pit.yearly_totals(clean).collect()
     }
     assert got == {2020: (3, 0, 0.25, None), 2021: (1, 0, 1 / 30, 0.5)}
+
+
+@pytest.mark.parametrize("lines", [False, True])
+def test_pit_totals_load(spark, place, lines):
+    records = [
+        {"Year": 2020, "Unsheltered": 4.0, "Total Homeless": 10.0, "Site": {"Tent Count": "3"}},
+        {"Year": 2020, "Unsheltered": 1.0, "Total Homeless": 10.0, "none-set": None},
+        {"Year": 2021, "Unsheltered": 1.0, "Total Homeless": 30.0, "Site": {"Tent Count": "1"}},
+    ]
+    text = "\n".join(map(json.dumps, records)) if lines else json.dumps(records, indent=2)
+    root = place({"raw.json": text})
+    for _ in range(2):  # a second load replaces the first
+        paths = pit.load_totals(spark, root, f"{root}/raw.json")
+    clean = read_path(spark, f"{root}/silver/pit_totals")
+    assert clean.count() == 3 and dict(clean.dtypes)["site.tent_count"] == "bigint"
+    yearly = read_path(spark, f"{root}/gold/pit_yearly")
+    assert yearly.count() == read_path(spark, paths["gold.pit_yearly"]).count()
+    assert as_set(
+        yearly.select("year", "`site.tent_count`", "pct_unsheltered", "pct_change_total")
+    ) == {(2020, 3, 0.25, None), (2021, 1, 1 / 30, 0.5)}

@@ -98,6 +98,14 @@ def load_all(
     }
 
 
+def load_by_name(
+    spark: SparkSession, bronze_dir: str, silver_dir: str, now: datetime | None = None
+) -> str | None:
+    """Newest bronze snapshot, of whatever columns, to a new snapshot of the loose silver table."""
+    raw = read_latest_json(spark, bronze_dir)
+    return write_snapshot(silver_expenses_by_name(raw), silver_dir, "parquet", now)
+
+
 def expenses_by(silver: DataFrame, *keys: str) -> DataFrame:
     """Number and sum of expenses per key."""
     return silver.groupBy(*keys).agg(

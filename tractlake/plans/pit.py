@@ -12,8 +12,8 @@ from tractlake.operators.aggregates import metric_tables, sum_numeric_by
 from tractlake.operators.columns import flatten, normalize_names, snake_case
 from tractlake.operators.windows import ratio, with_change
 from tractlake.schemas import PIT
-from tractlake.sinks.writers import write_dataset
-from tractlake.sources.files import read_dataset, read_delimited
+from tractlake.sinks.writers import replace_path, write_dataset
+from tractlake.sources.files import read_dataset, read_delimited, read_json
 
 # The declared metrics.
 METRICS = {"total_count": {"group_by": ["year", "spa"], "aggregation": {"count": "sum"}}}
@@ -59,6 +59,21 @@ def yearly_totals(
     return with_change(shares, total, year, "pct_change_total")
 
 
+def load_totals(
+    spark: SparkSession, root: str, raw_path: str, fmt: str = "parquet"
+) -> dict[str, str]:
+    """Landed records of totals to the clean table and the table per year.
+
+    Columns follow from the records, so neither has a registered schema. Each is a new version of
+    its folder; the yearly table reads the clean one that was written.
+    """
+    clean = clean_totals(read_json(spark, raw_path))
+    paths = {"silver.pit_totals": replace_path(clean, f"{root}/silver/pit_totals", fmt)}
+    yearly = yearly_totals(spark.read.format(fmt).load(paths["silver.pit_totals"]))
+    paths["gold.pit_yearly"] = replace_path(yearly, f"{root}/gold/pit_yearly", fmt)
+    return paths
+
+
 def load_all(
     spark: SparkSession, root: str, csv_path: str, fmt: str = "parquet"
 ) -> dict[str, str]:

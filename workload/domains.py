@@ -244,6 +244,22 @@ def expense_silver_by_name(spark, sf_dir):
     return expenses.silver_expenses_by_name(raw)
 
 
+@query(
+    "S8 S16 P4 P15 F3 F5 U3 K6",
+    """
+    SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS doc_id, l_shipdate AS trans_date,
+           l_extendedprice AS total_amount,
+           CASE l_returnflag WHEN 'R' THEN NULL ELSE l_quantity END AS unit_cost,
+           l_returnflag AS memo
+    FROM lineitem
+    """,
+)
+def expense_load_by_name(spark, sf_dir):
+    bronze = landing.loose_expenses(spark, sf_dir)
+    path = expenses.load_by_name(spark, bronze, fresh_dir(spark, "loose-silver"), CLOCK)
+    return read_path(spark, path)
+
+
 # --- business licences ---------------------------------------------------------
 
 _SILVER_BUSINESS_SQL = """
@@ -375,9 +391,7 @@ def pit_metrics(spark, sf_dir):
     return read_path(spark, paths["gold.pit_metrics"])
 
 
-@query(
-    "S9 P4 P13 A5 F12 W2",
-    """
+_YEARLY_SQL = """
     SELECT year, CAST(tent_count AS BIGINT) AS tent_count, round(unsheltered, 2) AS unsheltered,
            round(total_homeless, 2) AS total_homeless,
            round(unsheltered / total_homeless, 6) AS pct_unsheltered,
@@ -386,8 +400,10 @@ def pit_metrics(spark, sf_dir):
     FROM (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, sum(l_linenumber) AS tent_count,
                  sum(l_tax) AS unsheltered, sum(l_quantity) AS total_homeless
           FROM lineitem GROUP BY 1)
-    """,
-)
+"""
+
+
+@query("S9 P4 P13 A5 F12 W2", _YEARLY_SQL)
 def pit_yearly(spark, sf_dir):
     raw = table(spark, sf_dir, "lineitem").select(
         F.year("l_shipdate").alias("Year"),
@@ -396,7 +412,22 @@ def pit_yearly(spark, sf_dir):
         F.col("l_tax").alias("Unsheltered"),
         F.col("l_quantity").alias("Total Homeless"),
     )
-    clean = pit.clean_totals(raw)
-    yearly = pit.yearly_totals(clean).withColumnRenamed("site.tent_count", "tent_count")
+    return _rounded_totals(pit.yearly_totals(pit.clean_totals(raw)))
+
+
+# JSON numbers without a point are long by inference.
+@query(
+    "S7 S9 P4 P13 A5 F12 W2 K5",
+    f"SELECT * REPLACE (CAST(year AS BIGINT) AS year) FROM ({_YEARLY_SQL})",
+)
+def pit_totals_load(spark, sf_dir):
+    records = landing.pit_records(spark, sf_dir)
+    paths = pit.load_totals(spark, fresh_dir(spark, "pit-totals"), records)
+    return _rounded_totals(read_path(spark, paths["gold.pit_yearly"]))
+
+
+def _rounded_totals(yearly):
     rounded = {"unsheltered": 2, "total_homeless": 2, "pct_unsheltered": 6, "pct_change_total": 6}
-    return yearly.withColumns({c: F.round(c, n) for c, n in rounded.items()})
+    return yearly.withColumnRenamed("site.tent_count", "tent_count").withColumns(
+        {c: F.round(c, n) for c, n in rounded.items()}
+    )

@@ -286,6 +286,35 @@ def priced_lines(spark, sf_dir) -> str:
     return _text_table(lines, "priced-lines")
 
 
+@once_per_session
+def loose_expenses(spark, sf_dir) -> str:
+    """One JSON snapshot of these lines with headings as names; every line is in it twice."""
+    lines = spark.read.parquet(priced_lines(spark, sf_dir)).select(
+        text_of("l_orderkey").alias("Doc ID"),
+        F.col("trans_date").alias("Trans Date"),
+        F.col("total_amount").alias("Total-Amount$"),
+        F.col("unit_cost").alias("Unit Cost"),
+        F.col("memo").alias("Memo"),
+    )
+    directory = fresh_dir(spark, "loose-expenses")
+    write_snapshot(lines.unionAll(lines), directory, "json", CLOCK)
+    return directory
+
+
+@once_per_session
+def pit_records(spark, sf_dir) -> str:
+    """Line items as nested records of yearly totals, one per line."""
+    path = fresh_dir(spark, "pit-records")
+    table(spark, sf_dir, "lineitem").select(
+        F.year("l_shipdate").alias("Year"),
+        F.struct(text_of("l_linenumber").alias("Tent-Count")).alias("Site"),
+        F.concat(F.lit("No. "), text_of("l_suppkey")).alias("Site-Number"),
+        F.col("l_tax").alias("Unsheltered"),
+        F.col("l_quantity").alias("Total Homeless"),
+    ).write.option("maxRecordsPerFile", RECORDS_PER_FILE).json(path)
+    return path
+
+
 @once_per_session
 def dated_orders(spark, sf_dir) -> str:
     """Order dates in text; a pending order has none."""
