@@ -122,6 +122,18 @@ def test_snapshots_sort_by_time(spark, rows, tmp_path):
     assert latest_snapshot(spark, str(tmp_path)).endswith("snapshot=20240102_000000")
 
 
+def test_json_snapshots_are_compressed_and_read_back_whole(spark, rows, tmp_path):
+    from pathlib import Path
+
+    from tractlake.sources.snapshots import read_latest_json
+
+    df = rows("a string, b long", *[(f"text {i}", i) for i in range(200)])
+    path = write_snapshot(df, str(tmp_path), "json", datetime(2024, 1, 1, tzinfo=timezone.utc))
+    parts = [p.name for p in Path(path).glob("part-*")]
+    assert parts and all(name.endswith(".json.gz") for name in parts)
+    back = read_latest_json(spark, str(tmp_path), df.schema)
+    assert sorted(back.collect()) == sorted(df.collect())
+
 def test_metrics_come_with_the_write(spark, rows, tmp_path):
     path = str(tmp_path / "t")
     metrics = {"rows": F.count("*"), "dropped": F.count_if(F.col("x").isNull())}

@@ -181,6 +181,7 @@ def observed_write(
     partition_by: Sequence[str] = (),
     metrics: Mapping[str, Column] | None = None,
     mode: str = "errorifexists",
+    options: Mapping[str, str] | None = None,
 ) -> dict:
     """Write ``df`` once and give its number of rows and other aggregates, from the same pass."""
     observation = Observation()
@@ -188,7 +189,8 @@ def observed_write(
     # Observed above the exchange, which a plan without rows loses with all that is below it.
     dealt = df.hint("rebalance", *partition_by) if partition_by else df
     watched = dealt.observe(observation, *[c.alias(name) for name, c in counted.items()])
-    watched.write.format(fmt).mode(mode).option("partitionOverwriteMode", "static").partitionBy(
+    writer = watched.write.format(fmt).mode(mode).options(**(options or {}))
+    writer.option("partitionOverwriteMode", "static").partitionBy(
         *partition_by
     ).save(path)
     return observation.get

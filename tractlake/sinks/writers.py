@@ -168,6 +168,9 @@ def write_dataset(
     )[0]
 
 
+JSON_SNAPSHOT_OPTIONS = {"compression": "gzip"}
+
+
 def write_snapshot(
     df: DataFrame,
     directory: str,
@@ -177,13 +180,15 @@ def write_snapshot(
 ) -> str | None:
     """Write ``snapshot=<UTC stamp>`` and commit it; stamps sort by time. None if there were no rows.
 
-    JSON goes out as one record per line in many part files, so that the readers
-    of a large snapshot can split it. The write itself counts the rows: a snapshot without
+    JSON goes out as one record per line in many gzip part files: a file per writing task, so
+    readers still share a large snapshot, and text that repeats every field name is written and
+    read back at a fraction of its size. The write itself counts the rows: a snapshot without
     rows isn't committed, so the newest one always has some, and the plan runs once.
     """
     stamp = snapshot_stamp(now)
     path = f"{directory.rstrip('/')}/snapshot={stamp}"
-    observed = observed_write(df, path, fmt, metrics=metrics, mode="overwrite")
+    options = JSON_SNAPSHOT_OPTIONS if fmt == "json" else None
+    observed = observed_write(df, path, fmt, metrics=metrics, mode="overwrite", options=options)
     if not observed[ROWS]:
         return None
     record(df.sparkSession, directory, stamp, path, fmt, observed)
