@@ -134,6 +134,23 @@ def test_json_snapshots_are_compressed_and_read_back_whole(spark, rows, tmp_path
     back = read_latest_json(spark, str(tmp_path), df.schema)
     assert sorted(back.collect()) == sorted(df.collect())
 
+def test_json_snapshot_files_hold_a_bounded_number_of_records(spark, tmp_path):
+    from pathlib import Path
+
+    from tractlake.sinks.writers import JSON_RECORDS_PER_FILE
+    from tractlake.sources.snapshots import read_latest_json
+
+    df = spark.range(0, JSON_RECORDS_PER_FILE + 10, numPartitions=1)
+    path = write_snapshot(df, str(tmp_path), "json", datetime(2024, 1, 1, tzinfo=timezone.utc))
+    parts = sorted(str(p) for p in Path(path).glob("part-*.json.gz"))
+    assert len(parts) == 2
+    per_file = spark.read.json(parts).groupBy(F.input_file_name()).count().collect()
+    assert max(row["count"] for row in per_file) <= JSON_RECORDS_PER_FILE
+    back = read_latest_json(spark, str(tmp_path), df.schema)
+    assert back.count() == JSON_RECORDS_PER_FILE + 10
+    assert back.agg(F.sum("id")).first()[0] == df.agg(F.sum("id")).first()[0]
+
+
 def test_metrics_come_with_the_write(spark, rows, tmp_path):
     path = str(tmp_path / "t")
     metrics = {"rows": F.count("*"), "dropped": F.count_if(F.col("x").isNull())}

@@ -168,7 +168,10 @@ def write_dataset(
     )[0]
 
 
-JSON_SNAPSHOT_OPTIONS = {"compression": "gzip"}
+# A gzip file doesn't split, and a reader packs files into a task by compressed size plus an
+# open cost each: with a bound on records per file, a task reads a bounded number of records.
+JSON_RECORDS_PER_FILE = 50_000
+JSON_SNAPSHOT_OPTIONS = {"compression": "gzip", "maxRecordsPerFile": str(JSON_RECORDS_PER_FILE)}
 
 
 def write_snapshot(
@@ -180,9 +183,9 @@ def write_snapshot(
 ) -> str | None:
     """Write ``snapshot=<UTC stamp>`` and commit it; stamps sort by time. None if there were no rows.
 
-    JSON goes out as one record per line in many gzip part files: a file per writing task, so
-    readers still share a large snapshot, and text that repeats every field name is written and
-    read back at a fraction of its size. The write itself counts the rows: a snapshot without
+    JSON goes out as one record per line in gzip part files of at most ``JSON_RECORDS_PER_FILE``
+    records, so a reading task gets a bounded share of a large snapshot however few tasks wrote
+    it, and text that repeats every field name is written and read back at a fraction of its size. The write itself counts the rows: a snapshot without
     rows isn't committed, so the newest one always has some, and the plan runs once.
     """
     stamp = snapshot_stamp(now)
